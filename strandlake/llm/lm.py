@@ -135,11 +135,14 @@ class Automaton:
         first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]]) if len(half) else np.empty(0, np.int64)
         self.histories = half[first]
         seen = np.add.reduceat(counts, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
-        with np.errstate(over="ignore"):
-            own = np.searchsorted(self.histories, (unmix(arcs) >> _U(32)).astype(np.uint32))
-        gain = (arc_counts - DISCOUNT) / seen[own] if len(arcs) else np.empty(0)
-        self.gain = gain.astype(np.float32)
-        self.fail = np.maximum(1 - np.bincount(own, gain, len(seen)), 1e-9).astype(np.float32)
+        self.gain, used = np.empty(len(arcs), np.float32), np.zeros(len(seen))
+        for i in range(0, len(arcs), 1 << 18):  # some at a time, for the driver's memory
+            part = slice(i, i + (1 << 18))
+            with np.errstate(over="ignore"):
+                own = np.searchsorted(self.histories, (unmix(arcs[part]) >> _U(32)).astype(np.uint32))
+            self.gain[part] = gain = (arc_counts[part] - DISCOUNT) / seen[own]
+            used += np.bincount(own, gain, len(seen))
+        self.fail = np.maximum(1 - used, 1e-9).astype(np.float32)
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +171,16 @@ class Automaton:
 
 
 def load(model: DataFrame) -> Automaton:
-    """From COUNTS rows; ranges come in the order of their hashes."""
-    rows = sorted(model.collect(), key=lambda r: (r.kind, r.part))
-    parts = [b"".join(bytes(r[c]) for r in rows if r.kind == k) for k in (0, 1) for c in ("keys", "counts")]
-    del rows
-    return Automaton(*(np.frombuffer(p, "<u4" if i % 2 else _U) for i, p in enumerate(parts)))
+    """From COUNTS rows, fetched a partition at a time; ranges come in the order of their hashes."""
+    held: list[dict] = [{}, {}]
+    for r in model.toLocalIterator():
+        held[r.kind][r.part] = (np.frombuffer(bytes(r["keys"]), _U), np.frombuffer(bytes(r["counts"]), "<u4"))
+    out = []
+    for i, own in enumerate(held):
+        parts = [own[k] for k in sorted(own)] or [(np.empty(0, _U), np.empty(0, "<u4"))]
+        held[i] = {}
+        out += [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return Automaton(*out)
 
 
 SCORED = "n_tokens long, n_known long, train_tokens long, base_score double, score double"

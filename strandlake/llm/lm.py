@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .wordhash import Hasher, Slice, mix, slices
 
-MIN_COUNT, DISCOUNT, MODEL_BYTES, HELD = 3, 0.75, 320_000_000, 2_000_000
+MIN_COUNT, DISCOUNT, MODEL_BYTES, HELD = 3, 0.75, 128_000_000, 2_000_000
 RANGES = 64
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)

@@ -140,6 +140,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 new = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])] if len(d) else np.empty(0, bool)
                 least = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0)) if len(d) else np.empty(0, np.int64)
                 earlier = (doc[least] != doc) | (start[least] != start)
+                with np.errstate(over="ignore"):  # what is decided need not meet its anchor
+                    anchor = np.where(earlier, mix(anchor + doc.view(_U) * _U(31) + start.astype(_U)), anchor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64), mask=earlier), pa.array(doc), pa.array(t), pa.array(start), pa.array(n)],
                     names=[c.split()[0] for c in RUN.split(", ")],

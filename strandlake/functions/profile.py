@@ -75,17 +75,24 @@ def smoothed(sigma: float = 7.0, width: int = 81):
     return run
 
 
+def _nll(k: np.ndarray, p: np.ndarray) -> float:
+    k, p = np.asarray(k, float), np.asarray(p, float)
+    if abs(p.sum() - 1) > 1e-3:
+        raise ValueError("probabilities must sum to 1")
+    pmf = math.lgamma(k.sum() + 1) - sum(map(math.lgamma, k + 1)) + float(np.where(k > 0, k * np.log(np.maximum(p, 1e-300)), 0).sum())
+    return -pmf / len(k)
+
+
 @F.pandas_udf(T.DoubleType())
 def multinomial_nll(counts: pd.Series, probs: pd.Series) -> pd.Series:
     """Negative log-likelihood of counts under probabilities, by position: -log pmf / length."""
-    def one(k: np.ndarray, p: np.ndarray) -> float:
-        k, p = np.asarray(k, float), np.asarray(p, float)
-        if abs(p.sum() - 1) > 1e-3:
-            raise ValueError("probabilities must sum to 1")
-        pmf = math.lgamma(k.sum() + 1) - sum(map(math.lgamma, k + 1)) + float(np.where(k > 0, k * np.log(np.maximum(p, 1e-300)), 0).sum())
-        return -pmf / len(k)
-
-    return pd.Series([one(k, p) for k, p in zip(counts, probs, strict=True)])
+    return pd.Series([_nll(k, p) for k, p in zip(counts, probs, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def multinomial_nll_of_weights(counts: pd.Series, weights: pd.Series) -> pd.Series:
+    """The same under weights, which are made to sum to 1."""
+    return pd.Series([_nll(k, np.asarray(w, float) / np.sum(w)) for k, w in zip(counts, weights, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

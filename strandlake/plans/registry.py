@@ -246,7 +246,7 @@ def profile_distances(s, d):
 @query("""with t as (select *, b / sum(b) over (partition by id) as q from pairs)
 select id, round(-(lgamma(sum(a) + 1) - sum(lgamma(a + 1)) + sum(case when a > 0 then a * ln(q) else 0 end)) / count(*), 6) as mnll from t group by id""", "pairs")
 def multinomial_loss(s, d):
-    x = v.arrays(s, d).withColumn("q", pf.shares(C("b"))).select("id", pf.multinomial_nll("a", "q").alias("mnll"))
+    x = v.arrays(s, d).select("id", pf.multinomial_nll_of_weights("a", "b").alias("mnll"))
     return x.select("id", F.round("mnll", 6).alias("mnll"))
 
 

@@ -165,8 +165,8 @@ class Automaton:
         at, has = self._find(self.arcs, key[order])
         gain = np.empty(len(t))
         gain[order] = np.where(has, self.gain[at] if len(self.gain) else 0, 0)
-        end_fail = fail[np.searchsorted(distinct, END)] if len(t) else 1.0
-        state = np.r_[end_fail, fail[back][:-1]] if len(t) else np.empty(0)
+        at, has = self._find(self.histories, np.array([END >> _U(32)], np.uint32))
+        state = np.r_[self.fail[at] if has[0] else [1.0], fail[back]][: len(t)]
         return known[back], np.log10(alone)[back], np.log10(gain + state * alone[back])
 
 

@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) follow fixed patterns and are always kept.
 Further kinds are proposals with a prior score: an IBAN stands when mod-97 holds;
 a card-like, IBAN-like, national phone or social-security-like number needs words
-nearby that raise its score to the threshold, and loses score where words nearby
+nearby that raise its score to the threshold, and loses score where words before it
 speak against it (order or invoice numbers). Secrets are named tokens.
 
 Every scanner runs in time linear in the text: a run that fails is skipped whole.
@@ -97,10 +97,10 @@ def phones(text: str) -> Iterator[Span]:
 
 
 def score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
-    """A proposal's score: its prior, 0.5 for a checksum that holds, 0.3 for or against it by words nearby."""
+    """A proposal's score: its prior, 0.5 for a checksum that holds, 0.3 for it by words nearby, 0.3 against it by words before."""
     prior, good, bad = CONTEXT[kind]
-    near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}"
-    return prior + 0.5 * confirmed + 0.3 * bool(good.search(near)) - 0.3 * bool(bad and bad.search(near))
+    before = text[max(0, start - WINDOW) : start]
+    return prior + 0.5 * confirmed + 0.3 * bool(good.search(f"{before} {text[end : end + WINDOW]}")) - 0.3 * bool(bad and bad.search(before))
 
 
 def further(text: str, digits: bool) -> Iterator[Span]:

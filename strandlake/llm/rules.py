@@ -18,6 +18,7 @@ listed more than once counts once for each pair. Other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,7 @@ MEASURES = _let(
         ),
     ),
 )
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -86,7 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """docs with the base measures and base_failed, in one pass without a shuffle; clashing columns are replaced."""
     out = docs.drop(*NAMES, "base_failed").withColumn("_m", F.expr(MEASURES))
     out = out.select(*(c for c in out.columns if c != "_m"), *(F.col(f"_m.{n}").alias(n) for n in NAMES))
-    return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    return out.withColumn("base_failed", F.expr(BASE_FAILED))
 
 
 def _log_factorial(x: str) -> str:
@@ -124,27 +126,31 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
 BROADCAST_STRATA = 10_000
 
 
-def judged(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """measured with kept: not base_failed, and above no cutoff of its stratum."""
-    wide = checkpointed(chosen.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES)))
+_OVER = " or ".join(f"coalesce(cast(try_divide({m.split(' / ')[0]}, {m.split(' / ')[1]}) as double) > _{r}, false)" for r, (m, _) in RULES.items())
+KEPT = f"not ({BASE_FAILED} or {_OVER})"
+#: The verdict straight from the text. It holds MEASURES once, so a filter on it measures once.
+KEPT_TEXT = _let("m", MEASURES, re.sub(r"\b(n_\w+|word_chars)", r"m.\1", KEPT))
+
+
+def with_cutoffs(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """docs with the cutoffs of their stratum, which KEPT and KEPT_TEXT read, in columns of leading underscores."""
+    wide = checkpointed(chosen.groupBy(F.col("stratum").alias("_stratum")).agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES)))
     if wide.count() <= BROADCAST_STRATA:
         wide = F.broadcast(wide)
-    over = " or ".join(f"coalesce(cast(try_divide({m.split(' / ')[0]}, {m.split(' / ')[1]}) as double) > _{r}, false)" for r, (m, _) in RULES.items())
-    out = measured.join(wide, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
-    return out.withColumn("kept", F.expr(f"not (base_failed or {over})")).drop("stratum", *(f"_{r}" for r in RULES))
+    return docs.join(wide, F.coalesce("lang", F.lit("")) == F.col("_stratum"), "left")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """op8: measures and verdicts. The texts are read once; only numbers are kept and shuffled."""
     measured = checkpointed(measures(docs.select("doc_id", "lang", "text")).drop("text"))
-    out = judged(measured, cutoffs(measured, labels))
+    out = with_cutoffs(measured, cutoffs(measured, labels)).withColumn("kept", F.expr(KEPT))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. Texts are measured again rather than shuffled."""
     measured = checkpointed(measures(docs.select("doc_id", "lang", "text")).drop("text"))
-    return judged(measures(docs), cutoffs(measured, labels)).filter("kept").select(*docs.columns)
+    return with_cutoffs(docs, cutoffs(measured, labels)).filter(KEPT_TEXT).select(*docs.columns)
 
 
 _SQL_OVER = " or ".join(f"coalesce(try_cast({m.split(' / ')[0]} as double) / nullif({m.split(' / ')[1]}, 0) > r_{r}, false)" for r, (m, _) in RULES.items())

@@ -302,6 +302,10 @@ def test_quality(spark, data, same, docs, empty):
     rows = {r.doc_id: r for r in rules.digest(clashing(docs), labels.limit(0)).collect()}
     assert rows[0].n_words == 0 and rows[0].base_failed and rows[5].n_repeat_words == 3000 and not rows[5].kept
     assert rules.digest(empty, labels).count() == 0
+    odd = d.selectExpr("*", "1 as n_words", "2 as kept", "3 as stratum", "4 as m")
+    stay = rules.stage(odd, labels)
+    assert stay.columns == odd.columns
+    assert sorted(r.doc_id for r in stay.select("doc_id").collect()) == sorted(r.doc_id for r in rules.digest(d, labels).filter("kept").collect())
 
 
 def test_cutoffs_are_exact_binomial(spark):

@@ -172,14 +172,19 @@ class Automaton:
 
 def load(model: DataFrame) -> Automaton:
     """From COUNTS rows, fetched a partition at a time; ranges come in the order of their hashes."""
-    held: list[dict] = [{}, {}]
-    for r in model.toLocalIterator():
-        held[r.kind][r.part] = (np.frombuffer(bytes(r["keys"]), _U), np.frombuffer(bytes(r["counts"]), "<u4"))
-    out = []
-    for i, own in enumerate(held):
-        parts = [own[k] for k in sorted(own)] or [(np.empty(0, _U), np.empty(0, "<u4"))]
-        held[i] = {}
-        out += [np.concatenate(x) for x in zip(*parts, strict=True)]
+    out, at = [], {}
+    sizes = sorted(model.select("kind", "part", F.length("counts") / 4).collect())
+    for kind in (0, 1):
+        total = 0
+        for _, part, n in (r for r in sizes if r[0] == kind):
+            at[kind, part] = total
+            total += int(n)
+        out += [np.empty(total, _U), np.empty(total, "<u4")]
+    for r in model.toLocalIterator():  # straight to their places, so that the model is held once
+        here = at[r.kind, r.part]
+        for table, raw in zip(out[2 * r.kind : 2 * r.kind + 2], (r["keys"], r["counts"]), strict=True):
+            new = np.frombuffer(raw, table.dtype)
+            table[here : here + len(new)] = new
     return Automaton(*out)
 
 

@@ -10,8 +10,9 @@ A text is traversed once, left to right, from the end state to the end token; th
 after a word is that word. Batches of documents are traversed together with numpy.
 
 Counting: each task sends sorted arrays of hashes and counts, cut by hash range, and
-ranges are merged; words have 64-bit hashes, pairs two 32-bit hashes (mixed, so that
-pairs of one frequent word spread over all ranges).
+ranges are merged, one at a time in each task; the number of ranges grows with the bytes
+of text, so that a range stays small. Words have 64-bit hashes, pairs two 32-bit hashes
+(mixed, so that pairs of one frequent word spread over all ranges).
 
 The automaton is broadcast while it has at most MODEL_BYTES. Beyond, traversal is a join:
 documents' pairs meet arcs and words by shuffling, with equal results.
@@ -33,7 +34,8 @@ from .common import stored
 from .wordhash import Hasher, Slice, mix, slices
 
 MIN_COUNT, DISCOUNT, MODEL_BYTES, HELD = 3, 0.75, 128_000_000, 2_000_000
-RANGES = 64
+#: Bytes of training text for one hash range, and the least and most ranges (powers of two).
+RANGE_BYTES, RANGES = 8_000_000, (16, 65_536)
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 
@@ -83,13 +85,46 @@ def _row_batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in COUNTS.split(", ")])
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """In 4 bytes each, or 8 where one needs them."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 2**32 else "<u8").tobytes()
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, _U), np.frombuffer(counts, "<u8" if len(counts) == len(keys) else "<u4")
+
+
+def ranges_for(text_bytes: int) -> int:
+    least, most = RANGES
+    return min(most, max(least, 1 << (text_bytes // RANGE_BYTES).bit_length()))
+
+
+class Merger:
+    """The sums of one range. New arrays wait until they outweigh the sums, so an element is merged few times."""
+
+    def __init__(self):
+        self.sums, self.waiting, self.n = (np.empty(0, _U), np.empty(0, np.int64)), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts.astype(np.int64)))
+        self.n += len(keys)
+        if self.n > max(HELD, len(self.sums[0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sums = tally(*(np.concatenate(x) for x in zip(self.sums, *self.waiting, strict=True)))
+        self.waiting, self.n = [], 0
+        return self.sums
+
+
 def counted(train: DataFrame) -> DataFrame:
     """COUNTS rows, one for each kind (0 words, 1 pairs) and hash range; pairs under MIN_COUNT are left out."""
-    bounds = np.arange(1, RANGES, dtype=_U) << _U(64 - RANGES.bit_length() + 1)
+    ranges = ranges_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bounds = np.arange(1, ranges, dtype=_U) << _U(64 - ranges.bit_length() + 1)
 
     def cut(kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
         at = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-        return [(kind, i, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+        return [(kind, i, keys[a:b].tobytes(), packed(counts[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
 
     def scan(batches: Iterator) -> Iterator:
         hasher, held = Hasher(lower=True), []
@@ -108,19 +143,23 @@ def counted(train: DataFrame) -> DataFrame:
         yield _row_batch(cut(1, *tally(pairs(t))))
 
     def merge(batches: Iterator) -> Iterator:
-        held: dict[tuple, list] = {}
+        now, merger = None, Merger()
         for batch in batches:
-            for kind, part, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = held.setdefault((kind, part), [])
-                own.append((np.frombuffer(keys, _U), np.frombuffer(counts, "<u4").astype(np.int64)))
-                if len(own) > 64:
-                    own[:] = [tally(*(np.concatenate(x) for x in zip(*own, strict=True)))]
-        for (kind, part), own in held.items():
-            keys, counts = tally(*(np.concatenate(x) for x in zip(*own, strict=True)))
-            keep = counts >= (MIN_COUNT if kind else 1)
-            yield _row_batch([(kind, part, keys[keep].tobytes(), np.minimum(counts[keep], 2**32 - 1).astype("<u4").tobytes())])
+            for kind, part, keys, counts in zip(*batch.columns, strict=True):
+                here = kind.as_py(), part.as_py()
+                if here != now:
+                    yield from finished(now, merger)
+                    now, merger = here, Merger()
+                merger.add(*unpacked(keys.as_py(), counts.as_py()))
+        yield from finished(now, merger)
+
+    def finished(group: tuple | None, merger: Merger) -> Iterator:
+        if group is not None:
+            keys, counts = merger.total()
+            keep = counts >= (MIN_COUNT if group[0] else 1)
+            yield _row_batch([(*group, keys[keep].tobytes(), packed(counts[keep]))])
 
-    return train.select("text").mapInArrow(scan, COUNTS).repartition("part", "kind").mapInArrow(merge, COUNTS)
+    return train.select("text").mapInArrow(scan, COUNTS).repartition("part", "kind").sortWithinPartitions("kind", "part").mapInArrow(merge, COUNTS)
 
 
 class Automaton:
@@ -173,17 +212,16 @@ class Automaton:
 def load(model: DataFrame) -> Automaton:
     """From COUNTS rows, fetched a partition at a time; ranges come in the order of their hashes."""
     out, at = [], {}
-    sizes = sorted(model.select("kind", "part", F.length("counts") / 4).collect())
+    sizes = sorted(model.select("kind", "part", (F.length("keys") / 8).cast("long"), F.length("counts") > F.length("keys") / 2).collect())
     for kind in (0, 1):
-        total = 0
-        for _, part, n in (r for r in sizes if r[0] == kind):
+        total, wide = 0, False
+        for _, part, n, wider in (r for r in sizes if r[0] == kind):
             at[kind, part] = total
-            total += int(n)
-        out += [np.empty(total, _U), np.empty(total, "<u4")]
+            total, wide = total + n, wide or wider
+        out += [np.empty(total, _U), np.empty(total, "<u8" if wide else "<u4")]
     for r in model.toLocalIterator():  # straight to their places, so that the model is held once
         here = at[r.kind, r.part]
-        for table, raw in zip(out[2 * r.kind : 2 * r.kind + 2], (r["keys"], r["counts"]), strict=True):
-            new = np.frombuffer(raw, table.dtype)
+        for table, new in zip(out[2 * r.kind : 2 * r.kind + 2], unpacked(r["keys"], r["counts"]), strict=True):
             table[here : here + len(new)] = new
     return Automaton(*out)
 
@@ -222,10 +260,10 @@ def by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
 
         for batch in batches:
             for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                k = np.frombuffer(keys, _U)
+                k, c = unpacked(keys, counts)
                 with np.errstate(over="ignore"):
                     h = (unmix(k) if kind else k) >> _U(32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], names=["kind", "key", "history", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "history", "c"])
 
     def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa

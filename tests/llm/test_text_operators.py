@@ -336,6 +336,27 @@ def test_language_model(docs, texts, empty):
     assert lm.digest(empty).count() == 0
 
 
+def test_counts_are_whole_over_ranges_and_merges(spark, docs, texts, monkeypatch):
+    """Many small merges, more ranges and counts beyond 32 bits give the same sums."""
+    assert [lm.ranges_for(x) for x in (0, 500_000_000, 30 * 10**9, 10**14)] == [16, 64, 4096, 65_536]
+    plain = vars(lm.load(lm.counted(docs)))
+    monkeypatch.setattr(lm, "RANGES", (256, 256))
+    many = vars(lm.load(lm.counted(docs)))
+    assert all(np.array_equal(plain[k], many[k]) for k in plain)
+    rng = np.random.default_rng(4)
+    merger, want = lm.Merger(), collections.Counter()
+    monkeypatch.setattr(lm, "HELD", 50)
+    for _ in range(40):
+        keys, counts = lm.tally(rng.integers(0, 300, 30).astype(np.uint64))
+        counts = counts * 2**30
+        want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        merger.add(*lm.unpacked(keys.tobytes(), lm.packed(counts)))
+    keys, counts = merger.total()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and max(want.values()) > 2**32
+    keys, counts = lm.unpacked(keys.tobytes(), lm.packed(counts))
+    assert counts.dtype == np.dtype("<u8") and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     t = rng.integers(0, 12, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

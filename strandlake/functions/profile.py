@@ -47,6 +47,18 @@ def jensen_shannon(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(total(F.zip_with(shares(a), shares(b), part)) / 2, F.lit(0.0)))
 
 
+def uniform(a: Column) -> Column:
+    """Equal shares over as many positions."""
+    return F.transform(a, lambda x: F.lit(1.0) / F.size(a))
+
+
+def metric_bounds(a: Column) -> dict[str, tuple[Column, Column]]:
+    """The best and worst value of each profile metric: the counts against their own shares and against equal shares. Null, empty and all-zero counts have likelihood bounds of 0."""
+    some = F.coalesce(total(a), F.lit(0.0)) > 0
+    nll = tuple(F.when(some, F.nanvl(multinomial_nll_of_weights(a, b), F.lit(0.0))).otherwise(0.0) for b in (a, uniform(a)))
+    return {"mnll": nll, "cross_entropy": (cross_entropy(a, shares(a)), cross_entropy(a, uniform(a))), "jsd": (F.lit(0.0), jensen_shannon(a, uniform(a)))}
+
+
 def flipped(a: Column) -> Column:
     return F.reverse(a)
 

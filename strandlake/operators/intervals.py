@@ -75,6 +75,14 @@ def coverage_sums(loci: DataFrame, track: DataFrame, size: int, keys: list[str])
     return loci.join(sums, keys, "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 
+def hit_importance(hits: DataFrame, track: DataFrame, size: int) -> DataFrame:
+    """hits (id, chrom, start, end in the locus [lo, hi)) with the mean of the absolute track over the hit, over the locus's total; null where that is 0."""
+    absolute = track.withColumn("value", F.abs("value"))
+    own = coverage_sums(hits.select("id", "chrom", "start", "end"), absolute, size, ["id", "chrom", "start", "end"]).select("id", F.col("total").alias("_own"))
+    whole = coverage_sums(hits.select("id", "chrom", F.col("lo").alias("start"), F.col("hi").alias("end")), absolute, size, ["id", "chrom", "start", "end"]).select("id", F.col("total").alias("_whole"))
+    return hits.join(own, "id").join(whole, "id").withColumn("importance", F.col("_own") / (F.col("end") - F.col("start")) / F.nullif("_whole", F.lit(0))).drop("_own", "_whole")
+
+
 def nearest(points: DataFrame, targets: DataFrame, size: int) -> DataFrame:
     """points (id, chrom, pos) with the signed distance to the nearest target (chrom, pos), the smaller position on a tie.
 

@@ -33,6 +33,37 @@ def fisher_greater(both: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) ->
     return pd.Series([one(*map(int, r)) for r in zip(both, a, b, n, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def poisson_greater(k: pd.Series, mean: pd.Series) -> pd.Series:
+    """P(more than k) of the Poisson distribution; terms 40 standard deviations away count as 0."""
+
+    def one(k: int, mu: float) -> float:
+        if mu <= 0:
+            return 0.0
+        reach = 40 * math.sqrt(mu) + 100
+        if k > mu + reach:
+            return 0.0
+        return max(0.0, 1 - sum(math.exp(i * math.log(mu) - mu - math.lgamma(i + 1)) for i in range(max(0, int(mu - reach)), k + 1)))
+
+    return pd.Series([one(int(a), float(b)) for a, b in zip(k, mean, strict=True)])
+
+
+def self_cooccurrence(hits: DataFrame) -> DataFrame:
+    """key, peaks with it, peaks with two hits or more, and the chance of more such peaks were its hits dealt at random to all peaks."""
+    peaks = hits.select("peak").distinct().agg(F.count("*").alias("_all"))
+    n = hits.groupBy("peak", "key").agg(F.count("*").alias("_n")).groupBy("key").agg(F.count("*").alias("peaks"), F.sum((F.col("_n") >= 2).cast("long")).alias("repeated"))
+    mean = F.col("peaks") * (F.col("peaks") - 1) / (2 * F.col("_all"))
+    return n.join(F.broadcast(peaks)).select("key", "peaks", "repeated", poisson_greater("repeated", mean).alias("p"))
+
+
+def trimmed(motifs: DataFrame, least: float = 0.2, pad: int = 0) -> DataFrame:
+    """Positions (key, pos, ic, ...) from the first to the last of information content least or more, and pad around; all, where none has it."""
+    w = W.partitionBy("key")
+    passing = F.when(F.col("ic") >= least, F.col("pos"))
+    ends = motifs.withColumn("_first", F.min(passing).over(w)).withColumn("_last", F.max(passing).over(w))
+    return ends.filter(F.col("_first").isNull() | F.col("pos").between(F.col("_first") - pad, F.col("_last") + pad)).drop("_first", "_last")
+
+
 def pair_distances(hits: DataFrame) -> DataFrame:
     """For each hit and other key of its peak: the nearest non-overlapping hit's signed distance of centres, negative on a tie."""
     other = hits.select("peak", F.col("key").alias("key_b"), F.col("start").alias("s2"), F.col("end").alias("e2"))

@@ -56,3 +56,14 @@ def early_stop(history: DataFrame, patience: int, min_delta: float) -> DataFrame
     w = W.orderBy("epoch")
     out = history.withColumn("_anchor", F.lag("loss", patience).over(w)).withColumn("_best", F.min("loss").over(w.rowsBetween(1 - patience, 0)))
     return out.select("epoch", "loss", F.coalesce(F.col("_best") >= F.col("_anchor") - min_delta, F.lit(False)).alias("stop"), (F.col("loss") < F.coalesce(F.min("loss").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(float("inf")))).alias("best_so_far"))
+
+
+def plateau_rates(history: DataFrame, patience: int, rate: float, factor: float = 0.5, least: float = 1e-4) -> DataFrame:
+    """history (epoch, loss), a row an epoch, with the learning rate after it: times factor where none of the last patience losses is below the one before them, unless that falls below least."""
+    w = W.orderBy("epoch")
+    flat = F.coalesce(F.min("loss").over(w.rowsBetween(1 - patience, 0)) >= F.lag("loss", patience).over(w), F.lit(False))
+    steps = 0
+    while rate * factor ** (steps + 1) >= least:
+        steps += 1
+    cuts = F.least(F.sum(F.col("_flat").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(steps))
+    return history.withColumn("_flat", flat).select("epoch", "loss", F.col("_flat").alias("plateau"), (rate * F.pow(F.lit(factor), cuts)).alias("rate"))

@@ -328,11 +328,54 @@ def cooccurrence_test(s, d):
     return x.select("key_a", "key_b", F.round(motifs.fisher_greater("peaks", "ka", "kb", "n"), 6).alias("p"))
 
 
+@query(f"""with h as ({HISTORY}), l as (select epoch, loss, coalesce(min(loss) over (order by epoch rows between 1 preceding and current row) >= lag(loss, 2) over (order by epoch), false) as plateau from h)
+select epoch, loss, plateau, 0.004::double * power(0.5, least(sum(plateau::int) over (order by epoch rows unbounded preceding), 5)) as rate from l""", "points")
+def plateau_rates(s, d):
+    o = v.table(s, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch"), F.floor("o_totalprice").alias("x"))
+    return stats.plateau_rates(o.groupBy("epoch").agg(F.floor(F.sum("x") / F.count("*")).alias("loss")), 2, 0.004)
+
+
 @query("select a.id, a.key, b.key as key_b, (list((b.lo + b.hi) // 2 - (a.lo + a.hi) // 2 order by abs((b.lo + b.hi) // 2 - (a.lo + a.hi) // 2), (b.lo + b.hi) // 2 - (a.lo + a.hi) // 2))[1] as distance from hits a join hits b on a.peak = b.peak and a.key <> b.key and (b.hi <= a.lo or b.lo >= a.hi) group by a.id, a.key, b.key", "hits")
 def motif_distances(s, d):
     return motifs.pair_distances(v.hits(s, d))
 
 
+@query("""with n as (select peak, key, count(*) as n from hits group by all), k as (select key, count(*) as peaks, count(*) filter (n >= 2) as repeated from n group by key), t as (select count(distinct peak) as n from hits)
+select key, peaks, repeated, round(greatest(0, 1 - list_sum(list_transform(generate_series(0, repeated), lambda i: exp(i * ln(peaks * (peaks - 1) / (2.0 * t.n)) - peaks * (peaks - 1) / (2.0 * t.n) - lgamma(i + 1))))), 6) as p from k, t""", "hits")
+def self_cooccurrence(s, d):
+    return motifs.self_cooccurrence(v.hits(s, d)).withColumn("p", F.round("p", 6))
+
+
+@query("""with c as (select id % 20 as key, unnest(generate_series(0, 29)) as pos, unnest(string_split(left(seq, 30), '')) as base from sequences where length(seq) >= 30),
+n as (select key, pos, base, count(*) as n from c group by all), f as (select key, pos, n / sum(n) over (partition by key, pos) as p from n),
+i as (select key, pos, round(sum((p + 0.001) / 1.004 * log2((p + 0.001) / 1.004 / 0.25)) + (4 - count(*)) * 0.001 / 1.004 * log2(0.001 / 1.004 / 0.25), 6) as ic from f group by all),
+e as (select key, min(pos) filter (ic >= 0.2) as a, max(pos) filter (ic >= 0.2) as b from i group by key)
+select key, pos, ic from i join e using (key) where a is null or pos between a - 1 and b + 1""", "sequences")
+def trimmed_motifs(s, d):
+    letters = F.posexplode(F.split(F.substring("seq", 1, 30), "")).alias("pos", "base")
+    x = v.sequences(s, d).filter(F.length("seq") >= 30).select((C("id") % 20).alias("key"), letters)
+    p = x.groupBy("key", "pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
+    return motifs.trimmed(p.select("key", "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic")), pad=1)
+
+
+@query("""with l as (select id, w.chrom, lo, hi, lo + 55 as a, lo + 65 as b from windows w),
+i as (select l.id, sum(case when t.lo >= a and t.lo < b then abs(value) else 0 end) as own, sum(abs(value)) as whole from l join track t on t.chrom = l.chrom and t.lo >= l.lo and t.lo < l.hi group by l.id)
+select id, round(own / 10.0 / nullif(whole, 0), 6) as importance from l left join i using (id)""", "windows", "track")
+def hit_importance(s, d):
+    h = windows(s, d).select("id", "chrom", (C("start") + 55).alias("start"), (C("start") + 65).alias("end"), C("start").alias("lo"), C("end").alias("hi"))
+    return iv.hit_importance(h, v.track(s, d), v.BIN).select("id", F.round("importance", 6).alias("importance"))
+
+
+@query("""with t as (select id, n, sum(n) over (partition by id) as s, count(*) over (partition by id) as k from profiles), q as (select *, n / s as p, 1.0::double / k as u from t where s > 0)
+select id, round(-(lgamma(max(s) + 1) - sum(lgamma(n + 1)) + sum(case when n > 0 then n * ln(p) else 0 end)) / max(k), 6) as mnll_best, round(-(lgamma(max(s) + 1) - sum(lgamma(n + 1)) + sum(n * ln(u))) / max(k), 6) as mnll_worst,
+round(-sum(p * ln(p + 1e-7)), 6) as ce_best, round(-sum(p * ln(u + 1e-7)), 6) as ce_worst,
+round(sqrt(greatest(sum((case when p > 0 then p * ln(p / ((p + u) / 2)) else 0 end) + u * ln(u / ((p + u) / 2))) / 2, 0)), 6) as jsd_worst from q group by id""", "profiles")
+def metric_bounds(s, d):
+    b = pf.metric_bounds(C("a"))
+    named = {"mnll_best": b["mnll"][0], "mnll_worst": b["mnll"][1], "ce_best": b["cross_entropy"][0], "ce_worst": b["cross_entropy"][1], "jsd_worst": b["jsd"][1]}
+    return v.arrays(s, d).filter(pf.total(C("a")) > 0).select("id", *(F.round(x, 6).alias(n) for n, x in named.items()))
+
+
 @query("select key, count(*) as hits, count(distinct peak) as peaks, round(count(distinct peak) / (select count(distinct peak) from hits), 6) as share from hits group by key", "hits")
 def hits_per_motif(s, d):
     h = v.hits(s, d)

@@ -151,7 +151,7 @@ def status_and_clamp(s, d):
 
 SEQ_SQL = """
 select id, translate(reverse(seq), 'ACGT', 'TGCA') as rc, left(rpad(seq, 50, 'N'), 50) as fixed, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) as gc,
-case when length(seq) = 0 then null else (200 * (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) + length(seq)) // (2 * length(seq)) end as gc_pct,
+case when length(seq) = 0 then null else (200 * (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) + length(seq)) // (2 * length(seq)) end::double as gc_pct,
 regexp_full_match(seq, '[ACGT]+') as clean, 2 * length(replace(replace(seq, 'C', ''), 'T', '')) > length(seq) as purine, left(rpad(seq, 50, 'N'), 50)[21:30] as mid, length(seq) - length(seq) % 64 as whole from sequences
 """
 
@@ -161,21 +161,21 @@ def sequence_functions(s, d):
     q = C("seq")
     n = F.length(q)
     return v.sequences(s, d).select(
-        "id", sq.reverse_complement(q).alias("rc"), sq.fixed_length(q, 50).alias("fixed"), sq.base_count(q, "GC").alias("gc"), sq.gc_percent(q).alias("gc_pct"),
-        sq.only_acgt(q).alias("clean"), sq.purine_forward(q).alias("purine"), sq.centre(sq.fixed_length(q, 50), 10).alias("mid"), sq.round_to_multiple(n, 64).alias("whole"),
+        "id", sq.reverse_complement(q).alias("rc"), sq.fixed_length(q, 50).alias("fixed"), sq.base_count(q, "GC").cast("long").alias("gc"), sq.gc_percent(q).cast("double").alias("gc_pct"),
+        sq.only_acgt(q).alias("clean"), sq.purine_forward(q).alias("purine"), sq.centre(sq.fixed_length(q, 50), 10).alias("mid"), sq.round_to_multiple(n, 64).cast("long").alias("whole"),
     )
 
 
 @query("select id, left(rpad(seq, 30, 'N'), 30) as back, len(string_split(left(rpad(seq, 30, 'N'), 30), 'A')) - 1 as n_a from sequences", "sequences")
 def one_hot_round_trip(s, d):
     hot = sq.one_hot(sq.fixed_length(C("seq"), 30))
-    return v.sequences(s, d).withColumn("hot", hot).select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).alias("n_a"))
+    return v.sequences(s, d).withColumn("hot", hot).select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).cast("long").alias("n_a"))
 
 
 @query("select pos, base, count(*) as n from (select unnest(generate_series(0, 29)) as pos, unnest(string_split(left(rpad(seq, 30, 'N'), 30), '')) as base from sequences) group by all", "sequences")
 def position_counts(s, d):
     letters = F.posexplode(F.split(sq.fixed_length(C("seq"), 30), "")).alias("pos", "base")
-    return v.sequences(s, d).select(letters).groupBy("pos", "base").agg(F.count("*").alias("n"))
+    return v.sequences(s, d).select(letters).groupBy(C("pos").cast("long").alias("pos"), "base").agg(F.count("*").alias("n"))
 
 
 @query("""with c as (select pos, base, count(*) as n from (select unnest(generate_series(0, 29)) as pos, unnest(string_split(left(seq, 30), '')) as base from sequences where length(seq) >= 30) group by all),
@@ -183,7 +183,7 @@ f as (select pos, base, n / sum(n) over (partition by pos) as p from c)
 select pos, round(sum((p + 0.001) / 1.004 * log2((p + 0.001) / 1.004 / 0.25)) + (4 - count(*)) * 0.001 / 1.004 * log2(0.001 / 1.004 / 0.25), 6) as ic from f group by pos""", "sequences")
 def information_content(s, d):
     letters = F.posexplode(F.split(F.substring("seq", 1, 30), "")).alias("pos", "base")
-    n = v.sequences(s, d).filter(F.length("seq") >= 30).select(letters).groupBy("pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
+    n = v.sequences(s, d).filter(F.length("seq") >= 30).select(letters).groupBy(C("pos").cast("long").alias("pos")).agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
     return n.select("pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
 
 
@@ -208,7 +208,7 @@ def last_duplicate_wins(s, d):
 @query("with r as (select chrom, id, signal, row_number() over (partition by chrom order by signal desc, id) as k from loci) select chrom, id, signal, k from r where k <= 5", "loci")
 def top_k_per_group(s, d):
     k = F.row_number().over(W.partitionBy("chrom").orderBy(C("signal").desc(), "id"))
-    return v.loci(s, d).select("chrom", "id", "signal", k.alias("k")).filter("k <= 5")
+    return v.loci(s, d).select("chrom", "id", "signal", k.cast("long").alias("k")).filter("k <= 5")
 
 
 @query()
@@ -307,7 +307,7 @@ HISTORY = "select (year(o_orderdate) * 12 + month(o_orderdate)) as epoch, (sum(f
 @query(f"""with h as ({HISTORY}), l as (select epoch, loss, lag(loss, 3) over (order by epoch) as anchor, min(loss) over (order by epoch rows between 2 preceding and current row) as best, min(loss) over (order by epoch rows between unbounded preceding and 1 preceding) as before from h)
 select epoch, loss, coalesce(best >= anchor - 100, false) as stop, before is null or loss < before as best_so_far from l""", "points")
 def early_stopping(s, d):
-    o = v.table(s, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch"), F.floor("o_totalprice").alias("x"))
+    o = v.table(s, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("epoch"), F.floor("o_totalprice").alias("x"))
     return stats.early_stop(o.groupBy("epoch").agg(F.floor(F.sum("x") / F.count("*")).alias("loss")), 3, 100)
 
 
@@ -331,7 +331,7 @@ def cooccurrence_test(s, d):
 @query(f"""with h as ({HISTORY}), l as (select epoch, loss, coalesce(min(loss) over (order by epoch rows between 1 preceding and current row) >= lag(loss, 2) over (order by epoch), false) as plateau from h)
 select epoch, loss, plateau, 0.004::double * power(0.5, least(sum(plateau::int) over (order by epoch rows unbounded preceding), 5)) as rate from l""", "points")
 def plateau_rates(s, d):
-    o = v.table(s, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch"), F.floor("o_totalprice").alias("x"))
+    o = v.table(s, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("epoch"), F.floor("o_totalprice").alias("x"))
     return stats.plateau_rates(o.groupBy("epoch").agg(F.floor(F.sum("x") / F.count("*")).alias("loss")), 2, 0.004)
 
 
@@ -354,7 +354,7 @@ select key, pos, ic from i join e using (key) where a is null or pos between a -
 def trimmed_motifs(s, d):
     letters = F.posexplode(F.split(F.substring("seq", 1, 30), "")).alias("pos", "base")
     x = v.sequences(s, d).filter(F.length("seq") >= 30).select((C("id") % 20).alias("key"), letters)
-    p = x.groupBy("key", "pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
+    p = x.groupBy("key", C("pos").cast("long").alias("pos")).agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
     return motifs.trimmed(p.select("key", "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic")), pad=1)
 
 
@@ -397,7 +397,7 @@ def ensemble_profiles(s, d):
 @query("select a.id // 2 as locus_id, a.pos, round((a.n + b.n) / 2.0, 6) as value from profiles a join profiles b on b.id = a.id + 1 and b.pos = 63 - a.pos where a.id % 2 = 0", "profiles")
 def strand_averages(s, d):
     x = v.arrays(s, d).select(F.floor(C("id") / 2).alias("locus_id"), (C("id") % 2 == 1).alias("rev_comp"), C("a").alias("profile"), F.lit(0.0).alias("log_count"))
-    return motifs.strand_average(x).select("locus_id", F.posexplode("profile").alias("pos", "value")).withColumn("value", F.round("value", 6))
+    return motifs.strand_average(x).select("locus_id", F.posexplode("profile").alias("pos", "value")).select("locus_id", C("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query("select label, round(avg((ln(n + 1) - 3) * (ln(n + 1) - 3)), 6) as mse, round(avg(exp(3) - n * 3), 6) as poisson from profiles group by label", "profiles")

@@ -47,7 +47,7 @@ def sequences(s: SparkSession, d: str) -> DataFrame:
 def profiles(s: SparkSession, d: str) -> DataFrame:
     """id, label, pos, n: integer counts by position, long."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode("embedding").alias("pos", "x"))
-    return e.select("id", "label", "pos", F.floor(F.abs(F.col("x").cast("double")) * 1000).alias("n"))
+    return e.select("id", "label", F.col("pos").cast("long").alias("pos"), F.floor(F.abs(F.col("x").cast("double")) * 1000).alias("n"))
 
 
 def arrays(s: SparkSession, d: str) -> DataFrame:

@@ -55,7 +55,7 @@ def uniform(a: Column) -> Column:
 def metric_bounds(a: Column) -> dict[str, tuple[Column, Column]]:
     """The best and worst value of each profile metric: the counts against their own shares and against equal shares. Null, empty and all-zero counts have likelihood bounds of 0."""
     some = F.coalesce(total(a), F.lit(0.0)) > 0
-    nll = tuple(F.when(some, F.nanvl(multinomial_nll_of_weights(a, b), F.lit(0.0))).otherwise(0.0) for b in (a, uniform(a)))
+    nll = tuple(F.when(some, F.coalesce(multinomial_nll_of_weights(a, b), F.lit(0.0))).otherwise(0.0) for b in (a, uniform(a)))
     return {"mnll": nll, "cross_entropy": (cross_entropy(a, shares(a)), cross_entropy(a, uniform(a))), "jsd": (F.lit(0.0), jensen_shannon(a, uniform(a)))}
 
 
@@ -87,7 +87,9 @@ def smoothed(sigma: float = 7.0, width: int = 81):
     return run
 
 
-def _nll(k: np.ndarray, p: np.ndarray) -> float:
+def _nll(k: np.ndarray | None, p: np.ndarray | None) -> float | None:
+    if k is None or p is None or not len(k):
+        return None
     k, p = np.asarray(k, float), np.asarray(p, float)
     if abs(p.sum() - 1) > 1e-3:
         raise ValueError("probabilities must sum to 1")
@@ -97,14 +99,15 @@ def _nll(k: np.ndarray, p: np.ndarray) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def multinomial_nll(counts: pd.Series, probs: pd.Series) -> pd.Series:
-    """Negative log-likelihood of counts under probabilities, by position: -log pmf / length."""
-    return pd.Series([_nll(k, p) for k, p in zip(counts, probs, strict=True)])
+    """Negative log-likelihood of counts under probabilities, by position: -log pmf / length; null for null or empty arrays."""
+    return pd.Series([_nll(k, p) for k, p in zip(counts, probs, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def multinomial_nll_of_weights(counts: pd.Series, weights: pd.Series) -> pd.Series:
-    """The same under weights, which are made to sum to 1."""
-    return pd.Series([_nll(k, np.asarray(w, float) / np.sum(w)) for k, w in zip(counts, weights, strict=True)])
+    """The same under weights, which are made to sum to 1; null also where they sum to 0."""
+    shares = (None if w is None or not np.sum(w) > 0 else np.asarray(w, float) / np.sum(w) for w in weights)
+    return pd.Series([_nll(k, p) for k, p in zip(counts, shares, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import profile as pf
 from strandlake.functions import sequence as sq
 from strandlake.operators import intervals as iv
-from strandlake.operators import motifs, sampling
+from strandlake.operators import motifs, sampling, stats
 from strandlake.sources import files
 
 
@@ -117,3 +117,29 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"0": {"loci": {}}}))
     assert files.read_tasks(str(tmp_path / "t.json")) == {0: {"loci": {}}}
     assert files.with_defaults({"a": {"x": 1}}, {"a": {"x": 0, "y": 2}, "b": 3}) == {"a": {"x": 1, "y": 2}, "b": 3}
+
+
+def test_trimming_keeps_all_where_none_passes(spark):
+    rows = [("a", i, x) for i, x in enumerate([0.0, 0.1, 0.5, 0.1, 0.3, 0.0])] + [("b", 0, 0.1), ("b", 1, 0.0)]
+    got = motifs.trimmed(spark.createDataFrame(rows, "key string, pos long, ic double"), 0.2, 1).collect()
+    assert sorted((r.key, r.pos) for r in got) == [("a", i) for i in range(1, 6)] + [("b", 0), ("b", 1)]
+
+
+def test_poisson_tails(spark):
+    rows = [(0, 0.0), (0, 1.0), (2, 1.0), (1_000_000, 1e6), (2_000_000, 1e6)]
+    p = [r.p for r in spark.createDataFrame(rows, "k long, m double").coalesce(1).select(motifs.poisson_greater("k", "m").alias("p")).collect()]
+    assert p == pytest.approx([0, 1 - math.exp(-1), 1 - 2.5 * math.exp(-1), 0.5, 0], abs=1e-3)
+
+
+def test_metric_bounds_of_odd_counts(spark):
+    df = spark.createDataFrame([(1, [3.0, 1.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "id long, a array<double>")
+    best, worst = pf.metric_bounds(F.col("a"))["mnll"]
+    got = {r.id: (r.x, r.y) for r in df.select("id", best.alias("x"), worst.alias("y")).collect()}
+    assert got[2] == got[3] == got[4] == (0, 0)
+    assert got[1] == pytest.approx((-math.log(4 * 0.75**3 * 0.25) / 2, -math.log(4 * 0.5**4) / 2))
+
+
+def test_rates_stop_at_the_least(spark):
+    rows = [(i, x) for i, x in enumerate([5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 1.0])]
+    got = [r.rate for r in stats.plateau_rates(spark.createDataFrame(rows, "epoch long, loss double"), 2, 4e-4).orderBy("epoch").collect()]
+    assert got == pytest.approx([4e-4, 4e-4, 4e-4, 2e-4, 1e-4, 1e-4, 1e-4, 1e-4])

@@ -1,9 +1,9 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Training counts words and word pairs over all training documents. The automaton's
-states are the words as histories and the empty history. From history h, a pair hw seen
-at least MIN_COUNT times has an arc with the probability that absolute discounting gives
-it; the failure arc leads to the empty history with the weight that is left, and there
+states are the words as histories and the empty history. From history h, every pair hw seen
+in training has an arc with the probability that absolute discounting gives it; the
+failure arc leads to the empty history with the weight that is left, and there
 each word has its add-one probability. An arc's weight is interpolated with its failure
 path, so the probabilities after a history sum to 1 over known words and one unknown.
 A text is traversed once, left to right, from the end state to the end token; the state
@@ -14,8 +14,10 @@ ranges are merged, one at a time in each task; the number of ranges grows with t
 of text, so that a range stays small. Words have 64-bit hashes, pairs two 32-bit hashes
 (mixed, so that pairs of one frequent word spread over all ranges).
 
-The automaton is broadcast while it has at most MODEL_BYTES. Beyond, traversal is a join:
-documents' pairs meet arcs and words by shuffling, with equal results.
+The automaton is broadcast while it has at most MODEL_BYTES (and texts at most a quarter of
+that, so that larger ones aren't counted twice). Beyond, it stays in its hash ranges, with
+equal results: each chunk of documents sends its distinct pairs and words to their ranges,
+which answer with the numbers of all training documents, in the order they were asked.
 
 Null and empty texts are the end token alone. Without training rows every word is
 unknown: N = V = 0. A null doc_id is in training. Repeated rows count each. Only doc_id
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .wordhash import Hasher, Slice, mix, slices
 
-MIN_COUNT, DISCOUNT, MODEL_BYTES, HELD = 3, 0.75, 128_000_000, 2_000_000
+DISCOUNT, MODEL_BYTES, HELD = 0.75, 128_000_000, 2_000_000
 #: Bytes of training text for one hash range, and the least and most ranges (powers of two).
 RANGE_BYTES, RANGES = 8_000_000, (16, 65_536)
 _U = np.uint64
@@ -99,6 +101,17 @@ def ranges_for(text_bytes: int) -> int:
     return min(most, max(least, 1 << (text_bytes // RANGE_BYTES).bit_length()))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def pieces(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """Sorted keys by hash range: the range, and where it begins and ends."""
+    bounds = np.arange(1, ranges, dtype=_U) << _U(64 - ranges.bit_length() + 1)
+    at = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+    return [(int(i), int(at[i]), int(at[i + 1])) for i in np.flatnonzero(np.diff(at))]
+
+
 class Merger:
     """The sums of one range. New arrays wait until they outweigh the sums, so an element is merged few times."""
 
@@ -118,13 +131,11 @@ class Merger:
 
 
 def counted(train: DataFrame) -> DataFrame:
-    """COUNTS rows, one for each kind (0 words, 1 pairs) and hash range; pairs under MIN_COUNT are left out."""
-    ranges = ranges_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bounds = np.arange(1, ranges, dtype=_U) << _U(64 - ranges.bit_length() + 1)
+    """COUNTS rows, one for each kind (0 words, 1 pairs) and hash range."""
+    ranges = ranges_for(text_bytes(train))
 
     def cut(kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        at = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-        return [(kind, i, keys[a:b].tobytes(), packed(counts[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+        return [(kind, i, keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)]
 
     def scan(batches: Iterator) -> Iterator:
         hasher, held = Hasher(lower=True), []
@@ -156,8 +167,7 @@ def counted(train: DataFrame) -> DataFrame:
     def finished(group: tuple | None, merger: Merger) -> Iterator:
         if group is not None:
             keys, counts = merger.total()
-            keep = counts >= (MIN_COUNT if group[0] else 1)
-            yield _row_batch([(*group, keys[keep].tobytes(), packed(counts[keep]))])
+            yield _row_batch([(*group, keys.tobytes(), packed(counts))])
 
     return train.select("text").mapInArrow(scan, COUNTS).repartition("part", "kind").sortWithinPartitions("kind", "part").mapInArrow(merge, COUNTS)
 
@@ -252,48 +262,153 @@ def by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, {SCORED}")
 
 
-def by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same without a broadcast model: each document's distinct pairs, with their numbers, meet arcs and words."""
+ASKED = "kind int, part int, chunk long, keys binary, counts binary"
+TOTALS = ", total long, distinct long"
 
-    def unpack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                k, c = unpacked(keys, counts)
-                with np.errstate(over="ignore"):
-                    h = (unmix(k) if kind else k) >> _U(32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "history", "c"])
+def _batch(rows: list[tuple], schema: str):
+    import pyarrow as pa
 
-    def spread(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def planes(places: np.ndarray) -> bytes:
+    """4-byte numbers, all lowest bytes first, so that the empty high bytes compress."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def placed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """A row for each chunk of documents of about HELD tokens: doc_ids, held_out, numbers of tokens, distinct words and the tokens' places among them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
-        hasher, rid = Hasher(lower=True), TaskContext.get().partitionId() << 36
+        hasher, chunk, held, size = Hasher(lower=True), TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for s in slices(batch.column(2), hasher):
                 t, first = tokens(s)
-                who = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(t)]))
-                columns = np.stack([who, pairs(t).view(np.int64), t.view(np.int64), np.r_[END, t[:-1]].view(np.int64) >> 32 & 0xFFFFFFFF])
-                columns, n = np.unique(columns, axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.rows].take(pa.array(columns[0])), batch.column(1)[s.rows].take(pa.array(columns[0])), pa.array(columns[0] + rid), *(pa.array(c) for c in columns[1:]), pa.array(n)], names=["doc_id", "held_out", "rid", "pair", "word", "history", "n"])
-                rid += len(first)
-
-    rows = model.mapInArrow(unpack, "kind int, key long, history long, c long")
-    words, arcs = rows.filter("kind = 0"), rows.filter("kind = 1")
-    total, distinct = words.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    seen = words.groupBy("history").agg(F.sum("c").alias("seen"))
-    gains = arcs.join(seen, "history").select(F.col("key").alias("pair"), "history", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("gain"))
-    fails = gains.groupBy("history").agg(F.greatest(1 - F.sum("gain"), F.lit(1e-9)).alias("fail"))
+                held.append((batch.column(0)[s.rows], batch.column(1)[s.rows], np.diff(np.r_[first, len(t)]), t))
+                size += len(t)
+                if size > HELD:
+                    yield send(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield send(chunk, held)
+
+    def send(chunk: int, held: list[tuple]):
+        import pyarrow as pa
+
+        ids, out, n, t = zip(*held, strict=True)
+        words, at = np.unique(np.concatenate(t), return_inverse=True)
+        lists = [pa.concat_arrays(ids), pa.concat_arrays(out), pa.array(np.concatenate(n), pa.int64())]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([words.tobytes()]), pa.array([planes(at)])], names=["chunk", "ids", "held", "n", "words", "at"])
+
+    return docs.mapInArrow(scan, f"chunk long, ids array<{kind}>, held array<boolean>, n array<long>, words binary, at binary")
+
+
+def by_ranges(docs: DataFrame, all_bytes: int) -> DataFrame:
+    """The same without a broadcast model."""
+    ranges = ranges_for(all_bytes)
+    chunks = stored(chunked(docs))
+
+    def ask(kind: int):
+        def run(batches: Iterator) -> Iterator:
+            for batch in batches:
+                for chunk, held, n, words, at in zip(*batch.columns, strict=True):
+                    words, at = np.frombuffer(words.as_py(), _U), placed(at.as_py())
+                    trains = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), n.values.to_numpy())
+                    if kind:
+                        keys, at = np.unique(pairs(words[at]), return_inverse=True)
+                    else:
+                        keys = words
+                    counts = np.bincount(at[trains], minlength=len(keys))
+                    yield _batch([(kind, i, chunk.as_py(), keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)], ASKED)
+
+        return chunks.select("chunk", "held", "n", "words", "at").mapInArrow(run, ASKED)
+
+    def by_part(answer):
+        """answer: of a range's rows (kind, part, chunk, keys, counts), the rows to give back."""
+
+        def run(batches: Iterator) -> Iterator:
+            now, rows = None, []
+            for batch in batches:
+                for kind, part, chunk, keys, counts in zip(*batch.columns, strict=True):
+                    if part.as_py() != now:
+                        if rows:
+                            yield from answer(rows)
+                        now, rows = part.as_py(), []
+                    rows.append((kind.as_py(), now, chunk.as_py(), *unpacked(keys.as_py(), counts.as_py())))
+            if rows:
+                yield from answer(rows)
+
+        return run
+
+    def summed(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        merger = Merger()
+        for *_, keys, counts in rows:
+            merger.add(keys, counts)
+        keys, counts = merger.total()
+        return keys[counts > 0], counts[counts > 0]
+
+    def numbers(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        at, has = Automaton._find(keys, asked)
+        return np.where(has, counts[at] if len(counts) else 0, 0)
+
+    def pair_counts(rows: list[tuple]) -> Iterator:
+        keys, counts = summed(rows)
+        for _, part, chunk, asked, _ in rows:
+            yield _batch([(1, part, chunk, b"", packed(numbers(keys, counts, asked)))], ASKED)
+        with np.errstate(over="ignore"):  # how many arcs leave a history, for the histories' ranges
+            arcs = tally(unmix(keys) >> _U(32) << _U(32))
+        yield _batch([(2, i, None, arcs[0][a:b].tobytes(), packed(arcs[1][a:b])) for i, a, b in pieces(arcs[0], ranges)], ASKED)
+
+    def word_counts(rows: list[tuple]) -> Iterator:
+        asks, arcs = [r for r in rows if r[0] == 0], summed([r for r in rows if r[0] == 2])
+        keys, counts = summed(asks)
+        seen = tally(keys >> _U(32) << _U(32), counts)
+        for _, part, chunk, asked, _ in asks:
+            half = asked >> _U(32) << _U(32)
+            three = np.stack([numbers(keys, counts, asked), numbers(*seen, half), numbers(*arcs, half)]).astype("<i8")
+            yield _batch([(0, part, chunk, b"", three.tobytes(), 0, 0)], ASKED + TOTALS)
+        yield _batch([(3, rows[0][1], None, b"", b"", int(counts.sum()), len(keys))], ASKED + TOTALS)
+
+    asked = ask(1).repartition("part").sortWithinPartitions("part")
+    of_pairs = stored(asked.mapInArrow(by_part(pair_counts), ASKED))
+    asked = ask(0).unionByName(of_pairs.filter("kind = 2")).repartition("part").sortWithinPartitions("part")
+    of_words = stored(asked.mapInArrow(by_part(word_counts), ASKED + TOTALS))
+    total, distinct = (x or 0 for x in of_words.filter("kind = 3").agg(F.sum("total"), F.sum("distinct")).first())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.mapInArrow(spread, f"doc_id {kind}, held_out boolean, rid long, pair long, word long, history long, n long")
-    each = each.join(words.select(F.col("key").alias("word"), "c"), "word", "left").join(gains.select("pair", "gain"), "pair", "left").join(fails, "history", "left")
-    alone = (F.coalesce("c", F.lit(0)) + 1.0) / (total + distinct + 1)
-    score = F.log10(F.coalesce("gain", F.lit(0.0)) + F.coalesce("fail", F.lit(1.0)) * alone)
-    known = F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))
-    out = each.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), known.alias("n_known"), F.sum(F.col("n") * F.log10(alone)).alias("base_score"), F.sum(F.col("n") * score).alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+    def score(chunk, answers):
+        import pyarrow as pa
+
+        (chunk,) = chunk.to_batches() if chunk.num_rows == 1 else chunk.combine_chunks().to_batches()
+        ids, held, n, words, at = chunk.columns[1:]
+        n, words, at = n.values.to_numpy(), np.frombuffer(words[0].as_py(), _U), placed(at[0].as_py())
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "counts")), strict=True))
+        c, seen, arcs = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for k, _, x in rows if k == 0], axis=1)
+        t = words[at]
+        keys, place = np.unique(pairs(t), return_inverse=True)
+        sizes = [b - a for _, a, b in pieces(keys, ranges)]
+        found = [np.frombuffer(x, "<u8" if len(x) == 8 * size else "<u4") for size, (_, _, x) in zip(sizes, (r for r in rows if r[0] == 1), strict=True)]
+        arc = np.concatenate(found)[place].astype(np.float64)
+        before = np.r_[np.searchsorted(words, END), at[:-1]]
+        alone = ((c + 1.0) / (total + distinct + 1))[at]
+        fail = np.where(seen > 0, np.maximum(DISCOUNT * arcs / np.maximum(seen, 1), 1e-9), 1)
+        gain = np.where(arc > 0, (arc - DISCOUNT) / np.maximum(seen, 1)[before], 0)
+        sums = [np.add.reduceat(x, np.r_[0, np.cumsum(n)[:-1]]) for x in ((c > 0)[at].astype(np.int64), np.log10(alone), np.log10(gain + fail[before] * alone))]
+        return pa.table([ids.values, held.values, pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), total)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
+
+    answers = of_pairs.filter("kind = 1").unionByName(of_words.filter("kind = 0").drop("total", "distinct")).select("kind", "part", "chunk", "counts")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, {SCORED}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -303,8 +418,9 @@ def held_out(doc_id: Column) -> Column:
 def digest(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """op10."""
     docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    all_bytes = text_bytes(docs)
+    if all_bytes > model_bytes / 4:
+        return by_ranges(docs, all_bytes)
     model = stored(counted(docs.filter(~F.col("held_out"))))
     size = model.agg(F.sum(F.length("keys") + F.length("counts"))).first()[0] or 0
-    return by_broadcast(docs, model) if size <= model_bytes else by_join(docs, model)
-
-
+    return by_broadcast(docs, model) if size <= model_bytes else by_ranges(docs, all_bytes)

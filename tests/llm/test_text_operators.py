@@ -357,6 +357,27 @@ def test_counts_are_whole_over_ranges_and_merges(spark, docs, texts, monkeypatch
     assert counts.dtype == np.dtype("<u8") and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
 
 
+def test_language_model_keeps_rare_pairs(docs, texts, monkeypatch):
+    """Scores are those of absolute discounting over all pairs, in the broadcast form and by ranges, over several chunks."""
+    w = {i: [None, *(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
+    train = [v for i, v in w.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(x for v in train for x in v[1:])
+    two = collections.Counter(p for v in train for p in zip(v, v[1:], strict=False))
+    arcs = collections.Counter(h for h, _ in two)
+    n, size = sum(c.values()), len(c)
+    assert sum(k < 3 for k in two.values()) > 100
+
+    def score(v):
+        p = [(max(two[h, x] - 0.75, 0) / c[h] if c[h] else 0) + (0.75 * arcs[h] / c[h] if c[h] else 1) * (c[x] + 1) / (n + size + 1) for h, x in zip(v, v[1:], strict=False)]
+        return sum(map(math.log10, p))
+
+    whole = lm.digest(docs).collect()
+    monkeypatch.setattr(lm, "HELD", 300)
+    for r in [*whole, *lm.digest(docs, 0).collect()]:
+        assert r.score == pytest.approx(score(w[r.doc_id]), rel=1e-5)
+    assert len(whole) == len(texts)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     t = rng.integers(0, 12, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

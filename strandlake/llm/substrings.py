@@ -13,6 +13,9 @@ have equal anchors, wherever they stand. Runs are dealt out by anchor.
    run of each sequence is a reference passage: a suffix automaton of the earlier ones
    is built word by word, each passage is streamed through it for matching statistics,
    and ends of matches of 20 or more words give the windows to remove.
+   Where over CROWDED passages meet (a shared passage after many different words), they
+   are cut into window hashes instead: the first place of each by a pre-aggregated
+   grouping, joined back, so that no anchor is one task's work.
 3. Documents join their removed windows, and the words these cover go.
 
 reference_spans() is the broadcast form for a reference of bounded size.
@@ -35,6 +38,8 @@ from .common import stored
 from .wordhash import Hasher, Slice, mix, slices
 
 WINDOW, GROUP = 20, 6
+#: Passages of one anchor that an automaton takes, and places of one window beyond which its first place is broadcast.
+CROWDED, HOT = 64, 10_000
 _U = np.uint64
 
 
@@ -196,8 +201,28 @@ def _ended(batches: Iterator) -> Iterator:
     yield None
 
 
+def windows(h: np.ndarray, at: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """Hashes of the windows of h that start there."""
+    hasher._powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * hasher.power[: len(h)], out=sums[1:], dtype=_U)
+        return mix((sums[at + WINDOW] - sums[at]) * hasher.inverse[at])
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """Windows (anchor: their hash) of crowded anchors: doc_id, th, start, n of those that start earlier too."""
+    place = F.struct("doc_id", "start")
+    first = found.groupBy("anchor").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1")
+    hot = F.broadcast(first.filter(F.col("places") > HOT).select("anchor", F.col("first").alias("hot")))
+    rest = first.filter(F.col("places") <= HOT).select("anchor", "first")
+    rows = found.select("anchor", "doc_id", "th", "start").join(hot, "anchor", "left")
+    both = rows.filter("hot is not null").withColumnRenamed("hot", "first").unionByName(rows.filter("hot is null").drop("hot").join(rest, "anchor"))
+    return both.filter(F.col("first") < place).select("doc_id", "th", "start", F.lit(1).cast("long").alias("n"))
+
+
 def passages(asked: DataFrame) -> DataFrame:
-    """asked: th, doc_id, text and asked (array of anchor, start, n). The reference passages' word hashes."""
+    """asked: th, doc_id, text and asked (array of anchor, start, n, crowded). The reference passages' word hashes; of crowded ones each window's hash, as anchor, without words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -210,11 +235,20 @@ def passages(asked: DataFrame) -> DataFrame:
                 flat = part.flatten()
                 anchor, start, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 d = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
-                a = s.first[d] + start
+                a, crowded = s.first[d] + start, flat.field(3).to_numpy(zero_copy_only=False).astype(bool)
                 h = s.hashes.view(np.int64)
-                words = pa.array([h[i : i + k + WINDOW - 1] for i, k in zip(a, n, strict=True)], pa.list_(pa.int64()))
-                take = pa.array(d + s.rows.start)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), words], names=["anchor", "doc_id", "th", "start", "words"])
+                words = pa.array([h[i : i + k + WINDOW - 1] for i, k in zip(a[~crowded], n[~crowded], strict=True)], pa.list_(pa.int64()))
+                yield batch_of(batch, anchor[~crowded], d[~crowded] + s.rows.start, start[~crowded], words)
+                if crowded.any():
+                    k = n[crowded]
+                    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    yield batch_of(batch, windows(s.hashes, np.repeat(a[crowded], k) + step, hasher).view(np.int64), np.repeat(d[crowded], k) + s.rows.start, np.repeat(start[crowded], k) + step, pa.nulls(len(step), pa.list_(pa.int64())))
+
+    def batch_of(batch, anchor: np.ndarray, take: np.ndarray, start: np.ndarray, words):
+        import pyarrow as pa
+
+        take = pa.array(take)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), words], names=["anchor", "doc_id", "th", "start", "words"])
 
     return asked.mapInArrow(run, "anchor long, doc_id long, th long, start long, words array<long>")
 
@@ -281,9 +315,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("id").alias("doc_id"), "th", "text")
     dealt = scan(keyed).repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "start")
     decided = stored(decide(dealt))
-    asked = decided.filter("context is not null").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("asked"))
+    several = decided.filter("context is not null").select("anchor", "doc_id", "th", "start", "n")
+    crowded = several.groupBy("anchor").count().filter(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded"))
+    several = several.join(crowded, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    asked = several.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n", "crowded")).alias("asked"))
     texts = keyed.join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asked")
-    partly = resolve(passages(texts).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"))
+    found = stored(passages(texts))
+    partly = resolve(found.filter("words is not null").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"))
+    partly = partly.union(repeated(found.filter("words is null")))
     gone = decided.filter("context is null").select("doc_id", "th", "start", "n").union(partly)
     gone = gone.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("gone")).withColumnRenamed("doc_id", "id")
     return without(docs.join(gone, ["id", "th"], "left"))

@@ -245,6 +245,22 @@ def test_substrings_of_small_alphabets(spark):
     assert [rows[i] for i in range(len(texts))] == brute_dedup(texts)
 
 
+@pytest.mark.parametrize(("crowded", "hot"), [(0, 0), (0, 10**9), (9, 20)])
+def test_crowded_anchors_leave_the_automaton(spark, texts, monkeypatch, crowded, hot):
+    """A passage that starts after different words in many documents: no automaton takes over CROWDED passages."""
+    rng = random.Random(11)
+    shared = words(rng, 40, 10**6)
+    many = [*texts, *(f"{words(rng, 30, 10**6)} {shared} {words(rng, 30, 10**6)}" for _ in range(60))]
+    monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(substrings, "HOT", hot)
+    seen, resolve = [], substrings.resolve
+    monkeypatch.setattr(substrings, "resolve", lambda found: seen.append(found.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0) or resolve(found))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(df).collect()}
+    assert [rows[i] for i in range(len(many))] == brute_dedup(many)
+    assert max(seen) <= crowded
+
+
 def test_repeated_rows_keep_what_one_keeps(spark):
     t = words(random.Random(1), 40)
     rows = substrings.digest(spark.createDataFrame([(1, t), (1, t), (2, t), (None, "short")], "doc_id long, text string")).collect()

@@ -6,7 +6,8 @@ a card-like, IBAN-like, national phone or social-security-like number needs word
 nearby that raise its score to the threshold, and loses score where words before it
 speak against it (order or invoice numbers). Secrets are named tokens.
 
-Every scanner runs in time linear in the text: a run that fails is skipped whole.
+Every scanner runs in time linear in the text: a run that fails is skipped whole (an IBAN's
+is tried at each word's end first, a fixed number, and from each further start in it).
 Texts are handled whole. Null text: no spans. Empty tables give empty results;
 repeated rows are handled each by itself; other columns are passed through, and
 output columns that clash with them replace them.
@@ -40,6 +41,8 @@ _IP = re.compile(r"[0-9]++(?:(\.[0-9]++)(\.[0-9]++)(\.[0-9]++))?+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Lengths by country; elsewhere any.
+_IBAN_LENGTH = {c: int(n) for n, cs in {"15": "NO", "16": "BE", "18": "DK FI FO GL NL", "19": "MK SI", "20": "AT BA EE KZ LT LU XK", "21": "CH HR LI LV", "22": "BG BH DE GB GE IE ME RS", "23": "AE GI IL", "24": "AD CZ ES MD PK RO SA SE SK TN", "26": "IS TR", "27": "FR GR IT MC SM", "28": "AL CY DO HU LB PL", "29": "BR", "30": "MU", "31": "MT"}.items() for c in cs.split()}
 _NATIONAL = re.compile(r"(?<![0-9+)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _SECRET = re.compile(r"\b(?:token|secret|password|api[_-]?key)\b ?[=:] ?[\"']?([A-Za-z0-9_/+-]{16,})", re.I)
@@ -61,6 +64,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Where the pattern matches, the end at a word's end for which mod-97 holds: at the country's length, else the longest. At most 20 ends a start."""
+    m = _IBAN.search(text)
+    while m:
+        ends, n = [], 0
+        for i in range(m.start(), m.end()):
+            n += text[i] != " "
+            if n >= 15 and text[i] != " " and (i + 1 == m.end() or text[i + 1] == " "):
+                ends.append((n == _IBAN_LENGTH.get(m[0][:2]), i + 1))
+        end = next((e for _, e in sorted(ends, reverse=True) if mod97(text[m.start() : e])), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 4)
+
+
 def emails(text: str) -> Iterator[Span]:
     free, at = 0, text.find("@")
     while at >= 0:
@@ -105,9 +123,9 @@ def score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
 
 def further(text: str, digits: bool) -> Iterator[Span]:
     if digits:
-        for m in _IBAN.finditer(text):
-            if (ok := mod97(m[0])) and score("iban", text, *m.span(), ok) >= THRESHOLD:
-                yield m.start(), 4, m.end()
+        for start, end in ibans(text):
+            if score("iban", text, start, end, True) >= THRESHOLD:
+                yield start, 4, end
         for m in _NATIONAL.finditer(text):
             if score("national_phone", text, *m.span(), False) >= THRESHOLD:
                 yield m.start(), 5, m.end()

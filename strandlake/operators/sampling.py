@@ -56,13 +56,48 @@ def matched(positives: DataFrame, candidates: DataFrame, by: list[str], ratio: i
     return p.join(c, [*by, "_k"]).drop("_k")
 
 
-def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, value: str, reach: int, seed: int = 1) -> DataFrame:
-    """matched() by group and value, then, for those without a match, at values 1, -1, 2, -2 up to reach away; what stays without one is left out."""
-    out = None
-    for step in [0, *(s * d for d in range(1, reach + 1) for s in (1, -1))]:
-        moved = positives.withColumn(value, F.col(value) + step)
-        found = matched(moved, candidates, [group, value], 1, seed).withColumn("step", F.lit(step))
-        out = found if out is None else out.unionByName(found)
-        positives = positives.join(found.select(F.col("positive_id").alias("id")), "id", "left_anti")
-        candidates = candidates.join(found.select(F.col("candidate_id").alias("id")), "id", "left_anti")
-    return out
+def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, value: str, reach: int | None = None, seed: int = 1, ratio: int = 1) -> DataFrame:
+    """matched() by group and value, then, for those without a match, at values 1, -1, 2, -2 and so on away; without reach, until no positive is left or the group's candidates run out.
+
+    Which ranks meet at which step follows from the numbers of rows by value alone, so the
+    steps are walked over these, a group in one task, and rows are joined once.
+    """
+    kind, unit = (positives.schema[c].dataType.simpleString() for c in (group, value))
+
+    def walk(numbers):
+        import pyarrow as pa
+
+        left = [{}, {}]
+        name = numbers.column(group)[0].as_py()
+        for x, side, n in zip(*(numbers.column(c).to_pylist() for c in (value, "_side", "_n")), strict=True):
+            left[side][x] = n
+        p, c = left
+        used, out, step = [dict.fromkeys(p, 0), dict.fromkeys(c, 0)], [], 0
+        farthest = max(abs(a - b) for a in (min(p), max(p)) for b in (min(c), max(c))) if p and c else -1
+        farthest = farthest if reach is None else min(farthest, reach)
+        while abs(step) <= farthest and p and c:
+            for x in list(p):
+                if n := min(p[x], c.get(x + step, 0)):
+                    out.append((name, x, used[0][x], n, x + step, used[1][x + step], step))
+                    for rest, taken, at in ((p, used[0], x), (c, used[1], x + step)):
+                        taken[at] += n
+                        rest[at] -= n
+                        if not rest[at]:
+                            del rest[at]
+            step = -step if step > 0 else 1 - step
+        columns = zip(*out, strict=True) if out else [[]] * 7
+        return pa.table([pa.array(col, f.type) for col, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(f"`{group}` {kind}, _p {unit}, _from long, _n long, `{value}` {unit}, _to long, step int")
+    arrow = to_arrow_schema(fields)
+    sides = [x.filter(F.col(value).isNotNull()).groupBy(group, value).agg((F.count("*") * times).alias("_n")).withColumn("_side", F.lit(side)) for side, x, times in ((0, positives, ratio), (1, candidates, 1))]
+    plan = sides[0].unionByName(sides[1]).groupBy(group).applyInArrow(walk, fields)
+    rank = F.row_number().over(W.partitionBy(group, value).orderBy(draw("id", seed), "id"))
+    p = positives.withColumn("_k", rank).select(group, F.col(value).alias("_p"), F.col("id").alias("positive_id"), F.explode(F.sequence((F.col("_k") - 1) * ratio, F.col("_k") * ratio - 1)).alias("_k"))
+    c = candidates.withColumn("_k", (rank - 1).cast("long")).select(group, value, F.col("id").alias("candidate_id"), F.col("_k"))
+    units = p.join(plan, [group, "_p"]).filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_n")))
+    units = units.select(group, value, "positive_id", (F.col("_k") - F.col("_from") + F.col("_to")).cast("long").alias("_k"), "step")
+    return units.join(c, [group, value, "_k"]).select(group, value, "positive_id", "candidate_id", "step")

@@ -231,7 +231,7 @@ def gc_matched(s, d):
     x = v.sequences(s, d).select("id", sq.gc_percent(C("seq")).alias("gc")).filter("gc is not null")
     pages = v.table(s, d, "pages").select(C("page_id").alias("id"), sq.gc_percent(F.upper(F.regexp_replace("html", "[^ACGTacgt]", ""))).alias("gc")).filter("gc is not null")
     one = F.lit("all").alias("chrom")
-    return sampling.matched_nearby(pages.select("id", one, "gc"), x.select("id", one, "gc"), "chrom", "gc", 2)
+    return sampling.matched_nearby(pages.select("id", one, "gc"), x.select("id", one, "gc"), "chrom", "gc")
 
 
 @query("""with t as (select *, sum(a) over (partition by id) as sa, sum(b) over (partition by id) as sb, count(*) over (partition by id) as k from pairs),

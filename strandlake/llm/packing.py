@@ -20,6 +20,7 @@ are read. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,7 +44,8 @@ class Encoder:
     any space that has no white space on its left and right; other texts go whole.
     """
 
-    def __init__(self, vocabulary: str | None = None, keep: int = 400_000):
+    def __init__(self, vocabulary: str | None = None, keep: int = 400_000, added: dict[str, int] | None = None):
+        """added: tokens matched in the text before BPE, and their ids; without, they are plain text."""
         import public_tokenizers as P
         import tiktoken
 
@@ -51,12 +53,22 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ids = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.keep, self.known = keep, {}
+        self.added = added or {}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.whole = re.compile(r"\s (?:\s|\Z)")
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.ids(text), "<u2").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, "<u2")
+        if self.cuts and self.cuts.search(text):
+            parts = self.cuts.split(text)  # texts and added tokens by turns
+            return np.concatenate([np.array([self.added[p]], "<u2") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u2")
         if self.whole.search(text):
@@ -76,6 +88,14 @@ class Encoder:
         return np.frombuffer(b"".join(got), "<u2")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of the tokenizer's file."""
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -93,7 +113,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, seen, count = Encoder(), np.zeros(VOCABULARY, bool), np.zeros(VOCABULARY, np.int64)
+        encoder, seen, count = Encoder(added=added_tokens()), np.zeros(VOCABULARY, bool), np.zeros(VOCABULARY, np.int64)
         order = mix(np.arange(1, VOCABULARY + 1, dtype=np.uint64)).view(np.int64)
         sequence = TaskContext.get().partitionId() << 33
         end = np.array([END], "<u2")

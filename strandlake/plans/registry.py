@@ -457,3 +457,40 @@ def principal_components(s, d):
 def score_mixture(s, d):
     fit = motifs.exponential_mixture(v.profiles(s, d).select(C("n").cast("double").alias("n")), "n")
     return s.createDataFrame([(k, float(x)) for k, x in fit.items()], "parameter string, value double")
+
+
+def letters_of(sequences: DataFrame, *keys) -> DataFrame:
+    """pos and base of every letter of whole sequences."""
+    return sequences.filter(F.length("seq") > 0).select(*keys, F.posexplode(F.split("seq", "")).alias("pos", "base")).withColumn("pos", C("pos").cast("long"))
+
+
+def information(letters: DataFrame, *keys) -> DataFrame:
+    p = letters.groupBy(*keys, "pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
+    return p.select(*keys, "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
+
+
+@query()
+def dense_extraction_whole(s, d):
+    cells = windows(s, d).select("id", "chrom", F.explode(F.expr("sequence(start, end - 1, 1L)")).alias("start"))
+    return cells.join(v.track(s, d).select("chrom", "start", "value"), ["chrom", "start"], "left").select("id", C("start").alias("pos"), F.coalesce("value", F.lit(0)).alias("value"))
+
+
+@query()
+def one_hot_round_trip_whole(s, d):
+    x = v.sequences(s, d).withColumn("hot", F.when(F.length("seq") > 0, sq.one_hot(C("seq"))).otherwise(F.array().cast("array<array<int>>")))
+    return x.select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).cast("long").alias("n_a"))
+
+
+@query()
+def position_counts_whole(s, d):
+    return letters_of(v.sequences(s, d)).groupBy("pos", "base").agg(F.count("*").alias("n"))
+
+
+@query()
+def information_content_whole(s, d):
+    return information(letters_of(v.sequences(s, d)))
+
+
+@query()
+def trimmed_motifs_whole(s, d):
+    return motifs.trimmed(information(letters_of(v.sequences(s, d), (C("id") % 20).alias("key")), "key"), pad=1)

@@ -2,7 +2,8 @@
 
 Each round points every node's neighbours at its least neighbour; the edge set
 becomes a set of stars after few rounds. All steps are shuffled aggregations and
-equi-joins; nothing is gathered on the driver but a count and a hash sum.
+equi-joins, in which nodes of many edges are joined by broadcast, so that a giant
+component's hub is not one task; nothing is gathered on the driver but a count and a hash sum.
 """
 
 from __future__ import annotations
@@ -10,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges (a, b) with a > b. Large: each node's larger neighbours take its least; small: its smaller ones and itself do."""
+    n = F.count("*").alias("n")
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), n).select("a", F.least("a", "m").alias("m"), "n")
+        out = spread_join(edges.select(F.col("b").alias("a"), F.col("a").alias("v")), least, "a", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), n)
+        out = spread_join(edges, least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -34,6 +36,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if found == state or found[0] == 0:
             break
         state = found
-        edges = checkpointed(_star(_star(edges, True), False))
+        stars = checkpointed(_star(edges, True, found[0]))
+        edges = checkpointed(_star(stars, False, found[0]))
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -1,16 +1,17 @@
 """Personal data in texts: patterns propose spans, checksums confirm, context adjusts.
 
-Base kinds (email, ip, card, phone) follow fixed patterns and are always kept.
-Further kinds are proposals with a prior score: an IBAN stands when mod-97 holds;
-a card-like, IBAN-like, national phone or social-security-like number needs words
-nearby that raise its score to the threshold, and loses score where words before it
-speak against it (order or invoice numbers). Secrets are named tokens.
+Base kinds (email, ip, card, phone) follow fixed patterns and are always kept, with score 1.
+Further kinds are proposals with a prior score, which a checksum or form that holds raises
+and words nearby raise or lower; those that reach the threshold stay. An IBAN must pass
+mod-97; at its country's length that is enough, at another length words nearby must speak
+for it. A national phone or social-security number needs such words, and loses score where
+words before it speak against it (order or invoice numbers). Secrets are named tokens.
 
 Every scanner runs in time linear in the text: a run that fails is skipped whole (an IBAN's
 is tried at each word's end first, a fixed number, and from each further start in it).
-Texts are handled whole. Null text: no spans. Empty tables give empty results;
-repeated rows are handled each by itself; other columns are passed through, and
-output columns that clash with them replace them.
+Texts are handled whole, very long ones too. Null and empty texts: no spans. Empty tables
+give empty results; repeated rows are handled each by itself; other columns are passed
+through. Columns that find_pii() adds replace others of their names; stage() adds none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow, quoted
+
 #: The kinds in the order in which spans that start together are listed.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_phone", "ssn", "secret")
@@ -31,7 +34,7 @@ THRESHOLD = 0.5
 #: Prior score and the words within WINDOW characters that raise or lower it.
 WINDOW = 48
 CONTEXT = {
-    "iban": (0.4, re.compile(r"\b(?:iban|account|konto|compte|cuenta|bank)\b", re.I), None),
+    "iban": (-0.1, re.compile(r"\b(?:iban|account|konto|compte|cuenta|bank)\b", re.I), None),
     "national_phone": (0.3, re.compile(r"\b(?:phone|tel|telefon|téléphone|teléfono|call|mobile|fax)\b", re.I), re.compile(r"\b(?:order|invoice|isbn|serial|version)\b", re.I)),
     "ssn": (0.3, re.compile(r"\b(?:ssn|social security|sozialversicherung|sécurité sociale)\b", re.I), re.compile(r"\b(?:order|invoice|part|serial)\b", re.I)),
 }
@@ -114,34 +117,34 @@ def phones(text: str) -> Iterator[Span]:
             yield m.start(), 3, m.end()
 
 
-def score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
-    """A proposal's score: its prior, 0.5 for a checksum that holds, 0.3 for it by words nearby, 0.3 against it by words before."""
+def score(kind: str, text: str, start: int, end: int, confirmed: bool = False, formed: bool = False) -> float:
+    """A proposal's score: its prior, 0.5 for a checksum that holds, 0.3 for the form expected, 0.3 for it by words nearby, 0.3 against it by words before."""
     prior, good, bad = CONTEXT[kind]
     before = text[max(0, start - WINDOW) : start]
-    return prior + 0.5 * confirmed + 0.3 * bool(good.search(f"{before} {text[end : end + WINDOW]}")) - 0.3 * bool(bad and bad.search(before))
+    return round(prior + 0.5 * confirmed + 0.3 * formed + 0.3 * bool(good.search(f"{before} {text[end : end + WINDOW]}")) - 0.3 * bool(bad and bad.search(before)), 2)
 
 
-def further(text: str, digits: bool) -> Iterator[Span]:
+def proposed(text: str, digits: bool) -> Iterator[tuple[int, int, int, float]]:
+    """Spans of the further kinds with their scores, whatever these are."""
     if digits:
         for start, end in ibans(text):
-            if score("iban", text, start, end, True) >= THRESHOLD:
-                yield start, 4, end
+            formed = len(text[start:end].replace(" ", "")) == _IBAN_LENGTH.get(text[start : start + 2])
+            yield start, 4, end, score("iban", text, start, end, True, formed)
         for m in _NATIONAL.finditer(text):
-            if score("national_phone", text, *m.span(), False) >= THRESHOLD:
-                yield m.start(), 5, m.end()
+            yield m.start(), 5, m.end(), score("national_phone", text, *m.span())
         for m in _SSN.finditer(text):
-            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" and score("ssn", text, *m.span(), False) >= THRESHOLD:
-                yield m.start(), 6, m.end()
+            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+                yield m.start(), 6, m.end(), score("ssn", text, *m.span())
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            yield m.start(1), 7, m.end(1)
+            yield m.start(1), 7, m.end(1), 1.0
 
 
 _HAS_DIGIT = re.compile(r"[0-9]")
 
 
-def spans(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all; each by start, then kind as listed. A further span inside a base span of the text adds nothing and is left out."""
+def scored(text: str | None) -> tuple[list[Span], list[tuple[int, int, int, float]]]:
+    """Base spans, and all with scores; each by start, then kind as listed. A further span inside a base span of the text adds nothing and is left out."""
     if not text:
         return [], []
     digits = _HAS_DIGIT.search(text) is not None
@@ -150,8 +153,14 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         base += [*ips(text), *cards(text), *phones(text)]
     base.sort()
     starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
-    more = [s for s in further(text, digits) if not (i := bisect_right(starts, s[0])) or reach[i - 1] < s[2]]
-    return base, sorted([*base, *more]) if more else base
+    more = [s for s in proposed(text, digits) if s[3] >= THRESHOLD and (not (i := bisect_right(starts, s[0])) or reach[i - 1] < s[2])]
+    return base, sorted([*((*s, 1.0) for s in base), *more])
+
+
+def spans(text: str | None) -> tuple[list[Span], list[Span]]:
+    """The same without scores."""
+    base, every = scored(text)
+    return base, [s[:3] for s in every]
 
 
 def joined(found: list[Span]) -> str:
@@ -168,39 +177,46 @@ def redacted(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
-    """docs with pii_spans (all), pii_base (base spans), n_<base kind>, and with redact also the redacted text in its place.
-
-    One pass, no shuffle. Null text: empty strings and counts of 0; it stays null.
-    """
-    new = {"pii_spans": T.StringType(), "pii_base": T.StringType()} | {f"n_{k}": T.LongType() for k in BASE}
-    rest = [c for c in docs.columns if c not in new]
-    docs = docs.select(*rest)
+def _scan(docs: DataFrame, text: str, new: dict[str, T.DataType], redact: bool) -> DataFrame:
+    """docs with the columns new, which none of its own is named like. One pass, no shuffle."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())])
+    place = docs.columns.index(text)
 
-    def scan(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            both = [spans(t) for t in texts]
+            texts = batch.column(place).to_pylist()
+            both = [scored(t) for t in texts]
             columns = list(batch.columns)
             if redact:
-                columns[batch.schema.get_field_index(text)] = pa.array([t if not t or not a else redacted(t, a) for t, (_, a) in zip(texts, both, strict=True)], pa.string())
-            columns += [pa.array([joined(a) for _, a in both], pa.string()), pa.array([joined(b) for b, _ in both], pa.string())]
-            columns += [pa.array([sum(s[1] == k for s in b) for b, _ in both], pa.int64()) for k in range(len(BASE))]
+                columns[place] = pa.array([t if not t or not a else redacted(t, [s[:3] for s in a]) for t, (_, a) in zip(texts, both, strict=True)], pa.string())
+            if new:
+                columns += [pa.array([joined([s[:3] for s in a]) for _, a in both], pa.string()), pa.array([joined(b) for b, _ in both], pa.string())]
+                columns.append(pa.array([",".join(f"{s[3]:.2f}" for s in a) for _, a in both], pa.string()))
+                columns += [pa.array([sum(s[1] == k for s in b) for b, _ in both], pa.int64()) for k in range(len(BASE))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
-    return docs.mapInArrow(scan, schema)
+    return map_arrow(docs, run, schema)
+
+
+def find_pii(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
+    """docs with pii_spans (all), pii_base (base spans), pii_scores (of all), n_<base kind>, and with redact also the redacted text in its place.
+
+    Null text: empty strings and counts of 0; it stays null.
+    """
+    new = {c: T.StringType() for c in ("pii_spans", "pii_base", "pii_scores")} | {f"n_{k}": T.LongType() for k in BASE}
+    return _scan(docs.select(*(F.col(quoted(c)) for c in docs.columns if c not in new)), text, new, redact)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """op1: doc_id, counts of base spans, the hash of the base spans, all spans."""
+    """op1: doc_id, counts of base spans, the hash of the base spans, all spans and their scores."""
     found = find_pii(docs.select("doc_id", "text"))
-    return found.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2("pii_base", 256).alias("base_sha256"), F.col("pii_spans").alias("spans"))
+    return found.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2("pii_base", 256).alias("base_sha256"), F.col("pii_spans").alias("spans"), F.col("pii_scores").alias("scores"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: texts redacted, n_chars kept in step; the columns stay."""
-    out = find_pii(docs, redact=True).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    """Pipeline stage: texts redacted, n_chars kept in step; all columns and no other."""
+    out = _scan(docs, "text", {}, True)
+    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {}
+    return out.select(*(changed.get(c, F.col(quoted(c))) for c in docs.columns))

@@ -1,17 +1,20 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a bounded sample of
-labelled texts. A text, lower-cased and with all but letters as single spaces, is
-compressed whole, in blocks of BLOCK bytes, once with each dictionary; the language of the smallest total wins, the first by name on a
-tie. Narrow margins are marked as rejected.
-
-The sample: of each language, the docs_per_lang training documents of the smallest
-hash of doc_id, dict_bytes / docs_per_lang bytes of each. The broadcast is at most
-dict_bytes for each language.
-
-Null texts and texts without a letter: 'und', score 0, rejected. Without training
-rows every text is 'und'. Rows of null lang train nothing. Repeated rows and other
-columns do no harm: only doc_id and text are read for predictions.
+Each language has a zstandard raw-content dictionary of a bounded sample of labelled
+texts. A text, lower-cased and with all but letters as single spaces, is compressed whole,
+in blocks of BLOCK bytes, once with each dictionary; the language of the smallest total
+wins, the first by name on a tie. Narrow margins are marked as rejected.
+
+The sample: of each language, whole training texts in the order of a hash of doc_id until
+dict_bytes are full, docs_per_lang of them at most. Texts over a 64th of dict_bytes come
+last, so that many texts find room. Over max_langs languages are an error, so what is collected
+and broadcast is at most max_langs times dict_bytes.
+
+Null texts and texts without a letter: 'und', score 0, rejected. Without training rows every
+text is 'und'. Rows of null lang train nothing; a null doc_id comes first in its language.
+Repeated rows are predicted each and sampled once. Very long texts go block by block. An
+empty table gives no rows. Other columns do no harm: only doc_id and text are read for
+predictions.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import checkpointed, map_arrow, quoted
 
 BLOCK = 8192
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -32,17 +38,22 @@ def plain(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).encode()
 
 
-def fit(train: DataFrame, docs_per_lang: int = 224, dict_bytes: int = 114688) -> dict[str, bytes]:
+def fit(train: DataFrame, docs_per_lang: int = 1024, dict_bytes: int = 114688, max_langs: int = 256) -> dict[str, bytes]:
     """Each language's dictionary, from columns doc_id, text and lang."""
-    known = train.filter("lang is not null and text is not null")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang)
-    each = dict_bytes // docs_per_lang
-    rows = known.select("lang", "doc_id", F.substring("text", 1, each).alias("text")).join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).collect()
-    out: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
-        out.setdefault(r.lang, []).append(plain(r.text)[:each])
-    return {k: b" ".join(v)[:dict_bytes] for k, v in out.items()}
+    known = train.filter("lang is not null and text is not null").select("lang", "doc_id", "text", F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"))
+    order = W.partitionBy("lang").orderBy(F.col("size") > dict_bytes // 64, F.xxhash64("doc_id"), "doc_id", "th")
+    first = known.drop("text").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang)
+    before = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    drawn = checkpointed(first.withColumn("before", before).filter(F.col("before") < dict_bytes))
+    if drawn.select("lang").distinct().count() > max_langs:
+        raise ValueError(f"over {max_langs} languages to learn")
+    place = drawn.groupBy("lang", "doc_id", "th").agg(F.min("n").alias("n"))
+    same = [F.col("k.lang") == F.col("p.lang"), F.col("k.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("k.th") == F.col("p.th")]
+    rows = known.alias("k").join(F.broadcast(place.alias("p")), same).select("k.lang", "n", F.substring("text", 1, dict_bytes).alias("text")).distinct().collect()
+    out: dict[str, bytes] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
+        out[r.lang] = (out.get(r.lang, b"") + plain(r.text) + b" ")[:dict_bytes]
+    return out
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list:
@@ -68,7 +79,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
     """docs with lang_pred, score (how much smaller the best size is than the next, from 0 to 1) and rejected."""
     names = sorted(dictionaries)
     shipped = docs.sparkSession.sparkContext.broadcast({k: dictionaries[k] for k in names})
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c not in ("lang_pred", "score", "rejected")))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -76,7 +88,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
         using = compressors(shipped.value)
         for batch in batches:
             pred, score = [], []
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            for t in batch.column(place).to_pylist():
                 if not names or not t or not _LETTER.search(t):
                     pred.append("und")
                     score.append(0.0)
@@ -89,8 +101,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
             s = pa.array(score, pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), s], names=[*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = map_arrow(docs, run, schema)
     return out.withColumn("rejected", F.col("score") < margin)
 
 

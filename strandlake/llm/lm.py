@@ -1,27 +1,27 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts words and word pairs over all training documents. The automaton's
-states are the words as histories and the empty history. From history h, every pair hw seen
-in training has an arc with the probability that absolute discounting gives it; the
-failure arc leads to the empty history with the weight that is left, and there
-each word has its add-one probability. An arc's weight is interpolated with its failure
-path, so the probabilities after a history sum to 1 over known words and one unknown.
-A text is traversed once, left to right, from the end state to the end token; the state
-after a word is that word. Batches of documents are traversed together with numpy.
-
-Counting: each task sends sorted arrays of hashes and counts, cut by hash range, and
-ranges are merged, one at a time in each task; the number of ranges grows with the bytes
-of text, so that a range stays small. Words have 64-bit hashes, pairs two 32-bit hashes
-(mixed, so that pairs of one frequent word spread over all ranges).
-
-The automaton is broadcast while it has at most MODEL_BYTES (and texts at most a quarter of
-that, so that larger ones aren't counted twice). Beyond, it stays in its hash ranges, with
-equal results: each chunk of documents sends its distinct pairs and words to their ranges,
-which answer with the numbers of all training documents, in the order they were asked.
-
-Null and empty texts are the end token alone. Without training rows every word is
-unknown: N = V = 0. A null doc_id is in training. Repeated rows count each. Only doc_id
-and text are read.
+Training counts words, pairs and triples over all training documents. The automaton's
+states are the histories seen: two words, one word, or none. The state after a token is
+the longest of them that the text ends in. From history h, every word w seen after it has
+an arc of weight c(hw) / (c(h) + MU), and the failure arc to the next shorter history has
+weight MU / (c(h) + MU): a Dirichlet-smoothed model, in which what an arc and the failure
+path give is added, so the probabilities after a history sum to 1 over the known words and
+one unknown. Without a history each word has its add-one probability. A text is traversed
+once, left to right, from the end state, a history of one word, to the end token.
+
+No machine holds the whole automaton. Documents are dealt into chunks of about HELD tokens.
+A chunk sends its distinct words, pairs and triples, with their counts in its training
+documents, to hash ranges; the ranges add the counts up and answer each chunk in the order it
+asked. With these numbers a chunk has the states and arcs that its own texts can reach,
+weighted by the whole corpus, and traverses them with numpy, all tokens at once: the state
+before a token follows from the two tokens before it. One way at every size; the number of
+ranges grows with the bytes of text, so that a range stays small, and a frequent word is one
+number a chunk. Words, pairs and triples go by 64-bit hashes.
+
+Null and empty texts are the end token alone. Without training rows every word is unknown:
+N = V = 0. A null doc_id is in training. Repeated rows count each. A very long text lies
+in one chunk whole. An empty table gives no rows. Only doc_id and text are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,23 +32,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 from .wordhash import Hasher, Slice, mix, slices
 
-DISCOUNT, MODEL_BYTES, HELD = 0.75, 128_000_000, 2_000_000
-#: Bytes of training text for one hash range, and the least and most ranges (powers of two).
-RANGE_BYTES, RANGES = 8_000_000, (16, 65_536)
+#: Weight of the failure arcs from histories of one and of two words; tokens of a chunk.
+MU, HELD = (300.0, 20.0), 2_000_000
+#: Bytes of text for one hash range, and the least and most ranges (powers of two).
+RANGE_BYTES, RANGES = 8_000_000, (16, 1 << 24)
+#: Bytes of text for one task over chunks.
+TASK_BYTES = 16_000_000
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix()."""
-    x = x ^ (x >> _U(31)) ^ (x >> _U(62))
-    x = x * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> _U(27)) ^ (x >> _U(54))
-    x = x * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> _U(30)) ^ (x >> _U(60))
+_FACTOR = _U(0x9E3779B97F4A7C15)
 
 
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -60,40 +55,35 @@ def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return out, s.first[:-1] + np.arange(docs)
 
 
-def pairs(t: np.ndarray) -> np.ndarray:
-    """Each token's pair with the one before (the end before a text's first), mixed."""
+def grams(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its word's, pair's and triple's hash. A text's first token has the end before it, and no triple: its pair's hash again."""
     before = np.r_[END, t[:-1]]
+    before[first] = END
     with np.errstate(over="ignore"):
-        return mix((before >> _U(32) << _U(32)) | (t >> _U(32)))
+        two = mix(before * _FACTOR + t)
+        three = mix(np.r_[two[:1], two[:-1]] * _FACTOR + (t ^ _FACTOR))
+    three[first] = two[first]
+    return t, two, three
 
 
-def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their total counts."""
     if not len(keys):
-        return keys, np.empty(0, np.int64)
-    order = np.argsort(keys) if counts is not None else None
-    keys = keys[order] if counts is not None else np.sort(keys)
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts[order], first) if counts is not None else np.diff(np.r_[first, len(keys)])
-
-
-COUNTS = "kind int, part int, keys binary, counts binary"
-
-
-def _row_batch(rows: list[tuple]):
-    import pyarrow as pa
-
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in COUNTS.split(", ")])
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """In 4 bytes each, or 8 where one needs them."""
-    return counts.astype("<u4" if not len(counts) or counts.max() < 2**32 else "<u8").tobytes()
+    """Each in as few bytes (1, 2, 4 or 8) as the greatest needs."""
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(f"<u{b}" for b in (1, 2, 4, 8) if top < 1 << 8 * b)).tobytes()
 
 
-def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(keys, _U), np.frombuffer(counts, "<u8" if len(counts) == len(keys) else "<u4")
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
 def ranges_for(text_bytes: int) -> int:
@@ -119,7 +109,7 @@ class Merger:
         self.sums, self.waiting, self.n = (np.empty(0, _U), np.empty(0, np.int64)), [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((keys, counts.astype(np.int64)))
+        self.waiting.append((keys, counts))
         self.n += len(keys)
         if self.n > max(HELD, len(self.sums[0])):
             self.total()
@@ -130,148 +120,17 @@ class Merger:
         return self.sums
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """COUNTS rows, one for each kind (0 words, 1 pairs) and hash range."""
-    ranges = ranges_for(text_bytes(train))
-
-    def cut(kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        return [(kind, i, keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)]
-
-    def scan(batches: Iterator) -> Iterator:
-        hasher, held = Hasher(lower=True), []
-        for batch in batches:
-            for s in slices(batch.column(0), hasher):
-                held.append(tokens(s)[0])
-                if sum(map(len, held)) > HELD:
-                    yield from send(held)
-                    held = []
-        if held:
-            yield from send(held)
-
-    def send(held: list[np.ndarray]) -> Iterator:
-        t = np.concatenate(held)
-        yield _row_batch(cut(0, *tally(t)))
-        yield _row_batch(cut(1, *tally(pairs(t))))
-
-    def merge(batches: Iterator) -> Iterator:
-        now, merger = None, Merger()
-        for batch in batches:
-            for kind, part, keys, counts in zip(*batch.columns, strict=True):
-                here = kind.as_py(), part.as_py()
-                if here != now:
-                    yield from finished(now, merger)
-                    now, merger = here, Merger()
-                merger.add(*unpacked(keys.as_py(), counts.as_py()))
-        yield from finished(now, merger)
-
-    def finished(group: tuple | None, merger: Merger) -> Iterator:
-        if group is not None:
-            keys, counts = merger.total()
-            yield _row_batch([(*group, keys.tobytes(), packed(counts))])
-
-    return train.select("text").mapInArrow(scan, COUNTS).repartition("part", "kind").sortWithinPartitions("kind", "part").mapInArrow(merge, COUNTS)
-
-
-class Automaton:
-    """words (sorted hashes) and counts; arcs (sorted mixed pairs) and counts."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, arcs: np.ndarray, arc_counts: np.ndarray):
-        self.words, self.arcs = words, arcs
-        self.total, self.distinct = int(counts.sum(dtype=np.int64)), len(words)
-        self.counts = counts
-        # histories go by 32 bits of their hash
-        half = (words >> _U(32)).astype(np.uint32)
-        first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]]) if len(half) else np.empty(0, np.int64)
-        self.histories = half[first]
-        seen = np.add.reduceat(counts, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
-        self.gain, used = np.empty(len(arcs), np.float32), np.zeros(len(seen))
-        for i in range(0, len(arcs), 1 << 18):  # some at a time, for the driver's memory
-            part = slice(i, i + (1 << 18))
-            with np.errstate(over="ignore"):
-                own = np.searchsorted(self.histories, (unmix(arcs[part]) >> _U(32)).astype(np.uint32))
-            self.gain[part] = gain = (arc_counts[part] - DISCOUNT) / seen[own]
-            used += np.bincount(own, gain, len(seen))
-        self.fail = np.maximum(1 - used, 1e-9).astype(np.float32)
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.searchsorted(table, keys)
-        at[at == len(table)] = 0
-        return at, table[at] == keys
-
-    def traverse(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: whether it is known, log10 of its add-one probability, and of its probability in the state before it."""
-        distinct, back = np.unique(t, return_inverse=True)
-        at, known = self._find(self.words, distinct)
-        c = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
-        alone = (c + 1.0) / (self.total + self.distinct + 1)
-        at, has = self._find(self.histories, (distinct >> _U(32)).astype(np.uint32))
-        fail = np.where(has, self.fail[at] if len(self.fail) else 1, 1)
-        key = pairs(t)
-        order = np.argsort(key)
-        at, has = self._find(self.arcs, key[order])
-        gain = np.empty(len(t))
-        gain[order] = np.where(has, self.gain[at] if len(self.gain) else 0, 0)
-        at, has = self._find(self.histories, np.array([END >> _U(32)], np.uint32))
-        state = np.r_[self.fail[at] if has[0] else [1.0], fail[back]][: len(t)]
-        return known[back], np.log10(alone)[back], np.log10(gain + state * alone[back])
-
-
-def load(model: DataFrame) -> Automaton:
-    """From COUNTS rows, fetched a partition at a time; ranges come in the order of their hashes."""
-    out, at = [], {}
-    sizes = sorted(model.select("kind", "part", (F.length("keys") / 8).cast("long"), F.length("counts") > F.length("keys") / 2).collect())
-    for kind in (0, 1):
-        total, wide = 0, False
-        for _, part, n, wider in (r for r in sizes if r[0] == kind):
-            at[kind, part] = total
-            total, wide = total + n, wide or wider
-        out += [np.empty(total, _U), np.empty(total, "<u8" if wide else "<u4")]
-    for r in model.toLocalIterator():  # straight to their places, so that the model is held once
-        here = at[r.kind, r.part]
-        for table, new in zip(out[2 * r.kind : 2 * r.kind + 2], unpacked(r["keys"], r["counts"]), strict=True):
-            table[here : here + len(new)] = new
-    return Automaton(*out)
-
-
+#: kind: 0 words, 1 pairs, 2 triples; 3: a range's training tokens and distinct words.
+ASKED = "kind int, part int, chunk long, keys binary, counts binary, total long, distinct long"
 SCORED = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(vars(load(model)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        hasher, automaton = Hasher(lower=True), object.__new__(Automaton)
-        vars(automaton).update(shipped.value)  # plain arrays travel, so workers need no import for them
-        for batch in batches:
-            for s in slices(batch.column(2), hasher):
-                t, first = tokens(s)
-                known, base, score = automaton.traverse(t)
-                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, score)]
-                n = np.diff(np.r_[first, len(t)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[s.rows], batch.column(1)[s.rows], pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), automaton.total)), pa.array(sums[1]), pa.array(sums[2])],
-                    names=["doc_id", "held_out", *(c.split()[0] for c in SCORED.split(", "))],
-                )
-
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, {SCORED}")
-
-
-ASKED = "kind int, part int, chunk long, keys binary, counts binary"
-TOTALS = ", total long, distinct long"
-
-
-def _batch(rows: list[tuple], schema: str):
+def _batch(rows: list[tuple]):
     import pyarrow as pa
 
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [c.split() for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+    fields = [c.split() for c in ASKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
 def planes(places: np.ndarray) -> bytes:
@@ -284,7 +143,7 @@ def placed(data: bytes) -> np.ndarray:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """A row for each chunk of documents of about HELD tokens: doc_ids, held_out, numbers of tokens, distinct words and the tokens' places among them."""
+    """docs (doc_id, held_out, text) as a row for each chunk: doc_ids, held_out, numbers of tokens, distinct words and the tokens' places among them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator) -> Iterator:
@@ -314,113 +173,109 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, f"chunk long, ids array<{kind}>, held array<boolean>, n array<long>, words binary, at binary")
 
 
-def by_ranges(docs: DataFrame, all_bytes: int) -> DataFrame:
-    """The same without a broadcast model."""
-    ranges = ranges_for(all_bytes)
-    chunks = stored(chunked(docs))
+def asked(chunks: DataFrame, ranges: int) -> DataFrame:
+    """ASKED rows: each chunk's distinct words, pairs and triples by range, with their counts in its training documents."""
 
-    def ask(kind: int):
-        def run(batches: Iterator) -> Iterator:
-            for batch in batches:
-                for chunk, held, n, words, at in zip(*batch.columns, strict=True):
-                    words, at = np.frombuffer(words.as_py(), _U), placed(at.as_py())
-                    trains = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), n.values.to_numpy())
-                    if kind:
-                        keys, at = np.unique(pairs(words[at]), return_inverse=True)
-                    else:
-                        keys = words
-                    counts = np.bincount(at[trains], minlength=len(keys))
-                    yield _batch([(kind, i, chunk.as_py(), keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)], ASKED)
-
-        return chunks.select("chunk", "held", "n", "words", "at").mapInArrow(run, ASKED)
-
-    def by_part(answer):
-        """answer: of a range's rows (kind, part, chunk, keys, counts), the rows to give back."""
-
-        def run(batches: Iterator) -> Iterator:
-            now, rows = None, []
-            for batch in batches:
-                for kind, part, chunk, keys, counts in zip(*batch.columns, strict=True):
-                    if part.as_py() != now:
-                        if rows:
-                            yield from answer(rows)
-                        now, rows = part.as_py(), []
-                    rows.append((kind.as_py(), now, chunk.as_py(), *unpacked(keys.as_py(), counts.as_py())))
-            if rows:
-                yield from answer(rows)
-
-        return run
-
-    def summed(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for chunk, held, n, words, at in zip(*batch.columns, strict=True):
+                n = n.values.to_numpy()
+                trains = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), n)
+                t = np.frombuffer(words.as_py(), _U)[placed(at.as_py())]
+                for kind, g in enumerate(grams(t, np.r_[0, np.cumsum(n)[:-1]])):
+                    keys, place = np.unique(g, return_inverse=True)
+                    counts = np.bincount(place[trains], minlength=len(keys))
+                    yield _batch([(kind, i, chunk.as_py(), keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)])
+
+    return chunks.select("chunk", "held", "n", "words", "at").mapInArrow(run, ASKED)
+
+
+def answered(asks: DataFrame) -> DataFrame:
+    """ASKED rows, each range's together and sorted by kind -> the same rows without keys, with the counts of all chunks; and rows of kind 3."""
+
+    def run(batches: Iterator) -> Iterator:
+        now, rows = None, []
+        for batch in batches:
+            for kind, part, chunk, keys, counts in zip(*batch.columns[:5], strict=True):
+                here = part.as_py(), kind.as_py()
+                if here != now:
+                    yield from answer(now, rows)
+                    now, rows = here, []
+                rows.append((chunk.as_py(), np.frombuffer(keys.as_py(), _U), counts.as_py()))
+        yield from answer(now, rows)
+
+    def answer(now: tuple | None, rows: list[tuple]) -> Iterator:
+        if not rows:
+            return
+        part, kind = now
         merger = Merger()
-        for *_, keys, counts in rows:
-            merger.add(keys, counts)
+        for _, keys, counts in rows:
+            merger.add(keys, unpacked(counts, len(keys)))
         keys, counts = merger.total()
-        return keys[counts > 0], counts[counts > 0]
-
-    def numbers(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        at, has = Automaton._find(keys, asked)
-        return np.where(has, counts[at] if len(counts) else 0, 0)
-
-    def pair_counts(rows: list[tuple]) -> Iterator:
-        keys, counts = summed(rows)
-        for _, part, chunk, asked, _ in rows:
-            yield _batch([(1, part, chunk, b"", packed(numbers(keys, counts, asked)))], ASKED)
-        with np.errstate(over="ignore"):  # how many arcs leave a history, for the histories' ranges
-            arcs = tally(unmix(keys) >> _U(32) << _U(32))
-        yield _batch([(2, i, None, arcs[0][a:b].tobytes(), packed(arcs[1][a:b])) for i, a, b in pieces(arcs[0], ranges)], ASKED)
-
-    def word_counts(rows: list[tuple]) -> Iterator:
-        asks, arcs = [r for r in rows if r[0] == 0], summed([r for r in rows if r[0] == 2])
-        keys, counts = summed(asks)
-        seen = tally(keys >> _U(32) << _U(32), counts)
-        for _, part, chunk, asked, _ in asks:
-            half = asked >> _U(32) << _U(32)
-            three = np.stack([numbers(keys, counts, asked), numbers(*seen, half), numbers(*arcs, half)]).astype("<i8")
-            yield _batch([(0, part, chunk, b"", three.tobytes(), 0, 0)], ASKED + TOTALS)
-        yield _batch([(3, rows[0][1], None, b"", b"", int(counts.sum()), len(keys))], ASKED + TOTALS)
-
-    asked = ask(1).repartition("part").sortWithinPartitions("part")
-    of_pairs = stored(asked.mapInArrow(by_part(pair_counts), ASKED))
-    asked = ask(0).unionByName(of_pairs.filter("kind = 2")).repartition("part").sortWithinPartitions("part")
-    of_words = stored(asked.mapInArrow(by_part(word_counts), ASKED + TOTALS))
-    total, distinct = (x or 0 for x in of_words.filter("kind = 3").agg(F.sum("total"), F.sum("distinct")).first())
-    kind = docs.schema["doc_id"].dataType.simpleString()
+        for chunk, wanted, _ in rows:
+            yield _batch([(kind, part, chunk, b"", packed(counts[np.searchsorted(keys, wanted)]))])
+        if kind == 0:
+            yield _batch([(3, part, None, b"", b"", int(counts.sum()), int((counts > 0).sum()))])
+
+    return asks.mapInArrow(run, ASKED)
+
+
+def traversed(counts: tuple[np.ndarray, np.ndarray, np.ndarray], end: int, first: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, by the training counts of its word, pair and triple and of the end: its add-one probability, and its probability in the state before it.
+
+    The state before a token is the pair before it where that was seen, else the word, else
+    none: a history not seen has failure weight 1 and no arcs. A text starts after the end.
+    """
+    one, two, three = counts
+    alone = (one + 1.0) / (total + distinct + 1)
+    word, pair = np.r_[end, one[:-1]], np.r_[0, two[:-1]]
+    word[first] = end
+    p = (two + MU[0] * alone) / (word + MU[0])
+    longer = (three + MU[1] * p) / (pair + MU[1])
+    longer[first] = p[first]
+    return alone, longer
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, held_out, text. A row for each: doc_id, held_out and SCORED, by a model of those not held out."""
+    spark, size = docs.sparkSession, text_bytes(docs)
+    ranges = ranges_for(size)
+    chunks = stored(chunked(docs))
+    dealt = asked(chunks, ranges).repartition(max(partitions(spark), ranges), "part").sortWithinPartitions("part", "kind", "chunk")
+    answers = stored(answered(dealt))
+    total, distinct = (x or 0 for x in answers.filter("kind = 3").agg(F.sum("total"), F.sum("distinct")).first())
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(chunk, answers):
         import pyarrow as pa
 
-        (chunk,) = chunk.to_batches() if chunk.num_rows == 1 else chunk.combine_chunks().to_batches()
+        (chunk,) = chunk.combine_chunks().to_batches()
         ids, held, n, words, at = chunk.columns[1:]
-        n, words, at = n.values.to_numpy(), np.frombuffer(words[0].as_py(), _U), placed(at[0].as_py())
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "counts")), strict=True))
-        c, seen, arcs = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for k, _, x in rows if k == 0], axis=1)
-        t = words[at]
-        keys, place = np.unique(pairs(t), return_inverse=True)
-        sizes = [b - a for _, a, b in pieces(keys, ranges)]
-        found = [np.frombuffer(x, "<u8" if len(x) == 8 * size else "<u4") for size, (_, _, x) in zip(sizes, (r for r in rows if r[0] == 1), strict=True)]
-        arc = np.concatenate(found)[place].astype(np.float64)
-        before = np.r_[np.searchsorted(words, END), at[:-1]]
-        alone = ((c + 1.0) / (total + distinct + 1))[at]
-        fail = np.where(seen > 0, np.maximum(DISCOUNT * arcs / np.maximum(seen, 1), 1e-9), 1)
-        gain = np.where(arc > 0, (arc - DISCOUNT) / np.maximum(seen, 1)[before], 0)
-        sums = [np.add.reduceat(x, np.r_[0, np.cumsum(n)[:-1]]) for x in ((c > 0)[at].astype(np.int64), np.log10(alone), np.log10(gain + fail[before] * alone))]
+        n = n.values.to_numpy()
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        t = np.frombuffer(words[0].as_py(), _U)[placed(at[0].as_py())]
+        by: dict[tuple, bytes] = {(k, i): c for k, i, c in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "counts")), strict=True)}
+        counts, end = [], 0
+        for kind, g in enumerate(grams(t, first)):
+            keys, place = np.unique(g, return_inverse=True)
+            found = np.concatenate([unpacked(by[kind, i], b - a) for i, a, b in pieces(keys, ranges)])
+            counts.append(found[place])
+            if kind == 0:
+                end = int(found[np.searchsorted(keys, END)])
+        alone, p = traversed(tuple(counts), end, first, total, distinct)
+        sums = [np.add.reduceat(x, first) for x in ((counts[0] > 0).astype(np.int64), np.log10(alone), np.log10(p))]
         return pa.table([ids.values, held.values, pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), total)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
 
-    answers = of_pairs.filter("kind = 1").unionByName(of_words.filter("kind = 0").drop("total", "distinct")).select("kind", "part", "chunk", "counts")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, {SCORED}")
+    tasks = max(partitions(spark), size // TASK_BYTES)
+    own = chunks.repartition(tasks, "chunk").groupBy("chunk")
+    theirs = answers.filter("kind < 3").select("kind", "part", "chunk", "counts").repartition(tasks, "chunk").groupBy("chunk")
+    return own.cogroup(theirs).applyInArrow(score, f"doc_id {id_type}, held_out boolean, {SCORED}")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def digest(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
+def digest(docs: DataFrame) -> DataFrame:
     """op10."""
-    docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    all_bytes = text_bytes(docs)
-    if all_bytes > model_bytes / 4:
-        return by_ranges(docs, all_bytes)
-    model = stored(counted(docs.filter(~F.col("held_out"))))
-    size = model.agg(F.sum(F.length("keys") + F.length("counts"))).first()[0] or 0
-    return by_broadcast(docs, model) if size <= model_bytes else by_ranges(docs, all_bytes)
+    return scored(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"))

@@ -1,21 +1,29 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Windows are runs of 10 consecutive item words (a shorter item is one window). The
-corpus is scanned once for each block of items: a word can lie in an occurrence of a
-window of length m only inside m or more consecutive words that windows of that length
-use, so these runs, an exact filter, are all that is stored: document, place, terms.
-Their postings (term, run, place) are the index. Each window is looked up by its two
-rarest terms, by corpus counts: their posting lists are shifted by the terms' offsets
-and intersected. What meets at one start is compared word for word (exact phrase);
-what meets within SLACK words is a proximity match.
-
-Broadcast: the terms and windows of one block, at most BLOCK_WORDS benchmark words;
-larger benchmarks take more blocks, each a scan. Nothing is collected but the windows
-of a block. Words are compared by 64-bit hashes.
-
-Null and wordless texts have no words and no hits. Null item_ids match as the word
-'null'. Repeated item_ids count once. Repeated document rows are handled each by itself
-(a row number made in the scan tells them apart); only doc_id and text are read.
+Windows are runs of 10 consecutive item words (a shorter item is one window).
+
+1. The corpus is scanned once for each block of items. What is stored are the stretches in
+   which a window can occur, exactly or nearly: those where, of the places that a window of
+   m words and SLACK words on either side cover, at least need(m) hold words of windows of
+   that length. The scan also counts every window word in the corpus.
+2. A stored batch of stretches is a shard of the index: its words, sorted, are posting lists
+   of places. Each window looks up its rarest words by corpus counts (ties by offset), their
+   lists are shifted by the words' offsets, and what stands at these starts is compared.
+
+An exact phrase match has all words in place. A proximity match has need(m) places (0.8 m,
+rounded up) that hold a word which the window has at most SLACK places from there; it starts from one of the RAREST rarest words, of which a match that misses or moves
+fewer cannot lack all. n_near counts the items with proximity matches and no exact one.
+
+Broadcast: the words and windows of one block, at most BLOCK_WORDS benchmark words (more
+only for one longer item); larger benchmarks take more blocks, each a scan. Nothing is
+collected but the windows of a block and their words' counts. Words are compared by 64-bit
+hashes.
+
+Null, empty and wordless texts have no words and no hits. Very long texts are scanned whole,
+and their stretches stored in pieces that overlap. Null item_ids match as the word 'null',
+repeated item_ids count once; an empty benchmark hits nothing, an empty table gives no rows.
+Repeated document rows and rows of null doc_id are handled each by itself (a row number made
+in the scan tells them apart); only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,10 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, columns, free, stored
 from .wordhash import NOT_ALNUM, Hasher, slices
 
-SIZE, SLACK, BLOCK_WORDS = 10, 2, 200_000
+SIZE, SLACK, RAREST, BLOCK_WORDS = 10, 2, 3, 200_000
+PIECE = 1 << 16  #: words of a stretch in one row
+
+
+def need(m: int) -> int:
+    """Places of a proximity match with a window of m words."""
+    return -(-4 * m // 5)
+
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -65,7 +80,7 @@ def windows_of(items: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> DataFrame:
     """vocabulary: window length -> sorted hashes of the words of windows of that length.
 
-    A row for each document (doc_id, rid, n_words), each run (doc_id, rid, start, terms)
+    A row for each document (doc_id, rid, n_words), each stretch (doc_id, rid, start, terms)
     and each batch's count of each vocabulary word (term, n).
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -95,15 +110,19 @@ def scan(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> DataFrame:
                 keep = np.zeros(len(known), bool)
                 edge = np.zeros(len(known) + 1, bool)
                 edge[s.first] = True
+                ends = np.repeat(s.first[1:], np.diff(s.first))
                 for m, member in held.items():
-                    good = known & member[at]
-                    a, b = stretches(good, edge)
-                    long = b - a >= m
+                    so_far = np.r_[0, np.cumsum(known & member[at])]
+                    to = np.minimum(np.arange(len(known)) + m + 2 * SLACK, ends)
+                    full = np.flatnonzero(so_far[to] - so_far[:-1] >= need(m))
                     step = np.zeros(len(keep) + 1, np.int64)
-                    np.add.at(step, a[long], 1)
-                    np.add.at(step, b[long], -1)
+                    np.add.at(step, full, 1)
+                    np.add.at(step, to[full], -1)
                     keep |= np.cumsum(step[:-1]) > 0
                 a, b = stretches(keep, edge)
+                n = np.maximum(-(-(b - a) // PIECE), 1)
+                a = np.repeat(a, n) + PIECE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                b = np.minimum(np.repeat(b, n), a + PIECE + 2 * (SIZE + 2 * SLACK))
                 if len(a):
                     d = np.searchsorted(s.first, a, "right") - 1
                     h = s.hashes.view(np.int64)
@@ -135,30 +154,86 @@ def stretches(good: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b
 
 
+def rarest(words: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of windows of one length (a row each): the offsets of their rarest words, by the counts of sorted terms, then by offset."""
+    at = np.searchsorted(terms, words) if len(terms) else np.zeros(words.shape, np.int64)
+    n = np.where(np.r_[terms, 0][at] == words, np.r_[counts, 0][at], 0)
+    return np.argsort(n, axis=1, kind="stable")[:, :RAREST]
+
+
+def looked_up(stretches_: list[np.ndarray], index: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """index: (window ids, words, rarest offsets) for each length. Yields stretch, place in it, window id, exact or near, length."""
+    gap = np.zeros(SIZE + 2 * SLACK, np.int64)
+    parts = [gap]
+    for x in stretches_:
+        parts += [x, gap]
+    every = np.concatenate(parts)
+    lengths = np.array([len(x) for x in stretches_], np.int64)
+    begin = np.cumsum(lengths + len(gap)) - lengths
+    real = np.zeros(len(every), bool)
+    real[np.repeat(begin, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = True
+    places = np.flatnonzero(real)
+    places = places[np.argsort(every[places], kind="stable")]  # the posting lists, one after the other
+    words = every[places]
+    for wid, window, rare in index:
+        m = window.shape[1]
+        for k in range(rare.shape[1]):
+            off = rare[:, k]
+            term = window[np.arange(len(window)), off]
+            low, high = np.searchsorted(words, term, "left"), np.searchsorted(words, term, "right")
+            n = high - low
+            total = np.cumsum(n)
+            for a in range(0, len(n), 4096):  # windows at a time
+                c = n[a : a + 4096]
+                if not c.sum():
+                    continue
+                who = np.repeat(np.arange(a, a + len(c)), c)
+                at = places[np.repeat(low[a : a + 4096] - (total[a : a + 4096] - c), c) + np.arange(total[a] - c[0], total[a + len(c) - 1])] - off[who]
+                for i in range(0, len(at), 1 << 16):
+                    w, p = who[i : i + (1 << 16)], at[i : i + (1 << 16)]
+                    around = p[:, None] + np.arange(-SLACK, m + SLACK)
+                    inside = (around >= 0) & (around < len(every))
+                    around = np.where(inside, around, 0)
+                    text, alive = every[around], real[around] & inside
+                    hit = np.zeros(text.shape, bool)
+                    for d in range(2 * SLACK + 1):
+                        same = (text[:, d : d + m] == window[w]) & alive[:, d : d + m]
+                        hit[:, d : d + m] |= same
+                        if d == SLACK:
+                            exact = same.all(axis=1)
+                    good = exact | (hit.sum(axis=1) >= need(m))
+                    stretch = np.searchsorted(begin, p[good] + off[w[good]], "right") - 1
+                    yield stretch, p[good] - begin[stretch], wid[w[good]], exact[good], m
+
+
 def matches(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of one block of windows: documents (doc_id, rid, n_words); exact matches (rid, start, len, items); near ones (rid, items)."""
-    local = windows.select("words").collect()
-    vocabulary: dict[int, set] = {}
-    for r in local:
-        vocabulary.setdefault(len(r.words), set()).update(r.words)
-    found = checkpointed(scan(docs, {m: np.sort(np.array(sorted(v), np.int64).view(np.uint64)) for m, v in vocabulary.items()}))
+    windows = checkpointed(windows)
+    by_length: dict[int, list] = {}
+    for r in windows.select("wid", "words").collect():
+        by_length.setdefault(len(r.words), []).append((r.wid, r.words))
+    arrays = {m: (np.array([x for x, _ in v], np.int64), np.array([w for _, w in v], np.int64)) for m, v in by_length.items()}
+    found = checkpointed(scan(docs, {m: np.unique(w.view(np.uint64)) for m, (_, w) in arrays.items()}))
     documents = found.filter("term is null and terms is null").select("doc_id", "rid", F.col("n").alias("n_words"))
-    counts = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
-    runs = found.filter("terms is not null").select("rid", "start", "terms")
-    postings = runs.select("rid", "start", F.posexplode("terms").alias("i", "term"), "terms")
-    # each window's terms by rarity; terms that no document has leave no match
-    offsets = windows.select("wid", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
-    rarity = offsets.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))), 1, 2).alias("rare"))
-    ranked = checkpointed(windows.join(rarity, "wid").filter("rare[0].n > 0").select("wid", "words", "items", F.col("rare")[0].alias("r1"), F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0]).alias("r2")))
-    # a block's windows are bounded by BLOCK_WORDS, so they go to the postings
-    lookup = F.broadcast(ranked.select("wid", F.col("r1.term").alias("term"), F.col("r1.off").alias("off1"), F.col("r2.term").alias("term2"), F.col("r2.off").alias("off2"), "words", "items"))
-    first = postings.join(lookup, "term").withColumn("at", F.col("i") - F.col("off1"))
-    size = F.size("words")
-    second = F.expr(f"slice(terms, greatest(at + off2 - {SLACK}, 0) + 1, greatest(at + off2 + {SLACK} + 1 - greatest(at + off2 - {SLACK}, 0), 0))")
-    both = first.withColumn("beside", F.array_contains(second, F.col("term2"))).filter("beside")
-    cand = both.withColumn("exact", F.expr("at >= 0 and at + size(words) <= size(terms) and get(terms, at + off2) = term2 and slice(terms, greatest(at, 0) + 1, size(words)) = words"))
-    cand = checkpointed(cand.select("rid", (F.col("start") + F.col("at")).alias("start"), size.alias("len"), "items", "exact"))
-    return documents, cand.filter("exact").drop("exact"), cand.filter("not exact").select("rid", "items")
+    counted = sorted((r.term, r.n) for r in found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    terms, counts = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
+    shipped = docs.sparkSession.sparkContext.broadcast([(wid, w, rarest(w, terms, counts)) for _, (wid, w) in sorted(arrays.items())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rid, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(2)
+            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            for stretch, place, wid, exact, m in looked_up([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], shipped.value):
+                rows = np.unique(np.stack([rid[stretch], np.where(exact, start[stretch] + place, 0), wid, exact.astype(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:3]), pa.array(rows[3].astype(bool)), pa.array(np.full(rows.shape[1], m))], names=["rid", "start", "wid", "exact", "len"])
+
+    looked = found.filter("terms is not null").select("rid", "start", "terms").mapInArrow(run, "rid long, start long, wid long, exact boolean, len long")
+    # a block's windows are bounded by BLOCK_WORDS
+    cand = checkpointed(looked.join(F.broadcast(windows.select("wid", "items")), "wid"))
+    return documents, cand.filter("exact").select("rid", "start", "len", "items"), cand.filter("not exact").select("rid", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -195,23 +270,31 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: documents with a hit word go (with them all rows of the same doc_id; rows of null doc_id go by their text)."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2("text", 256)), F.lit("none")))
-    bad = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    key = free(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2("text", 256)), F.lit("none")))
+    bad = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*columns(docs))
 
 
-#: The same in DuckDB, without n_near.
+#: The same in DuckDB.
 SQL = rf"""
 with dw as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') as w from documents),
 bw as (select coalesce(item_id::varchar, 'null') as item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') as w from benchmark),
 bi as (select item_id, least(len(w), {SIZE}) as m, unnest(generate_series(1, greatest(len(w) - {SIZE} + 1, 1))) as i, w from bw where len(w) > 0),
-win as (select distinct item_id, m, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') as gram from bi),
+win as (select distinct item_id, m, w[i : i + m - 1] as words, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') as gram from bi),
 sizes as (select distinct m from win),
 di as (select rid, m, unnest(generate_series(1, len(w) - m + 1)) as i, w from dw, sizes where len(w) >= m),
 dg as (select rid, m, i, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') as gram from di),
 hits as (select rid, i, m, item_id from dg join win using (m, gram)),
 cover as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + m - 1)) as p from (select distinct rid, i, m from hits)) group by rid),
-its as (select rid, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by rid)
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join cover using (rid) left join its using (rid)
+its as (select rid, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by rid),
+dp as (select rid, unnest(generate_series(0, len(w) - 1)) as p, unnest(w) as word from dw where len(w) > 0),
+n as (select word, count(*) as c from dp group by word),
+slots as (select gram, m, unnest(generate_series(0, m - 1)) as off, unnest(words) as word from (select distinct gram, m, words from win)),
+ranked as (select s.*, row_number() over (partition by gram order by coalesce(c, 0), off) as k from slots s left join n using (word)),
+starts as (select distinct rid, gram, m, p - off as at from ranked join dp using (word) where k <= {RAREST}),
+near as (select rid, gram from (select st.rid, st.gram, st.m, st.at, count(distinct dp.p) as places from starts st join slots sl on sl.gram = st.gram join dp on dp.rid = st.rid and dp.word = sl.word and abs(dp.p - st.at - sl.off) <= {SLACK} group by all) where places >= (4 * m + 4) // 5),
+close as (select rid, count(distinct item_id) as n_near from (select rid, item_id from near join win using (gram) except select rid, item_id from hits) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from dw left join cover using (rid) left join its using (rid) left join close using (rid)
 """

@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": lambda s, d: simhash.digest(table(s, d, "documents")),
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op6_substrings": lambda s, d: substrings.digest(table(s, d, "documents")),
-        "op7_decontamination": lambda s, d: decontam.digest(table(s, d, "documents"), table(s, d, "benchmark")).drop("n_near"),
+        "op7_decontamination": lambda s, d: decontam.digest(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_quality": lambda s, d: rules.digest(table(s, d, "documents"), table(s, d, "labels")),
         "op9_html": lambda s, d: html_text.extract(table(s, d, "pages").select("page_id", "url", "html")),
         "op10_lm": lambda s, d: lm.digest(table(s, d, "documents")),

@@ -8,13 +8,15 @@
    texts with rare ids in common tend to meet, ties broken by doc_id, so that no sketch
    overloads a shard. A shard holds about SHARD ids.
 3. In a shard an inverted index gives, for each seed (the first unused text), BM25
-   scores of unused texts by the seed's QUERY rarest ids, with the document counts of
-   the whole corpus. The best that fit are taken whole, while any does; then the best
-   one left, or the next in order, is cut to fill the window, and its rest stays unused.
+   scores of unused texts by all of the seed's ids, with the document counts of the
+   whole corpus. The best that fit are taken whole, while any does; then the best one
+   left, or the next in order, is cut to fill the window, and its rest stays unused.
    The last window of a shard is cut into powers of two. So there is no padding.
 
-Null and empty texts are one end id. Repeated rows are packed each. Only doc_id and text
-are read. An empty table gives no pieces.
+Null and empty texts are one end id. Very long texts are encoded whole; only their rest
+below a window waits in a shard. Repeated rows are packed each, and a null doc_id sorts
+first. An empty table gives no pieces. Only doc_id and text are read; other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -30,21 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .wordhash import mix
+from .wordhash import Hasher, mix, slices
 
-SIZE, END, QUERY, SHARD = 2048, 1, 16, 2_000_000
+SIZE, END, SHARD = 2048, 1, 2_000_000
 K1, B = 1.2, 0.75
 VOCABULARY = 50257
+_SHIFT = np.uint64(44)
 
 
 class Encoder:
-    """The ids of byte_bpe_50k, by its ranks; words between single spaces are remembered.
+    """The ids of byte_bpe_50k, by its ranks; words between single spaces are remembered by 64-bit hashes.
 
     A token never spans from a word into a following space, so a text may be cut before
     any space that has no white space on its left and right; other texts go whole.
     """
 
-    def __init__(self, vocabulary: str | None = None, keep: int = 400_000, added: dict[str, int] | None = None):
+    def __init__(self, vocabulary: str | None = None, keep: int = 1_000_000, added: dict[str, int] | None = None):
         """added: tokens matched in the text before BPE, and their ids; without, they are plain text."""
         import public_tokenizers as P
         import tiktoken
@@ -52,40 +55,117 @@ class Encoder:
         with open(vocabulary or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ids = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.keep, self.known = keep, {}
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)  # of each id
+        for word, i in ranks.items():
+            self.bytes[i] = len(word)
         self.added = added or {}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.whole = re.compile(r"\s (?:\s|\Z)")
-
-    def _packed(self, text: str) -> bytes:
-        return np.array(self.ids(text), "<u2").tobytes()
+        self.keep, self.hasher = keep, Hasher(b" ")
+        self._forget()
+        # bytes that may end a white-space character, and that may begin one
+        self.left, self.right = np.zeros(256, bool), np.zeros(256, bool)
+        for x in (self.left, self.right):
+            x[[*range(9, 14), *range(28, 33)]] = True
+        self.left[128:] = True
+        self.right[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+    def _forget(self) -> None:
+        self.words, self.begin, self.size, self.pool, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, "<u2"), 0
+        self.start = np.zeros((1 << 20) + 1, np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
+        """One text, without the memory."""
         if not text:
             return np.empty(0, "<u2")
         if self.cuts and self.cuts.search(text):
             parts = self.cuts.split(text)  # texts and added tokens by turns
-            return np.concatenate([np.array([self.added[p]], "<u2") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u2")
-        if self.whole.search(text):
-            return np.frombuffer(self._packed(text), "<u2")
-        words = text.split(" ")
-        got = list(map(self.known.get, words))
-        got[0] = self._packed(words[0])
-        if None in got:
-            for i, x in enumerate(got):
-                if x is None:
-                    w = words[i]
-                    got[i] = self.known.get(w) or self._packed(" " + w)
-                    if len(w) < 40:
-                        self.known[w] = got[i]
-            if len(self.known) > self.keep:
-                self.known = {}
-        return np.frombuffer(b"".join(got), "<u2")
+            return np.concatenate([np.array([self.added[p]] if i % 2 else self.ids(p), "<u2") for i, p in enumerate(parts)])
+        return np.array(self.ids(text), "<u2")
+
+    def _odd(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Documents that can't be cut at spaces (or so it seems from their bytes), or hold added tokens."""
+        odd = np.zeros(len(cuts), bool)
+        space = np.flatnonzero(data == 32)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cuts] = True
+        before = edge[space] | self.left[data[space - 1]]
+        after = edge[space + 1] | self.right[data[np.minimum(space + 1, len(data) - 1)]]
+        beside = edge[space] | (data[space - 1] == 32) | edge[space + 1]
+        bad = space[(before & after) | beside]
+        odd[np.searchsorted(cuts, bad, "right") - 1] = True
+        raw = data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw.find(token.encode())
+            while at >= 0:
+                odd[np.searchsorted(cuts, at, "right") - 1] = True
+                at = raw.find(token.encode(), at + 1)
+        return odd[:-1]
+
+    def _look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is among the known words, and whether; by the hash's high bits, then one by one."""
+        at, end = (self.start[(key >> _SHIFT) + i] for i in (np.uint64(0), np.uint64(1)))
+        has = np.zeros(len(key), bool)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            same = self.words[at[rest]] == key[rest]
+            has[rest[same]] = True
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
+        return at, has
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, opens: np.ndarray) -> None:
+        """keys: sorted, none of them known; where their words are in data, and whether they open a text, without a space before them."""
+        last = data[b - 1]
+        # words that may begin or end in white space go one by one, the others at once: each ends where the next one's space begins
+        alone = opens | self.right[data[a]] | ((last < 128) & self.left[last]) | ((last >= 128) & np.isin(data[np.maximum(b - 2, 0)], (0xC2, 0x80, 0x81, 0x9A)))
+        many, one = np.flatnonzero(~alone), np.flatnonzero(alone)
+        size = b[many] - a[many]
+        ends = np.cumsum(size + 1)
+        text = np.full(ends[-1] if len(ends) else 0, 32, np.uint8)
+        text[np.repeat(ends - size, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = data[np.repeat(a[many], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        joined = np.array(self.ids(text.tobytes().decode()), "<u2")
+        cuts = np.r_[0, np.searchsorted(np.cumsum(self.bytes[joined]), ends) + 1]
+        found = [np.array(self.ids(("" if opens[i] else " ") + data[a[i] : b[i]].tobytes().decode()), "<u2") for i in one.tolist()]
+        size = np.zeros(len(keys), np.int64)
+        size[many], size[one] = np.diff(cuts), [len(x) for x in found]
+        begin = np.zeros(len(keys), np.int64)
+        begin[many], begin[one] = self.used + cuts[:-1], self.used + len(joined) + np.cumsum(size[one]) - size[one]
+        more = np.concatenate([joined, *found])
+        if self.used + len(more) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(more)), "<u2")])
+        self.pool[self.used : self.used + len(more)] = more
+        self.used += len(more)
+        at = np.searchsorted(self.words, keys)
+        self.words, self.begin, self.size = np.insert(self.words, at, keys), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.start = np.r_[0, np.cumsum(np.bincount((self.words >> _SHIFT).astype(np.int64), minlength=1 << 20))]
+
+    def encode_all(self, column) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow array, as of encode()."""
+        for s in slices(column, self.hasher):
+            n = len(s.first) - 1
+            odd = self._odd(s.data, s.cuts) if len(s.data) else np.zeros(n, bool)
+            doc = np.repeat(np.arange(n), np.diff(s.first))
+            word = np.flatnonzero(~odd[doc])
+            key = s.hashes[word]
+            opens = s.starts[word] == s.cuts[doc[word]]  # no space before it
+            key = np.where(opens, ~key, key)
+            if len(self.words) > self.keep:
+                self._forget()
+            at, has = self._look(key)
+            if not has.all():
+                fresh, where = np.unique(key[~has], return_index=True)
+                where = np.flatnonzero(~has)[where]
+                self._learn(fresh, s.data, s.starts[word[where]], s.ends[word[where]], opens[where])
+                at, has = self._look(key)
+            size = self.size[at]
+            total = np.cumsum(size)
+            ids = self.pool[np.repeat(self.begin[at] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+            ends = np.r_[0, total][np.searchsorted(word, s.first[1:])]
+            begins = np.r_[0, ends[:-1]]
+            for i in range(n):
+                yield self.encode(s.data[s.cuts[i] : s.cuts[i + 1]].tobytes().decode()) if odd[i] else ids[begins[i] : ends[i]]
 
 
 def added_tokens() -> dict[str, int]:
@@ -125,8 +205,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
         rows, held = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([encoder.encode(text.as_py()), end])
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate([found, end])
                 seen[ids] = True
                 terms = np.flatnonzero(seen)
                 seen[terms] = False
@@ -173,18 +253,25 @@ class Shard:
         self.text = text[by]
         self.weight = (idf[term] * f * (K1 + 1) / (f + norm[text]))[by]
         self.cuts = np.searchsorted(term[by], np.arange(VOCABULARY + 1))
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused texts that share a query id with the seed, best first."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY)[:QUERY]]
-        at = [slice(self.cuts[t], self.cuts[t + 1]) for t in terms.tolist()]
-        score = np.bincount(np.concatenate([self.text[a] for a in at]), np.concatenate([self.weight[a] for a in at]), len(self.texts))
+        # lists of over a quarter of the texts are kept as rows of all texts
+        many = np.flatnonzero(np.diff(self.cuts) > len(texts) / 4)
+        self.row = np.full(VOCABULARY, -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), len(texts)), np.float32)
+        for k, t in enumerate(many.tolist()):
+            at = slice(self.cuts[t], self.cuts[t + 1])
+            self.rows[k, self.text[at]] = self.weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all texts by the seed's ids; 0 for those used up and the seed."""
+        row = self.row[self.terms[seed]]
+        at = [slice(self.cuts[t], self.cuts[t + 1]) for t in self.terms[seed][row < 0].tolist()]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        if at:
+            score += np.bincount(np.concatenate([self.text[a] for a in at]), np.concatenate([self.weight[a] for a in at]), len(self.texts))
         score[self.left == 0] = 0
         score[seed] = 0
-        some = np.flatnonzero(score)
-        return some[np.argsort(-score[some], kind="stable")]
+        return score
 
     def take(self, i: int, room: int) -> tuple[int, int, int]:
         """Text, from, to: up to room of its unused ids."""
@@ -202,19 +289,20 @@ class Shard:
                 continue
             window = [self.take(seed, SIZE)]
             room = SIZE - (window[0][2] - window[0][1])
-            near = self.neighbours(seed) if room else np.empty(0, np.int64)
-            while room and len(near):
-                fits = np.flatnonzero(self.left[near] <= room)
-                if not len(fits):
+            score = self.scores(seed) if room else None
+            while room:
+                fits = np.where(self.left <= room, score, 0)
+                i = int(fits.argmax())
+                if fits[i] <= 0:
                     break
-                i = int(near[fits[0]])
-                near = np.delete(near, fits[0])
                 window.append(self.take(i, room))
+                score[i] = 0
                 room -= window[-1][2] - window[-1][1]
             following = seed + 1
             while room:
-                if len(near):
-                    i, near = int(near[0]), near[1:]
+                i = int(score.argmax())
+                if score[i] > 0:
+                    score[i] = 0
                 else:
                     while following < len(self.texts) and not self.left[following]:
                         following += 1

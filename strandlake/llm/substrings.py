@@ -20,10 +20,12 @@ have equal anchors, wherever they stand. Runs are dealt out by anchor.
 
 reference_spans() is the broadcast form for a reference of bounded size.
 
-Words are compared by 64-bit hashes. Null and short texts lose nothing. Rows are known
-by doc_id and a hash of the text; of rows with one doc_id none is earlier at the same
-start, so repeated rows keep what one of them keeps. A null doc_id counts as less than
-any other. Only doc_id and text are read.
+Words are compared by 64-bit hashes. Null, empty and short texts lose nothing; very long
+ones are scanned whole. Rows are known by doc_id and a hash of the text; of rows with one
+doc_id none is earlier at the same start, so repeated rows keep what one of them keeps. A
+null doc_id counts as less than any other; doc_ids that are not integers are ordered as
+their type orders them. An empty table gives no rows. Only doc_id and text are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import ordered_ids, stored
 from .wordhash import Hasher, Slice, mix, slices
 
 WINDOW, GROUP = 20, 6
@@ -311,7 +314,12 @@ def without(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for each document row."""
-    docs = docs.select("doc_id", "text").withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("th", F.xxhash64("text"))
+    docs = docs.select("doc_id", "text")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        docs = docs.withColumn("id", F.col("doc_id").cast("long"))
+    else:  # numbered in their own order
+        docs = docs.join(ordered_ids(docs, "doc_id").withColumnRenamed("n", "id"), "doc_id", "left")
+    docs = docs.withColumn("id", F.coalesce("id", F.lit(-(2**63)))).withColumn("th", F.xxhash64("text"))
     keyed = docs.select(F.col("id").alias("doc_id"), "th", "text")
     dealt = scan(keyed).repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "start")
     decided = stored(decide(dealt))

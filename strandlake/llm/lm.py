@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import bucketed, partitions, stored
 from .wordhash import Hasher, Slice, mix, slices
 
 #: Weight of the failure arcs from histories of one and of two words; tokens of a chunk.
@@ -76,16 +76,40 @@ def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+def _zstd():
+    import zstandard as z
+
+    return z.ZstdCompressor(level=1), z.ZstdDecompressor()
+
+
 def packed(counts: np.ndarray) -> bytes:
-    """Each in as few bytes (1, 2, 4 or 8) as the greatest needs."""
+    """Each in as few bytes (1, 2, 4 or 8) as the greatest needs, compressed."""
     top = int(counts.max()) if len(counts) else 0
-    return counts.astype(next(f"<u{b}" for b in (1, 2, 4, 8) if top < 1 << 8 * b)).tobytes()
+    return _zstd()[0].compress(counts.astype(next(f"<u{b}" for b in (1, 2, 4, 8) if top < 1 << 8 * b)).tobytes())
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
+    data = _zstd()[1].decompress(data)
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys by the differences of neighbours, byte by byte: the high bytes compress."""
+    planes = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T
+    parts = [(c if len(c) < len(p) else p) for p, c in ((p.tobytes(), _zstd()[0].compress(p.tobytes())) for p in planes)]
+    return np.array([len(keys), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(data[:36], "<u4").tolist()
+    planes, at = np.empty((8, n), np.uint8), 36
+    for i, size in enumerate(sizes):
+        part = data[at : at + size]
+        planes[i] = np.frombuffer(part if size == n else _zstd()[1].decompress(part), np.uint8)
+        at += size
+    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+
+
 def ranges_for(text_bytes: int) -> int:
     least, most = RANGES
     return min(most, max(least, 1 << (text_bytes // RANGE_BYTES).bit_length()))
@@ -168,7 +192,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         words, at = np.unique(np.concatenate(t), return_inverse=True)
         lists = [pa.concat_arrays(ids), pa.concat_arrays(out), pa.array(np.concatenate(n), pa.int64())]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([words.tobytes()]), pa.array([planes(at)])], names=["chunk", "ids", "held", "n", "words", "at"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([squeezed(words)]), pa.array([planes(at)])], names=["chunk", "ids", "held", "n", "words", "at"])
 
     return docs.mapInArrow(scan, f"chunk long, ids array<{kind}>, held array<boolean>, n array<long>, words binary, at binary")
 
@@ -181,11 +205,11 @@ def asked(chunks: DataFrame, ranges: int) -> DataFrame:
             for chunk, held, n, words, at in zip(*batch.columns, strict=True):
                 n = n.values.to_numpy()
                 trains = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), n)
-                t = np.frombuffer(words.as_py(), _U)[placed(at.as_py())]
+                t = unsqueezed(words.as_py())[placed(at.as_py())]
                 for kind, g in enumerate(grams(t, np.r_[0, np.cumsum(n)[:-1]])):
                     keys, place = np.unique(g, return_inverse=True)
                     counts = np.bincount(place[trains], minlength=len(keys))
-                    yield _batch([(kind, i, chunk.as_py(), keys[a:b].tobytes(), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)])
+                    yield _batch([(kind, i, chunk.as_py(), squeezed(keys[a:b]), packed(counts[a:b])) for i, a, b in pieces(keys, ranges)])
 
     return chunks.select("chunk", "held", "n", "words", "at").mapInArrow(run, ASKED)
 
@@ -201,7 +225,7 @@ def answered(asks: DataFrame) -> DataFrame:
                 if here != now:
                     yield from answer(now, rows)
                     now, rows = here, []
-                rows.append((chunk.as_py(), np.frombuffer(keys.as_py(), _U), counts.as_py()))
+                rows.append((chunk.as_py(), unsqueezed(keys.as_py()), counts.as_py()))
         yield from answer(now, rows)
 
     def answer(now: tuple | None, rows: list[tuple]) -> Iterator:
@@ -240,7 +264,8 @@ def scored(docs: DataFrame) -> DataFrame:
     """docs: doc_id, held_out, text. A row for each: doc_id, held_out and SCORED, by a model of those not held out."""
     spark, size = docs.sparkSession, text_bytes(docs)
     ranges = ranges_for(size)
-    chunks = stored(chunked(docs))
+    tasks = min(max(partitions(spark), size // TASK_BYTES), 100_000)
+    chunks = bucketed(chunked(docs), "chunk", tasks)
     dealt = asked(chunks, ranges).repartition(max(partitions(spark), ranges), "part").sortWithinPartitions("part", "kind", "chunk")
     answers = stored(answered(dealt))
     total, distinct = (x or 0 for x in answers.filter("kind = 3").agg(F.sum("total"), F.sum("distinct")).first())
@@ -253,7 +278,7 @@ def scored(docs: DataFrame) -> DataFrame:
         ids, held, n, words, at = chunk.columns[1:]
         n = n.values.to_numpy()
         first = np.r_[0, np.cumsum(n)[:-1]]
-        t = np.frombuffer(words[0].as_py(), _U)[placed(at[0].as_py())]
+        t = unsqueezed(words[0].as_py())[placed(at[0].as_py())]
         by: dict[tuple, bytes] = {(k, i): c for k, i, c in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "counts")), strict=True)}
         counts, end = [], 0
         for kind, g in enumerate(grams(t, first)):
@@ -266,10 +291,8 @@ def scored(docs: DataFrame) -> DataFrame:
         sums = [np.add.reduceat(x, first) for x in ((counts[0] > 0).astype(np.int64), np.log10(alone), np.log10(p))]
         return pa.table([ids.values, held.values, pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), total)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
 
-    tasks = max(partitions(spark), size // TASK_BYTES)
-    own = chunks.repartition(tasks, "chunk").groupBy("chunk")
     theirs = answers.filter("kind < 3").select("kind", "part", "chunk", "counts").repartition(tasks, "chunk").groupBy("chunk")
-    return own.cogroup(theirs).applyInArrow(score, f"doc_id {id_type}, held_out boolean, {SCORED}")
+    return chunks.groupBy("chunk").cogroup(theirs).applyInArrow(score, f"doc_id {id_type}, held_out boolean, {SCORED}")
 
 
 def held_out(doc_id: Column) -> Column:

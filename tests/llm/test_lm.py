@@ -110,3 +110,11 @@ def test_probabilities_sum_to_one():
             counts[0][1] = sum(c2[w, y] for y in known)
             total += lm.traversed(tuple(counts), 0, np.array([0]), n, v)[1][2]
         assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_keys_survive_squeezing():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 300, 5000):
+        keys = np.unique(np.r_[rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1] if n > 1 else [], np.uint64)])
+        assert (lm.unsqueezed(lm.squeezed(keys)) == keys).all()
+        assert n < 5000 or len(lm.squeezed(keys)) < 6.9 * n

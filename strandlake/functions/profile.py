@@ -147,3 +147,81 @@ def information_content(p: list[Column], pseudo: float = 0.001) -> Column:
     """Of a motif position's four probabilities, against a uniform background, in bits."""
     q = [(x + pseudo) / (1 + 4 * pseudo) for x in p]
     return sum((x * F.log2(x / 0.25) for x in q[1:]), q[0] * F.log2(q[0] / 0.25))
+
+
+def joint_profiles(plus: Column, minus: Column, log_count: Column) -> Column:
+    """Both strands' logits as one softmax, times the exponent of the log count: a struct of plus and minus."""
+    scaled = F.transform(F.array(F.struct(softmax(F.concat(plus, minus)).alias("p"), F.exp(log_count).alias("c"))), lambda r: F.transform(r["p"], lambda x: x * r["c"]))[0]
+    return let(F.struct(scaled.alias("p"), F.size(plus).alias("n")), lambda r: F.struct(F.slice(r["p"], F.lit(1), r["n"]).alias("plus"), F.slice(r["p"], r["n"] + 1, F.size(r["p"])).alias("minus")))
+
+
+def strand_swapped(plus: Column, minus: Column) -> Column:
+    """The reverse complement of a stranded profile: positions flipped, strands exchanged."""
+    return F.struct(F.reverse(minus).alias("plus"), F.reverse(plus).alias("minus"))
+
+
+def max_normalised(a: Column) -> Column:
+    """a over its maximum; a maximum of 0 divides by 1."""
+    return let(F.struct(a.alias("a"), F.coalesce(F.nullif(F.array_max(a), F.lit(0.0)), F.lit(1.0)).alias("m")), lambda r: F.transform(r["a"], lambda x: x / r["m"]))
+
+
+def centre_cut(a: Column, n: int) -> Column:
+    """The middle n elements."""
+    return F.slice(a, F.floor((F.size(a) - n) / 2).cast("int") + 1, F.lit(n))
+
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def without_nan(x: Column) -> Column:
+    """Null and NaN as 0, infinities as the largest finite numbers."""
+    most = 1.7976931348623157e308
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))
+
+
+def weighted_sum_of_logits(a: Column) -> Column:
+    """Logits less their mean, weighted by their softmax and added up."""
+    centred = let(F.struct(a.alias("a"), (total(a) / F.size(a)).alias("m")), lambda r: F.transform(r["a"], lambda x: x - r["m"]))
+    return let(centred, lambda c: total(F.zip_with(softmax(c), c, lambda p, x: p * x)))
+
+
+def projected(hot: Column, scores: Column) -> Column:
+    """The score of the base present at each position: one-hot rows times score rows, added up."""
+    return F.zip_with(hot, scores, lambda h, s: total(F.zip_with(h, s, lambda x, y: x * y)))
+
+
+def exponential_pdf(x: Column, rate: Column) -> Column:
+    return rate * F.exp(-rate * x)
+
+
+def exponential_cdf(x: Column, rate: Column) -> Column:
+    return 1 - F.exp(-rate * x)
+
+
+def hit_p_value(score: Column, mode: Column, rate: Column, least: Column, most: Column) -> Column:
+    """The exponential tail at score less mode, kept between the least and most score; at the least for what is not finite."""
+    at = F.when(finite(score), F.least(most, F.greatest(least, score - mode))).otherwise(least)
+    return F.exp(-rate * at)
+
+
+def logo_heights(p: list[Column], background: float = 0.25, pseudo: float = 0.001) -> list[Column]:
+    """Each probability times the column's information as logos scale it: its logarithms have pseudocounts, its weights don't."""
+    ic = sum((F.log2((x + pseudo) / (1 + 4 * pseudo)) * x for x in p[1:]), F.log2((p[0] + pseudo) / (1 + 4 * pseudo)) * p[0]) - 4 * background * math.log2(background)
+    return [x * ic for x in p]
+
+
+def seqlet_shift(x: Column, input_length: int, cut: int, profile_length: int | None = None) -> Column:
+    """A place in the cut middle of an input as a place in the input, or, with profile_length, in its profile."""
+    at = x + (input_length - cut) // 2
+    return at if profile_length is None else at - (input_length - profile_length) // 2
+
+
+#: Losses by name: each takes the true and the predicted log count.
+LOSSES: dict[str, Callable[[Column, Column], Column]] = {"MSE": lambda y, p: (y - p) * (y - p), "POISSON": lambda y, p: F.exp(p) - y * p}
+
+
+def count_loss(name: str, y: Column, p: Column) -> Column:
+    if name.upper() not in LOSSES:
+        raise ValueError(f"no loss named {name}")
+    return LOSSES[name.upper()](y, p)

@@ -38,15 +38,16 @@ def binned(df: DataFrame, size: int, start: Column, end: Column) -> DataFrame:
 
 
 def overlap_join(a: DataFrame, b: DataFrame, size: int, condition: Column | None = None, how: str = "inner") -> DataFrame:
-    """Pairs of a (chrom, start, end, ...) and b (chrom, b_start, b_end, ...) that overlap, or of those that meet, fulfil condition."""
+    """Pairs of a (chrom, start, end, ...) and b (chrom, b_start, b_end, ...) that overlap, or of those that meet, fulfil condition; or, by how left_semi or left_anti, the rows of a with or without such a b."""
+    if how != "inner":
+        # rows of a stand for themselves, nulls in any column included: equal rows all meet or all don't
+        key = F.struct(*(F.col(c) for c in a.columns))
+        hit = overlap_join(a, b.select("chrom", "b_start", "b_end"), size, condition).select(key.alias("_row")).distinct()
+        return a.withColumn("_row", key).join(hit, "_row", how).drop("_row")
     left = binned(a, size, F.col("start"), F.col("end")).withColumnRenamed("_first", "_fa")
     right = binned(b, size, F.col("b_start"), F.col("b_end")).withColumnRenamed("_first", "_fb")
     met = condition if condition is not None else (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
-    pairs = left.join(right, ["chrom", "_bin"]).filter(met & (F.col("_bin") == F.greatest("_fa", "_fb"))).drop("_bin", "_fa", "_fb")
-    if how == "inner":
-        return pairs
-    hit = pairs.select(*a.columns).distinct()
-    return a.join(hit, a.columns, "left_anti" if how == "left_anti" else "left_semi")
+    return left.join(right, ["chrom", "_bin"]).filter(met & (F.col("_bin") == F.greatest("_fa", "_fb"))).drop("_bin", "_fa", "_fb")
 
 
 def without_blacklisted(peaks: DataFrame, regions: DataFrame, size: int, mode: str = "ends") -> DataFrame:

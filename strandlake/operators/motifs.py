@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import profile as pf
+from . import stats
+from .stats import correlation, counted
+
 
 def cooccurrence(hits: DataFrame) -> DataFrame:
     """key_a, key_b, peaks with both; on the diagonal, peaks with two hits or more. Hits are counted by peak and key first."""
@@ -120,17 +124,98 @@ def strand_average(predictions: DataFrame) -> DataFrame:
     return fwd.join(rev, "locus_id").select("locus_id", F.zip_with("f", "r", lambda a, b: (a + b) / 2).alias("profile"), ((F.col("lf") + F.col("lr")) / 2).alias("log_count"))
 
 
-def exponential_mixture(values: DataFrame, column: str, rounds: int = 10) -> dict[str, float]:
-    """An exponential and a normal component fitted by EM; every round is one aggregate over the values."""
-    first = values.agg(F.avg(column), F.stddev_pop(column)).first()
-    w, lam, mu, sd = 0.5, 1 / max(first[0], 1e-9), first[0] + (first[1] or 1), max(first[1] or 1, 1e-6)
-    x = F.col(column)
+def score_threshold(matrix: np.ndarray, p: float = 1e-4, step: float = 0.01) -> float:
+    """The least score that a random sequence of even bases reaches with probability under p, by the distribution of scores in steps; the matrix is one motif's."""
+    grid = np.round(np.asarray(matrix, float) / step).astype(int)
+    dist, low = np.ones(1), 0
+    for row in grid:
+        shift = row - row.min()
+        out = np.zeros(len(dist) + shift.max())
+        for k in shift:
+            out[k : k + len(dist)] += dist / 4
+        dist, low = out, low + row.min()
+    tail = np.cumsum(dist[::-1])[::-1]
+    return (low + int(np.searchsorted(-tail, -p, "right"))) * step
+
+
+def similarity(queries: DataFrame, targets: DataFrame, least: int = 5) -> DataFrame:
+    """Motif rows (motif, pos, a, c, g, t) of queries and targets -> query, target, correlation, offset, strand.
+
+    Pearson correlation of the columns that overlap, least or more of them, at the offset and
+    strand (of the target) where it is greatest; ties go to the least offset, then '+'.
+    Motif cells meet by base, and are added up by offset at once.
+    """
+    def cells(df: DataFrame, bases: str) -> DataFrame:
+        return df.select("motif", "pos", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(c).alias("x")) for b, c in zip("acgt", bases, strict=True)))).alias("b")).select("motif", "pos", "b.base", "b.x")
+
+    q = cells(queries, "acgt").select(F.col("motif").alias("query"), "base", F.col("pos").alias("p"), F.col("x").alias("u"))
+    ends = targets.groupBy("motif").agg(F.max("pos").alias("_last"))
+    flipped = cells(targets, "tgca").join(ends, "motif").select("motif", (F.col("_last") - F.col("pos")).alias("pos"), "base", "x")
+    t = cells(targets, "acgt").withColumn("strand", F.lit("+")).unionByName(flipped.withColumn("strand", F.lit("-")))
+    t = t.select(F.col("motif").alias("target"), "strand", "base", F.col("pos").alias("r"), F.col("x").alias("v"))
+    by = q.join(t, "base").groupBy("query", "target", "strand", (F.col("p") - F.col("r")).alias("offset")).agg(correlation("u", "v").alias("c"), F.count("*").alias("n"))
+    best = F.min(F.struct((-F.round("c", 12)).alias("c"), "offset", "strand"))
+    return by.filter(F.col("n") >= 4 * least).groupBy("query", "target").agg(best.alias("m")).select("query", "target", (-F.col("m.c")).alias("correlation"), "m.offset", "m.strand")
+
+
+def score_mixture(values: DataFrame, column: str, rounds: int = 100, tolerance: float = 1e-6) -> dict[str, float]:
+    """One exponential and two normals fitted to values of 0 or more by EM, until the mean log-likelihood grows by less than tolerance.
+
+    Every round is one aggregate over the values, counted by value first. The start: the
+    exponential of the mean, normals at the mean and three times the mean, equal weights.
+    """
+    x = F.col("_v")
+    v = counted(values, column)
+    n, mean, sd = v.agg(F.sum("_n"), F.sum(x * F.col("_n")) / F.sum("_n"), F.sqrt(F.greatest(F.sum(x * x * F.col("_n")) / F.sum("_n") - F.pow(F.sum(x * F.col("_n")) / F.sum("_n"), 2), F.lit(0.0)))).first()
+    mean, sd = max(mean, 1e-12), max(sd, 1e-12)
+    w, rate, normals, before = [1 / 3] * 3, 1 / mean, [(mean, sd), (3 * mean, sd)], -math.inf
     for _ in range(rounds):
-        e = F.lit(w * lam) * F.exp(-lam * x)
-        g = F.lit((1 - w) / (sd * math.sqrt(2 * math.pi))) * F.exp(-((x - mu) * (x - mu)) / (2 * sd * sd))
-        r = e / F.greatest(e + g, F.lit(1e-300))
-        n, s, sx, q, qx, qxx = values.agg(F.count("*"), F.sum(r), F.sum(r * x), F.sum(1 - r), F.sum((1 - r) * x), F.sum((1 - r) * x * x)).first()
-        w, lam = s / n, s / max(sx, 1e-12)
-        mu = qx / max(q, 1e-12)
-        sd = math.sqrt(max(qxx / max(q, 1e-12) - mu * mu, 1e-12))
-    return {"weight": w, "rate": lam, "mean": mu, "sd": sd}
+        parts = [F.lit(w[0] * rate) * F.exp(-rate * x)]
+        parts += [F.lit(w[k + 1] / (s * math.sqrt(2 * math.pi))) * F.exp(-(x - m) * (x - m) / (2 * s * s)) for k, (m, s) in enumerate(normals)]
+        whole = F.greatest(parts[0] + parts[1] + parts[2], F.lit(1e-300))
+        r = [p / whole * F.col("_n") for p in parts]
+        like, *sums = v.agg(F.sum(F.log(whole) * F.col("_n")), *(f for p in r for f in (F.sum(p), F.sum(p * x), F.sum(p * x * x)))).first()
+        if like / n - before < tolerance:
+            break
+        before = like / n
+        (s0, x0, _), *rest = (sums[3 * k : 3 * k + 3] for k in range(3))
+        w, rate = [s0 / n, *(s / n for s, _, _ in rest)], s0 / max(x0, 1e-12)
+        normals = [(sx / max(s, 1e-12), math.sqrt(max(sxx / max(s, 1e-12) - (sx / max(s, 1e-12)) ** 2, 1e-12))) for s, sx, sxx in rest]
+    return {"weight": w[0], "rate": rate, "weight_1": w[1], "mean_1": normals[0][0], "sd_1": normals[0][1], "weight_2": w[2], "mean_2": normals[1][0], "sd_2": normals[1][1]}
+
+
+def exponential_part(values: DataFrame, column: str, fit: dict[str, float]) -> DataFrame:
+    """Values of which the exponential is the likeliest component."""
+    x = F.col(column)
+    first = math.log(max(fit["weight"] * fit["rate"], 1e-300)) - fit["rate"] * x
+    others = [math.log(max(fit[f"weight_{k}"] / (fit[f"sd_{k}"] * math.sqrt(2 * math.pi)), 1e-300)) - (x - fit[f"mean_{k}"]) * (x - fit[f"mean_{k}"]) / (2 * fit[f"sd_{k}"] ** 2) for k in (1, 2)]
+    return values.filter((first >= others[0]) & (first >= others[1]))
+
+
+def tight_rate(values: DataFrame, column: str, mode: float = 0.0) -> float:
+    """The greatest rate of exponentials fitted to the 5th, 10th, .. 95th percentile of values of the mode or more."""
+    at = [k / 20 for k in range(1, 20)]
+    found = counted(values.filter(F.col(column) >= mode), column).agg(F.percentile("_v", F.array(*map(F.lit, at)), F.col("_n"))).first()[0] or []
+    return max((-math.log(1 - p) / (q - mode) for p, q in zip(at, found, strict=True) if q > mode), default=1.0)
+
+
+def hits_by_discovery(hits: DataFrame, score: str, fdr: float = 0.05, bins: int = 200) -> DataFrame:
+    """Hits (id, ...) with p, those that the false discovery rate lets pass.
+
+    Finite scores' mode, the mixture of scores above it, the exponential's own scores, their
+    tight rate as null, its tail as p.
+    """
+    whole = hits.withColumn("_all", F.lit(1))
+    some = whole.filter(pf.finite(F.col(score)))
+    mode = (stats.histogram_mode(some, score, ["_all"], bins).first() or {"mode": 0.0})["mode"]
+    above = some.filter(F.col(score) >= mode).select((F.col(score) - mode).alias("x"))
+    rate = tight_rate(exponential_part(above, "x", score_mixture(above, "x")), "x")
+    ends = some.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    p = whole.join(F.broadcast(ends)).withColumn("p", pf.hit_p_value(F.col(score), F.lit(mode), F.lit(rate), F.col("_lo"), F.col("_hi")))
+    return stats.benjamini_hochberg(p, "p", ["_all"], fdr).drop("_all", "_lo", "_hi")
+
+
+def with_backgrounds(examples: DataFrame, make: Callable[..., Column], n: int, column: str = "seq") -> DataFrame:
+    """A row for each of n backgrounds of each example (id, seq): make takes the sequence and a seed of its id and number."""
+    each = examples.withColumn("reference", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return each.withColumn("background", make(F.col(column), F.pmod(F.xxhash64("id", "reference"), F.lit(1 << 31))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def draw(key: str, seed: int) -> Column:
     """A number between 0 and 2^32 that any engine can compute."""
-    return F.crc32(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
@@ -101,3 +101,32 @@ def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, valu
     units = p.join(plan, [group, "_p"]).filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_n")))
     units = units.select(group, value, "positive_id", (F.col("_k") - F.col("_from") + F.col("_to")).cast("long").alias("_k"), "step")
     return units.join(c, [group, value, "_k"]).select(group, value, "positive_id", "candidate_id", "step")
+
+
+def numbered(df: DataFrame, key: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """df with its rows' numbers from 0 in the order of an integer key without repeats, counted within ranges of width and shifted."""
+    ranged = df.withColumn("_r", F.floor(F.col(key) / width))
+    before = ranged.groupBy("_r").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    rank = F.row_number().over(W.partitionBy("_r").orderBy(key)) - 1
+    return ranged.withColumn("_n", rank).join(before, "_r").withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_r", "_before")
+
+
+def by_index(df: DataFrame, key: str, index: DataFrame, chroms: list[str] | None = None) -> DataFrame:
+    """Rows whose number in the order of key is in index (row_idx); chroms, where given, take precedence over the index."""
+    if chroms is not None:
+        return df.filter(F.col("chrom").isin(chroms))
+    return numbered(df, key, "row_idx").join(index.select("row_idx").distinct(), "row_idx", "left_semi")
+
+
+def batch_plan(rows: int, batch: int, threads: int) -> tuple[int, int, int]:
+    """How many rows, in which batches, on how many threads: the batch is halved, then threads go, until a whole batch for each thread fits."""
+    while rows < batch * threads and batch * threads > 1:
+        batch, threads = (batch // 2, threads) if batch > 1 else (1, threads - 1)
+    if rows < batch * threads:
+        raise ValueError("too few rows for a batch")
+    return rows - rows % (batch * threads), batch, threads
+
+
+def whole_batches(df: DataFrame, key: str, batch: int, threads: int, seed: int = 1) -> DataFrame:
+    """A seeded sample of as many rows as fill batches on all threads alike."""
+    return sample(df, key, batch_plan(df.count(), batch, threads)[0], seed)

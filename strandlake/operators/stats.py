@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,10 +12,15 @@ def average_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> Dat
     return df.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count("*").over(W.partitionBy(*keys, column)) - 1) / 2)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, as an aggregate; 0 where either is constant."""
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Correlation of average ranks; 0 where either is constant."""
     ranked = average_ranks(average_ranks(df, x, keys, "_rx"), y, keys, "_ry")
-    return ranked.groupBy(*keys).agg(F.coalesce(F.nanvl(F.corr("_rx", "_ry"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
+    return ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias("spearman"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], fdr: float) -> DataFrame:
@@ -26,10 +31,19 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], fdr: float) -> Da
     return cut.filter(F.col(p) <= F.col("_cut")).drop("_n", "_k", "_cut")
 
 
+def counted(df: DataFrame, column: str) -> DataFrame:
+    """_v, _n: the values and how often they occur, computed once."""
+    return df.groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n")).persist()
+
+
 def quantile_trim(df: DataFrame, column: str, q: float, scale: float) -> DataFrame:
-    """Rows up to scale times the value nearest the q-quantile (the smaller on a tie)."""
-    limit = df.agg(F.percentile(column, q).alias("q"))
-    near = df.join(F.broadcast(limit)).agg(F.min_by(column, F.struct(F.abs(F.col(column) - F.col("q")), F.col(column))).alias("_near"))
+    """Rows up to scale times the value nearest the q-quantile (the smaller on a tie).
+
+    Both numbers come from one table of the values and how often they occur.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.percentile("_v", q, F.col("_n")).alias("_q"))
+    near = counts.join(F.broadcast(limit)).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col("_q")), F.col("_v"))).alias("_near"))
     return df.join(F.broadcast(near)).filter(F.col(column) <= F.col("_near") * scale).drop("_near")
 
 
@@ -38,7 +52,7 @@ def histogram_mode(df: DataFrame, column: str, keys: list[str], bins: int = 200)
     ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(column) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    counts = df.join(F.broadcast(ends), keys).groupBy(*keys, "_lo", "_hi", F.coalesce(b, F.lit(0)).alias("_b")).agg(F.count("*").alias("_n"))
+    counts = df.join(ends, keys).groupBy(*keys, "_lo", "_hi", F.coalesce(b, F.lit(0)).alias("_b")).agg(F.count("*").alias("_n"))
     best = F.max(F.struct("_n", (-F.col("_b")).alias("b")))
     top = counts.groupBy(*keys, "_lo", "_hi").agg(best.alias("m"))
     return top.select(*keys, (F.col("_lo") + width * (0.5 - F.col("m.b"))).alias("mode"), F.col("m._n").alias("n"))
@@ -48,7 +62,7 @@ def iqr_clipped(df: DataFrame, column: str, keys: list[str], low: float = 0.25,
     """Rows within 1.5 spreads of the low and high quantiles."""
     q = df.groupBy(*keys).agg(F.percentile(column, low).alias("_a"), F.percentile(column, high).alias("_b"))
     reach = 1.5 * (F.col("_b") - F.col("_a"))
-    return df.join(F.broadcast(q), keys).filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
+    return df.join(q, keys).filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
 
 
 def early_stop(history: DataFrame, patience: int, min_delta: float) -> DataFrame:

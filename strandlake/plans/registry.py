@@ -118,9 +118,9 @@ def signal_per_locus(s, d):
     return sums.select("id", "total", F.round(F.log1p("total"), 6).alias("log_total"))
 
 
-@query("select id, w.lo + offs as pos, coalesce(t.value, 0)::bigint as value from (select id, chrom, lo, unnest(generate_series(0, 119, 30)) as offs from windows) w left join track t on t.chrom = w.chrom and t.lo = w.lo + w.offs", "windows", "track")
+@query("select id, w.lo + offs as pos, coalesce(t.value, 0)::bigint as value from (select id, chrom, lo, unnest(generate_series(0, 119)) as offs from windows) w left join track t on t.chrom = w.chrom and t.lo = w.lo + w.offs", "windows", "track")
 def dense_extraction(s, d):
-    cells = windows(s, d).select("id", "chrom", F.explode(F.expr("sequence(start, end - 1, 30L)")).alias("start"))
+    cells = windows(s, d).select("id", "chrom", F.explode(F.expr("sequence(start, end - 1, 1L)")).alias("start"))
     return cells.join(v.track(s, d).select("chrom", "start", "value"), ["chrom", "start"], "left").select("id", C("start").alias("pos"), F.coalesce("value", F.lit(0)).alias("value"))
 
 
@@ -166,25 +166,35 @@ def sequence_functions(s, d):
     )
 
 
-@query("select id, left(rpad(seq, 30, 'N'), 30) as back, len(string_split(left(rpad(seq, 30, 'N'), 30), 'A')) - 1 as n_a from sequences", "sequences")
+def letters_of(sequences: DataFrame, *keys) -> DataFrame:
+    """pos and base of every letter of whole sequences."""
+    return sequences.filter(F.length("seq") > 0).select(*keys, F.posexplode(F.split("seq", "")).alias("pos", "base")).withColumn("pos", C("pos").cast("long"))
+
+
+def information(letters: DataFrame, *keys) -> DataFrame:
+    p = letters.groupBy(*keys, "pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
+    return p.select(*keys, "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
+
+
+LETTERS = "select id, unnest(generate_series(0, length(seq) - 1)) as pos, unnest(string_split(seq, '')) as base from sequences where length(seq) > 0"
+
+
+@query("select id, seq as back, (length(seq) - length(replace(seq, 'A', '')))::bigint as n_a from sequences", "sequences")
 def one_hot_round_trip(s, d):
-    hot = sq.one_hot(sq.fixed_length(C("seq"), 30))
-    return v.sequences(s, d).withColumn("hot", hot).select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).cast("long").alias("n_a"))
+    x = v.sequences(s, d).withColumn("hot", F.when(F.length("seq") > 0, sq.one_hot(C("seq"))).otherwise(F.array().cast("array<array<int>>")))
+    return x.select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).cast("long").alias("n_a"))
 
 
-@query("select pos, base, count(*) as n from (select unnest(generate_series(0, 29)) as pos, unnest(string_split(left(rpad(seq, 30, 'N'), 30), '')) as base from sequences) group by all", "sequences")
+@query(f"select pos, base, count(*) as n from ({LETTERS}) group by all", "sequences")
 def position_counts(s, d):
-    letters = F.posexplode(F.split(sq.fixed_length(C("seq"), 30), "")).alias("pos", "base")
-    return v.sequences(s, d).select(letters).groupBy(C("pos").cast("long").alias("pos"), "base").agg(F.count("*").alias("n"))
+    return letters_of(v.sequences(s, d)).groupBy("pos", "base").agg(F.count("*").alias("n"))
 
 
-@query("""with c as (select pos, base, count(*) as n from (select unnest(generate_series(0, 29)) as pos, unnest(string_split(left(seq, 30), '')) as base from sequences where length(seq) >= 30) group by all),
+@query(f"""with c as (select pos, base, count(*) as n from ({LETTERS}) group by all),
 f as (select pos, base, n / sum(n) over (partition by pos) as p from c)
 select pos, round(sum((p + 0.001) / 1.004 * log2((p + 0.001) / 1.004 / 0.25)) + (4 - count(*)) * 0.001 / 1.004 * log2(0.001 / 1.004 / 0.25), 6) as ic from f group by pos""", "sequences")
 def information_content(s, d):
-    letters = F.posexplode(F.split(F.substring("seq", 1, 30), "")).alias("pos", "base")
-    n = v.sequences(s, d).filter(F.length("seq") >= 30).select(letters).groupBy(C("pos").cast("long").alias("pos")).agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
-    return n.select("pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
+    return information(letters_of(v.sequences(s, d)))
 
 
 @query("select distinct chrom, lo, hi from (select chrom, lo, hi from windows union all select chrom, lo, hi from windows)", "windows")
@@ -211,17 +221,20 @@ def top_k_per_group(s, d):
     return v.loci(s, d).select("chrom", "id", "signal", k.cast("long").alias("k")).filter("k <= 5")
 
 
-@query()
+DRAW = "('0x' || left(md5(id::varchar || '/{}'), 8))::bigint"
+
+
+@query(f"select * from points order by {DRAW.format(1)}, id limit 100", "points")
 def seeded_sample(s, d):
     return sampling.sample(v.points(s, d), "id", 100)
 
 
-@query()
+@query(f"select * exclude (k) from (select *, row_number() over (partition by chrom order by {DRAW.format(1)}, id) as k from points) where k <= 10", "points")
 def sample_per_stratum(s, d):
     return sampling.per_stratum(v.points(s, d), "chrom", "id", 10)
 
 
-@query()
+@query(f"select *, (case when value > 0 then 1 else 0 end)::int as weight, case when value > 0 then {DRAW.format(3)} % 17 - 8 else 0 end as jitter, (row_number() over (order by {DRAW.format(3)}, id) - 1) // 64 as batch_id from points", "points")
 def epoch_batches(s, d):
     return sampling.batches(sampling.jittered(v.points(s, d).withColumn("weight", F.when(C("value") > 0, 1).otherwise(0)), "id", 8, 3), "id", 64, 3)
 
@@ -267,7 +280,7 @@ def normalised_scores(s, d):
 select id, round(coalesce(corr(ra, rb), 0), 6) as spearman, round(coalesce(corr(a, b), 0), 6) as pearson from r group by id""", "pairs")
 def rank_correlations(s, d):
     long = v.arrays(s, d).select("id", F.explode(F.arrays_zip("a", "b")).alias("z")).select("id", "z.a", "z.b")
-    p = long.groupBy("id").agg(F.round(F.coalesce(F.corr("a", "b"), F.lit(0.0)), 6).alias("pearson"))
+    p = long.groupBy("id").agg(F.round(stats.correlation("a", "b"), 6).alias("pearson"))
     return stats.spearman(long, "a", "b", ["id"]).select("id", F.round("spearman", 6).alias("spearman")).join(p, "id")
 
 
@@ -297,7 +310,7 @@ select id, key, round(p, 9) as p from c where p <= cut""", "hits")
 def false_discovery(s, d):
     h = v.hits(s, d)
     top = h.groupBy("key").agg((F.max("score") + 1.0).alias("top"))
-    p = h.join(F.broadcast(top), "key").select("id", "key", F.exp(-20.0 * C("score") / C("top")).alias("p"))
+    p = h.join(top, "key").select("id", "key", F.exp(-20.0 * C("score") / C("top")).alias("p"))
     return stats.benjamini_hochberg(p, "p", ["key"], 0.2).select("id", "key", F.round("p", 9).alias("p"))
 
 
@@ -346,16 +359,13 @@ def self_cooccurrence(s, d):
     return motifs.self_cooccurrence(v.hits(s, d)).withColumn("p", F.round("p", 6))
 
 
-@query("""with c as (select id % 20 as key, unnest(generate_series(0, 29)) as pos, unnest(string_split(left(seq, 30), '')) as base from sequences where length(seq) >= 30),
+@query(f"""with c as (select id % 20 as key, pos, base from ({LETTERS})),
 n as (select key, pos, base, count(*) as n from c group by all), f as (select key, pos, n / sum(n) over (partition by key, pos) as p from n),
 i as (select key, pos, round(sum((p + 0.001) / 1.004 * log2((p + 0.001) / 1.004 / 0.25)) + (4 - count(*)) * 0.001 / 1.004 * log2(0.001 / 1.004 / 0.25), 6) as ic from f group by all),
 e as (select key, min(pos) filter (ic >= 0.2) as a, max(pos) filter (ic >= 0.2) as b from i group by key)
 select key, pos, ic from i join e using (key) where a is null or pos between a - 1 and b + 1""", "sequences")
 def trimmed_motifs(s, d):
-    letters = F.posexplode(F.split(F.substring("seq", 1, 30), "")).alias("pos", "base")
-    x = v.sequences(s, d).filter(F.length("seq") >= 30).select((C("id") % 20).alias("key"), letters)
-    p = x.groupBy("key", C("pos").cast("long").alias("pos")).agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
-    return motifs.trimmed(p.select("key", "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic")), pad=1)
+    return motifs.trimmed(information(letters_of(v.sequences(s, d), (C("id") % 20).alias("key")), "key"), pad=1)
 
 
 @query("""with l as (select id, w.chrom, lo, hi, lo + 55 as a, lo + 65 as b from windows w),
@@ -418,9 +428,18 @@ def cumulative_histogram(s, d):
     return n.select("bin", F.sum("k").over(W.orderBy("bin")).alias("below"))
 
 
-@query()
+def smoothing_sql(sigma: float, width: int) -> str:
+    """Rows id, pos, value: profiles smoothed, edges reflected."""
+    w = pf.kernel(sigma, width).tolist()
+    r = len(w) // 2
+    taps = f"select unnest(generate_series({-r}, {r})) as d, unnest({w}) as w"
+    return f"select o.id, o.pos, sum(t.w * p.n) as value from profiles o cross join ({taps}) t join (select id as k, max(pos) + 1 as size from profiles group by id) z on z.k = o.id join profiles p on p.id = o.id and p.pos = case when o.pos + t.d < 0 then -(o.pos + t.d) - 1 when o.pos + t.d >= size then 2 * size - 1 - (o.pos + t.d) else o.pos + t.d end group by o.id, o.pos"
+
+
+@query(f"select id, pos, round(value, 6) as value from ({smoothing_sql(7.0, 21)})", "profiles")
 def smoothed_profiles(s, d):
-    return v.arrays(s, d).select("id", F.transform(pf.smoothed(7.0, 21)(C("a")), lambda x: F.round(x, 6)).alias("smooth"))
+    x = v.arrays(s, d).select("id", F.posexplode(pf.smoothed(7.0, 21)(C("a"))).alias("pos", "value"))
+    return x.select("id", C("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query()
@@ -428,7 +447,10 @@ def shuffled_sequences(s, d):
     return v.sequences(s, d).select("id", pf.dinucleotide_shuffled(C("seq"), C("id")).alias("shuffled"))
 
 
-@query()
+@query("""with m(key, strand, word, hit, miss) as (values ('cacgtg', '+', 'CACGTG', 1.0, -1.0), ('cacgtg', '-', 'CACGTG', 1.0, -1.0), ('gata', '+', 'GATA', 1.0, -2.0), ('gata', '-', 'TATC', 1.0, -2.0)),
+p as (select id, seq, unnest(generate_series(0, length(seq) - 1)) as i from sequences where length(seq) > 0),
+x as (select id, i, length(word) as n, key, strand, list_sum(list_transform(generate_series(1, length(word)), lambda j: case when seq[i + j] = word[j] then hit else miss end))::double as score from p, m where i + length(word) <= length(seq))
+select id::varchar as chrom, i as lo, i + n as hi, key, strand, score from x where score >= 4""", "sequences")
 def motif_scan(s, d):
     pwms = {"cacgtg": np.where(np.eye(4)[[1, 0, 1, 2, 3, 2]] > 0, 1.0, -1.0), "gata": np.where(np.eye(4)[[2, 0, 3, 0]] > 0, 1.0, -2.0)}
     chunks = v.sequences(s, d).select(C("id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), "seq")
@@ -455,42 +477,12 @@ def principal_components(s, d):
 
 @query()
 def score_mixture(s, d):
-    fit = motifs.exponential_mixture(v.profiles(s, d).select(C("n").cast("double").alias("n")), "n")
+    fit = motifs.score_mixture(v.profiles(s, d).select(C("n").cast("double").alias("n")), "n")
     return s.createDataFrame([(k, float(x)) for k, x in fit.items()], "parameter string, value double")
 
 
-def letters_of(sequences: DataFrame, *keys) -> DataFrame:
-    """pos and base of every letter of whole sequences."""
-    return sequences.filter(F.length("seq") > 0).select(*keys, F.posexplode(F.split("seq", "")).alias("pos", "base")).withColumn("pos", C("pos").cast("long"))
-
-
-def information(letters: DataFrame, *keys) -> DataFrame:
-    p = letters.groupBy(*keys, "pos").agg(*(F.avg((C("base") == b).cast("double")).alias(b) for b in "ACGT"))
-    return p.select(*keys, "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
-
-
-@query()
-def dense_extraction_whole(s, d):
-    cells = windows(s, d).select("id", "chrom", F.explode(F.expr("sequence(start, end - 1, 1L)")).alias("start"))
-    return cells.join(v.track(s, d).select("chrom", "start", "value"), ["chrom", "start"], "left").select("id", C("start").alias("pos"), F.coalesce("value", F.lit(0)).alias("value"))
-
-
-@query()
-def one_hot_round_trip_whole(s, d):
-    x = v.sequences(s, d).withColumn("hot", F.when(F.length("seq") > 0, sq.one_hot(C("seq"))).otherwise(F.array().cast("array<array<int>>")))
-    return x.select("id", sq.from_one_hot(C("hot")).alias("back"), F.aggregate("hot", F.lit(0), lambda a, r: a + r[0]).cast("long").alias("n_a"))
-
-
-@query()
-def position_counts_whole(s, d):
-    return letters_of(v.sequences(s, d)).groupBy("pos", "base").agg(F.count("*").alias("n"))
+# names that the queries of whole tables also go by
+for _name in ("dense_extraction", "one_hot_round_trip", "position_counts", "information_content", "trimmed_motifs"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
-
-@query()
-def information_content_whole(s, d):
-    return information(letters_of(v.sequences(s, d)))
-
-
-@query()
-def trimmed_motifs_whole(s, d):
-    return motifs.trimmed(information(letters_of(v.sequences(s, d), (C("id") % 20).alias("key")), "key"), pad=1)
+from . import assembly, motif_tables, predictions  # noqa: E402, F401 (they add their queries)

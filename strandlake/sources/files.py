@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +53,21 @@ def read_similarity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
-    """chrom, chunk_id, start, seq: fixed-size chunks, upper case. Lines get their places from running lengths in a contig."""
-    lines = spark.read.option("lineSep", ">").text(path).filter("length(trim(value)) > 0")  # a row for each contig
-    parts = lines.select(F.substring_index(F.split("value", "\n")[0], " ", 1).alias("chrom"), F.upper(F.regexp_replace(F.expr("substring(value, instr(value, '\n'))"), r"\s", "")).alias("s"))
-    cut = parts.select("chrom", "s", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("s") - 1) / chunk), F.lit(0)))).alias("chunk_id"))
-    return cut.select("chrom", "chunk_id", (F.col("chunk_id") * chunk).alias("start"), F.expr(f"substring(s, cast(chunk_id * {chunk} + 1 as int), {chunk})").alias("seq"))
+    """chrom, chunk_id, start, seq: fixed-size chunks, upper case. Each contig is cut in one pass over its lines; operators.assembly.fetched() reads ranges."""
+    contigs = spark.read.option("lineSep", ">").text(path).filter("length(trim(value)) > 0")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["chrom", "chunk_id", "start", "seq"]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                name, *lines = text.split("\n")
+                seq = "".join("".join(lines).split()).upper()
+                at = range(0, max(len(seq), 1), chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([name.split()[0]] * len(at)), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([seq[i : i + chunk] for i in at])], names=names)
+
+    return contigs.mapInArrow(cut, "chrom string, chunk_id long, start long, seq string")
 
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +80,7 @@ def read_meme(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_indices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("row_idx")).filter("row_idx is not null")
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").cast("long").alias("row_idx"))
 
 
 def read_tasks(path: str) -> dict:

@@ -1,4 +1,11 @@
-"""Corpus preparation: five stages over documents, each written as Parquet and read again."""
+"""Corpus preparation: five stages over documents, each written as Parquet and read again.
+
+All but the last stage return the columns of documents, whatever their names, and no others.
+Null, empty and very short texts go in the first stage (under 50 words). Documents of null
+lang form a stratum, rows of null doc_id pass as others do; repeated rows of one doc_id and
+text become one row at near duplicates, and rows of one doc_id are decontaminated together.
+Very long texts pass whole. An empty table gives no pieces.
+"""
 
 from __future__ import annotations
 

@@ -34,23 +34,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Large intermediate results: a compressed table in the shared folder, read back, and deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """stored(), as a table in n buckets of key in the warehouse, so that a grouping by key needs no shuffle of it."""
+    """stored(), as a table in n buckets of key, so that a grouping by key needs no shuffle of it."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = f"{shared_dir(spark)}/tables/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    _delete_at_end(spark, path)
     return spark.table(name)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keys import beside, joined
+
 
 def centred(loci: DataFrame, flank: int) -> DataFrame:
     """Windows of 2 * flank around st + summit."""
@@ -102,23 +104,35 @@ def nearest(points: DataFrame, targets: DataFrame, size: int) -> DataFrame:
     return out.select("id", "chrom", "pos", (near - F.col("pos")).alias("distance"))
 
 
-def merged(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of overlapping or touching intervals of the same keys, with their best row's score and id."""
-    w = W.partitionBy(*keys).orderBy("start", "end", "id")
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(before >= F.col("start"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
+#: Sorted passes along a chromosome go by bins of so many places.
+STRIPE = 1 << 16
+
+
+def merged(df: DataFrame, keys: list[str], size: int = STRIPE) -> DataFrame:
+    """Islands of overlapping or touching intervals of the same keys, with their best row's score and id.
+
+    Rows are sorted in bins of size; how far the bins before reach, and where their last island starts, comes from tables of a row a bin.
+    """
+    w, bins = W.partitionBy(*keys, "_b").orderBy("start", "end", "id"), W.partitionBy(*keys).orderBy("_b")
+    earlier = bins.rowsBetween(W.unboundedPreceding, -1)
+    b = df.withColumn("_b", F.floor(F.col("start") / size))
+    reach = b.groupBy(*keys, "_b").agg(F.max("end").alias("_r")).withColumn("_r", F.max("_r").over(earlier))
+    inside = joined(b.withColumn("_i", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))), reach, [*keys, "_b"])
+    first = inside.withColumn("_f", F.when(F.coalesce(F.greatest("_i", "_r") < F.col("start"), F.lit(True)), F.col("start"))).drop("_i", "_r")
+    last = first.groupBy(*keys, "_b").agg(F.max("_f").alias("_l")).withColumn("_l", F.max("_l").over(earlier))
+    island = F.coalesce(F.max("_f").over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_l"))
     best = F.max(F.struct("score", (-F.col("id")).alias("i")))
-    return df.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), best["score"].alias("best_score"), (-best["i"]).alias("best_id")).drop("_island")
+    rows = joined(first, last, [*keys, "_b"]).withColumn("_island", island)
+    return rows.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), best["score"].alias("best_score"), (-best["i"]).alias("best_id")).drop("_island")
 
 
-def resolved(df: DataFrame) -> DataFrame:
+def resolved(df: DataFrame, size: int = STRIPE) -> DataFrame:
     """Overlaps of equal-width windows split half-way: each piece ends at the middle between its centre and the next one's, and starts where the piece before ended. Pieces without length go."""
-    w = W.partitionBy("chrom").orderBy("start", "id")
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
-    cut = df.withColumn("_m", mid).withColumn("_ns", F.lead("start").over(w)).withColumn("_nm", F.lead("_m").over(w))
-    cut = cut.withColumn("piece_end", F.when(F.col("_ns") < F.col("end"), F.floor((F.col("_m") + F.col("_nm")) / 2)).otherwise(F.col("end")))
-    out = cut.withColumn("piece_start", F.greatest("start", F.coalesce(F.lag("piece_end").over(w), F.col("start"))))
-    return out.filter("piece_end > piece_start").drop("_m", "_ns", "_nm")
+    cut = df.withColumn("_m", F.floor((F.col("start") + F.col("end")) / 2))
+    cut = beside(cut, ["chrom"], F.struct(F.col("start").alias("s"), F.col("_m").alias("m")), "_next", size, after=True)
+    cut = cut.withColumn("piece_end", F.when(F.col("_next.s") < F.col("end"), F.floor((F.col("_m") + F.col("_next.m")) / 2)).otherwise(F.col("end")))
+    out = beside(cut, ["chrom"], F.col("piece_end"), "_last", size, after=False).withColumn("piece_start", F.greatest("start", F.coalesce("_last", "start")))
+    return out.filter("piece_end > piece_start").drop("_m", "_next", "_last")
 
 
 def tiles(sizes: DataFrame, width: int, stride: int) -> DataFrame:

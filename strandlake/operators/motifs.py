@@ -69,11 +69,20 @@ def trimmed(motifs: DataFrame, least: float = 0.2, pad: int = 0) -> DataFrame:
 
 
 def pair_distances(hits: DataFrame) -> DataFrame:
-    """For each hit and other key of its peak: the nearest non-overlapping hit's signed distance of centres, negative on a tie."""
-    other = hits.select("peak", F.col("key").alias("key_b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    apart = hits.join(other, "peak").filter("key <> key_b and (e2 <= start or s2 >= end)")
-    d = F.floor((F.col("s2") + F.col("e2")) / 2) - F.floor((F.col("start") + F.col("end")) / 2)
-    return apart.withColumn("d", d).groupBy("id", "key", "key_b").agg(F.min(F.struct(F.abs("d").alias("a"), "d"))["d"].alias("distance"))
+    """For each hit and other key of its peak: the nearest non-overlapping hit's signed distance of centres, negative on a tie.
+
+    The greatest centre of hits that end before, and the least of those that start behind, come from sorted passes over (peak, key), not from pairs of hits.
+    """
+    centre = F.floor((F.col("start") + F.col("end")) / 2)
+    h = hits.filter("start is not null and end is not null").select("id", "peak", "key", "start", "end", centre.alias("c"))
+    asking = h.join(h.select("peak", F.col("key").alias("key_b")).distinct(), "peak").filter("key <> key_b")
+    asking = asking.select("peak", "key_b", "id", "key", "c", F.col("start").alias("_low"), F.col("end").alias("_high"), F.lit(None).cast("long").alias("_c"))
+    there = h.select("peak", F.col("key").alias("key_b"), F.lit(None).cast(h.schema["id"].dataType).alias("id"), F.lit(None).cast(h.schema["key"].dataType).alias("key"), F.lit(None).cast("long").alias("c"), F.col("end").alias("_low"), F.col("start").alias("_high"), F.col("c").alias("_c"))
+    w = W.partitionBy("peak", "key_b")
+    near = asking.unionByName(there).select("*", F.max("_c").over(w.orderBy("_low").rangeBetween(W.unboundedPreceding, 0)).alias("_b"), F.min("_c").over(w.orderBy("_high").rangeBetween(0, W.unboundedFollowing)).alias("_a"))
+    back, on = F.col("_b") - F.col("c"), F.col("_a") - F.col("c")
+    found = F.when(on.isNull() | (-back <= on), back).otherwise(on)
+    return near.filter("key is not null and (_a is not null or _b is not null)").select("id", "key", "key_b", found.alias("distance"))
 
 
 def ensemble_mean(members: DataFrame, n_members: int) -> DataFrame:
@@ -195,8 +204,8 @@ def exponential_part(values: DataFrame, column: str, fit: dict[str, float]) -> D
 def tight_rate(values: DataFrame, column: str, mode: float = 0.0) -> float:
     """The greatest rate of exponentials fitted to the 5th, 10th, .. 95th percentile of values of the mode or more."""
     at = [k / 20 for k in range(1, 20)]
-    found = counted(values.filter(F.col(column) >= mode), column).agg(F.percentile("_v", F.array(*map(F.lit, at)), F.col("_n"))).first()[0] or []
-    return max((-math.log(1 - p) / (q - mode) for p, q in zip(at, found, strict=True) if q > mode), default=1.0)
+    found = stats.quantiles(values.filter(F.col(column) >= mode), column, [], {f"q{i}": p for i, p in enumerate(at)}).first()
+    return max((-math.log(1 - p) / (q - mode) for p, q in zip(at, found, strict=True) if q is not None and q > mode), default=1.0)
 
 
 def hits_by_discovery(hits: DataFrame, score: str, fdr: float = 0.05, bins: int = 200) -> DataFrame:

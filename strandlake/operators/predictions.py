@@ -33,7 +33,7 @@ def metrics(examples: DataFrame, sigma: float = 7.0, width: int = 81, keys: tupl
 def correlations(examples: DataFrame, track: str, truth: str, predicted: str) -> DataFrame:
     """track, pearson, spearman over all its examples; 0 where either side is constant."""
     p = examples.groupBy(track).agg(stats.correlation(truth, predicted).alias("pearson"))
-    return p.join(stats.spearman(examples, truth, predicted, [track]), track)
+    return p.join(stats.spearman(examples, truth, predicted, [track], stats.spread_ranks), track)
 
 
 def metric_rows(found: DataFrame, keys: list[str]) -> DataFrame:

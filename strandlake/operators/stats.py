@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keys import joined, running_counts
+
 
 def average_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """Ranks within keys, of which each is one task's work: for keys of bounded groups."""
     w = W.partitionBy(*keys)
     return df.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count("*").over(W.partitionBy(*keys, column)) - 1) / 2)
 
 
+def spread_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """average_ranks() for groups of any size."""
+    ranks = running_counts(df, column, keys).select(*keys, column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return joined(df, ranks, [*keys, column])
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's, as an aggregate; 0 where either is constant."""
     return F.coalesce(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), F.lit(0.0))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys: list[str], ranks: Callable[..., DataFrame] = average_ranks) -> DataFrame:
     """Correlation of average ranks; 0 where either is constant."""
-    ranked = average_ranks(average_ranks(df, x, keys, "_rx"), y, keys, "_ry")
+    ranked = ranks(ranks(df, x, keys, "_rx"), y, keys, "_ry")
     return ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias("spearman"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], fdr: float) -> DataFrame:
-    """Rows whose p is at most the largest one under rank / n * fdr, within keys."""
-    w = W.partitionBy(*keys)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(p, "id")))
-    cut = ranked.withColumn("_cut", F.max(F.when(F.col(p) <= F.col("_k") / F.col("_n") * fdr, F.col(p))).over(w))
-    return cut.filter(F.col(p) <= F.col("_cut")).drop("_n", "_k", "_cut")
+    """Rows whose p is at most the largest one under rank / n * fdr, within keys of any size."""
+    ranked = running_counts(df, p, keys)
+    n = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    passing = joined(ranked, n, keys).filter(F.col(p) <= (F.col("_below") + F.col("_n")) / F.col("_total") * fdr)
+    return joined(df, passing.groupBy(*keys).agg(F.max(p).alias("_cut")), keys).filter(F.col(p) <= F.col("_cut")).drop("_cut")
+
+
+def quantiles(df: DataFrame, column: str, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """keys and a column for each quantile: exact, between neighbours in proportion, for groups of any size; nulls don't count."""
+    ranked = running_counts(df.filter(F.col(column).isNotNull()), column, keys)
+    n = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    v = F.col(column).cast("double")
+
+    def standing(place: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), v))
+
+    out = []
+    for name, q in at.items():
+        place = q * (F.col("_total") - 1)
+        low, high = standing(F.floor(place)), standing(F.ceil(place))
+        out.append((low + F.max(place - F.floor(place)) * (high - low)).alias(name))
+    return (joined(ranked, n, keys) if keys else ranked.join(F.broadcast(n))).groupBy(*keys).agg(*out)
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:
@@ -39,11 +67,11 @@ def counted(df: DataFrame, column: str) -> DataFrame:
 def quantile_trim(df: DataFrame, column: str, q: float, scale: float) -> DataFrame:
     """Rows up to scale times the value nearest the q-quantile (the smaller on a tie).
 
-    Both numbers come from one table of the values and how often they occur.
+    Both numbers come from the values and how often they occur.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    limit = counts.agg(F.percentile("_v", q, F.col("_n")).alias("_q"))
-    near = counts.join(F.broadcast(limit)).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col("_q")), F.col("_v"))).alias("_near"))
+    limit = quantiles(df, column, [], {"_q": q})
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
+    near = values.join(F.broadcast(limit)).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col("_q")), F.col("_v"))).alias("_near"))
     return df.join(F.broadcast(near)).filter(F.col(column) <= F.col("_near") * scale).drop("_near")
 
 
@@ -60,9 +88,9 @@ def histogram_mode(df: DataFrame, column: str, keys: list[str], bins: int = 200)
 
 def iqr_clipped(df: DataFrame, column: str, keys: list[str], low: float = 0.25, high: float = 0.7) -> DataFrame:
     """Rows within 1.5 spreads of the low and high quantiles."""
-    q = df.groupBy(*keys).agg(F.percentile(column, low).alias("_a"), F.percentile(column, high).alias("_b"))
+    q = quantiles(df, column, keys, {"_a": low, "_b": high})
     reach = 1.5 * (F.col("_b") - F.col("_a"))
-    return df.join(q, keys).filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
+    return joined(df, q, keys).filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
 
 
 def early_stop(history: DataFrame, patience: int, min_delta: float) -> DataFrame:

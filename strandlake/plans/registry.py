@@ -133,8 +133,9 @@ def counts_loss_weight(s, d):
 @query("select min(value) as lo, round(quantile_cont(value, 0.001), 6) as q001, round(quantile_cont(value, 0.01), 6) as q01, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.99), 6) as q99, round(quantile_cont(value, 0.999), 6) as q999, round(quantile_cont(value, 0.9995), 6) as q9995, round(quantile_cont(value, 0.9999), 6) as q9999, max(value) as hi from track", "track")
 def track_statistics(s, d):
     names = {"q001": 0.001, "q01": 0.01, "q50": 0.5, "q99": 0.99, "q999": 0.999, "q9995": 0.9995, "q9999": 0.9999}
-    p = F.percentile("value", F.array(*map(F.lit, names.values()))).alias("p")
-    return v.track(s, d).agg(F.min("value").alias("lo"), p, F.max("value").alias("hi")).select("lo", *(F.round(C("p")[i], 6).alias(n) for i, n in enumerate(names)), "hi")
+    track = v.track(s, d)
+    ends = track.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return ends.join(stats.quantiles(track, "value", [], names)).select("lo", *(F.round(n, 6).alias(n) for n in names), "hi")
 
 
 @query("select chrom, round(n * 1.0 / sum(n) over (), 6) as share from (select chrom, count(*) as n from track group by chrom)", "track")

@@ -44,17 +44,21 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], fdr: float) -> Da
 
 def quantiles(df: DataFrame, column: str, keys: list[str], at: dict[str, float]) -> DataFrame:
     """keys and a column for each quantile: exact, between neighbours in proportion, for groups of any size; nulls don't count."""
-    ranked = running_counts(df.filter(F.col(column).isNotNull()), column, keys)
+    return standing(running_counts(df.filter(F.col(column).isNotNull()), column, keys), column, keys, at)
+
+
+def standing(ranked: DataFrame, column: str, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """quantiles() of running_counts()."""
     n = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     v = F.col(column).cast("double")
 
-    def standing(place: Column) -> Column:
+    def value(place: Column) -> Column:
         return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), v))
 
     out = []
     for name, q in at.items():
         place = q * (F.col("_total") - 1)
-        low, high = standing(F.floor(place)), standing(F.ceil(place))
+        low, high = value(F.floor(place)), value(F.ceil(place))
         out.append((low + F.max(place - F.floor(place)) * (high - low)).alias(name))
     return (joined(ranked, n, keys) if keys else ranked.join(F.broadcast(n))).groupBy(*keys).agg(*out)
 
@@ -69,9 +73,10 @@ def quantile_trim(df: DataFrame, column: str, q: float, scale: float) -> DataFra
 
     Both numbers come from the values and how often they occur.
     """
-    limit = quantiles(df, column, [], {"_q": q})
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    near = values.join(F.broadcast(limit)).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col("_q")), F.col("_v"))).alias("_near"))
+    df = df.persist()  # for the counts and the rows
+    ranked = running_counts(df.filter(F.col(column).isNotNull()), column, [])
+    limit = standing(ranked, column, [], {"_q": q})
+    near = ranked.join(F.broadcast(limit)).agg(F.min_by(column, F.struct(F.abs(F.col(column) - F.col("_q")), F.col(column))).alias("_near"))
     return df.join(F.broadcast(near)).filter(F.col(column) <= F.col("_near") * scale).drop("_near")
 
 

@@ -7,11 +7,12 @@ wins, the first by name on a tie. Narrow margins are marked as rejected.
 
 The sample: of each language, whole training texts in the order of a hash of doc_id until
 dict_bytes are full, docs_per_lang of them at most. Texts over a 64th of dict_bytes come
-last, so that many texts find room. Over max_langs languages are an error, so what is collected
-and broadcast is at most max_langs times dict_bytes.
+last, so that many texts find room. Counts by the hash's first bits tell which rows can be among
+the first docs_per_lang; only these are ordered, so no language is one task's work. Over max_langs
+languages are an error, so what is collected and broadcast is at most max_langs times dict_bytes.
 
 Null texts and texts without a letter: 'und', score 0, rejected. Without training rows every
-text is 'und'. Rows of null lang train nothing; a null doc_id comes first in its language.
+text is 'und'. Rows of null lang train nothing; a null doc_id stands where the hash of null does.
 Repeated rows are predicted each and sampled once. Very long texts go block by block. An
 empty table gives no rows. Other columns do no harm: only doc_id and text are read for
 predictions.
@@ -41,12 +42,18 @@ def plain(text: str) -> bytes:
 def fit(train: DataFrame, docs_per_lang: int = 1024, dict_bytes: int = 114688, max_langs: int = 256) -> dict[str, bytes]:
     """Each language's dictionary, from columns doc_id, text and lang."""
     known = train.filter("lang is not null and text is not null").select("lang", "doc_id", "text", F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"))
-    order = W.partitionBy("lang").orderBy(F.col("size") > dict_bytes // 64, F.xxhash64("doc_id"), "doc_id", "th")
-    first = known.drop("text").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang)
-    before = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    drawn = checkpointed(first.withColumn("before", before).filter(F.col("before") < dict_bytes))
-    if drawn.select("lang").distinct().count() > max_langs:
+    late, key = F.col("size") > dict_bytes // 64, F.xxhash64("doc_id")
+    known = known.withColumn("at", late.cast("long") * 256 + F.shiftright(key, 56) + 128)
+    counts = known.groupBy("lang", "at").agg(F.count("*").alias("n"))
+    so_far = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = checkpointed(counts.withColumn("before", so_far).filter(F.col("before") < docs_per_lang).select("lang", "at"))
+    if wanted.select("lang").distinct().count() > max_langs:
         raise ValueError(f"over {max_langs} languages to learn")
+    # 512 rows a language at most
+    some = known.drop("text").join(F.broadcast(wanted), ["lang", "at"], "left_semi")
+    first = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(late, key, "doc_id", "th"))).filter(F.col("n") <= docs_per_lang)
+    filled = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    drawn = checkpointed(first.withColumn("filled", filled).filter(F.col("filled") < dict_bytes))
     place = drawn.groupBy("lang", "doc_id", "th").agg(F.min("n").alias("n"))
     same = [F.col("k.lang") == F.col("p.lang"), F.col("k.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("k.th") == F.col("p.th")]
     rows = known.alias("k").join(F.broadcast(place.alias("p")), same).select("k.lang", "n", F.substring("text", 1, dict_bytes).alias("text")).distinct().collect()

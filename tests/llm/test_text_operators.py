@@ -101,6 +101,10 @@ def test_dictionaries_are_whole_texts(spark, data, texts):
     d = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
     model = langid.fit(d.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"), dict_bytes=20_000)
     assert model == want
+    few = langid.fit(d.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"), docs_per_lang=5)
+    for lang, content in few.items():
+        drawn = sorted((r for r in train if r.lang == lang), key=lambda r: (len(r.text.encode()) > 114688 // 64, r.h, r.doc_id))[:5]
+        assert content == b"".join(langid.plain(r.text) + b" " for r in drawn)
     with pytest.raises(ValueError):
         langid.fit(d, max_langs=2)
     how = z.ZstdCompressionParameters.from_level(3, min_match=3, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)

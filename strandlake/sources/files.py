@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -53,21 +53,35 @@ def read_similarity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
-    """chrom, chunk_id, start, seq: fixed-size chunks, upper case. Each contig is cut in one pass over its lines; operators.assembly.fetched() reads ranges."""
-    contigs = spark.read.option("lineSep", ">").text(path).filter("length(trim(value)) > 0")
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["chrom", "chunk_id", "start", "seq"]
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                name, *lines = text.split("\n")
-                seq = "".join("".join(lines).split()).upper()
-                at = range(0, max(len(seq), 1), chunk)
-                yield pa.RecordBatch.from_arrays([pa.array([name.split()[0]] * len(at)), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([seq[i : i + chunk] for i in at])], names=names)
-
-    return contigs.mapInArrow(cut, "chrom string, chunk_id long, start long, seq string")
+    """chrom, chunk_id, start, seq: fixed-size chunks, upper case; an empty contig has one of no letters. operators.assembly.fetched() reads ranges.
+
+    Lines get their places from running lengths within each block of a file, shifted by a
+    table of a row a block, so a contig is spread over the blocks that hold it. What stands
+    before the first name is left out. Only a contig written as one line is one row.
+    """
+    here, line = ["file", "block"], F.col("value")
+    block = W.partitionBy(*here).orderBy("at")
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    name = F.when(line.startswith(">"), F.regexp_extract(line, r"^>\s*(\S*)", 1))
+    rows = lines.select(*here, "at", name.alias("name"), F.when(name.isNull(), F.upper(F.regexp_replace(line, r"\s+", ""))).otherwise("").alias("letters"))
+    before = rows.groupBy(*here).agg(F.sum(F.length("letters")).alias("n")).select(*here, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    run = F.coalesce(F.sum(F.length("letters")).over(block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("run", run).join(before, here).withColumn("place", F.col("run") + F.col("before"))
+    contig = placed.withColumn("head", F.when(F.col("name").isNotNull(), F.struct(F.col("place").alias("from"), "name")))
+    carried = contig.groupBy(*here).agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("carried"))
+    carried = carried.withColumn("carried", F.last("carried", ignorenulls=True).over(earlier))
+    own = F.last("head", ignorenulls=True).over(block.rowsBetween(W.unboundedPreceding, 0))
+    of = contig.withColumn("own", own).join(carried, here).withColumn("of", F.coalesce("own", "carried")).filter("of is not null and (name is not null or letters <> '')")
+    # pieces of a chunk's length at most lie in two chunks at most
+    pieces = F.when(F.col("name").isNotNull(), F.array(F.lit(""))).otherwise(F.regexp_extract_all("letters", F.lit(f"(.{{1,{chunk}}})"), F.lit(1)))
+    cut = of.select("file", "of", (F.col("place") - F.col("of.from")).alias("start"), F.posexplode(pieces).alias("k", "piece")).withColumn("start", F.col("start") + F.col("k") * chunk)
+    last = F.floor((F.col("start") + F.greatest(F.length("piece"), F.lit(1)) - 1) / chunk)
+    each = cut.select("*", F.explode(F.sequence(F.floor(F.col("start") / chunk), last)).alias("chunk_id"))
+    skip = F.greatest(F.col("chunk_id") * chunk - F.col("start"), F.lit(0))
+    part = F.substring("piece", (skip + 1).cast("int"), F.least(F.lit(chunk), (F.col("chunk_id") + 1) * chunk - F.col("start")).cast("int"))
+    whole = each.groupBy("file", "of", "chunk_id").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + skip).alias("at"), part.alias("s")))).alias("parts"))
+    return whole.select(F.col("of.name").alias("chrom"), "chunk_id", (F.col("chunk_id") * chunk).alias("start"), F.array_join(F.transform("parts", lambda x: x["s"]), "").alias("seq"))
 
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:

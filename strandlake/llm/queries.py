@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, lm, packing, pii, quotes, rules, simhash, substrings
+from . import decontam, html_text, langid, lm, packing, pii, quotes, rules, simhash, spelling, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: rules.digest(table(s, d, "documents"), table(s, d, "labels")),
         "op9_html": lambda s, d: html_text.extract(table(s, d, "pages").select("page_id", "url", "html")),
         "op10_lm": lambda s, d: lm.digest(table(s, d, "documents")),
+        "op11_spelling": lambda s, d: spelling.variants(table(s, d, "documents")),
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, lm, packing, pii, quotes, rules, simhash, spelling, substrings
+from . import decontam, html_text, langid, lm, packing, pii, quotes, rules, simhash, spelling, substrings, vectors, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "op9_html": lambda s, d: html_text.extract(table(s, d, "pages").select("page_id", "url", "html")),
         "op10_lm": lambda s, d: lm.digest(table(s, d, "documents")),
         "op11_spelling": lambda s, d: spelling.variants(table(s, d, "documents")),
+        "op12_vectors": lambda s, d: vectors.near_duplicates(table(s, d, "embeddings")),
+        "op13_whitening": lambda s, d: whitening.whitened(table(s, d, "embeddings")),
     }
 
 

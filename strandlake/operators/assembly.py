@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from . import sampling
+from .tracks import dense  # noqa: F401 (windows of tracks are part of examples)
 
 
 def fetched(loci: DataFrame, chunks: DataFrame, size: int, beyond: str = "pad") -> DataFrame:
@@ -27,13 +28,6 @@ def fetched(loci: DataFrame, chunks: DataFrame, size: int, beyond: str = "pad")
     return out.withColumn("seq", F.rpad(found, n, "N")).drop("_s")
 
 
-def dense(loci: DataFrame, track: DataFrame) -> DataFrame:
-    """id and values: the track (chrom, start, value; a row a place) at every place of each locus, 0 where it has none."""
-    cells = loci.select("id", "chrom", F.posexplode(F.sequence("start", F.col("end") - 1)).alias("k", "start"))
-    both = cells.join(track.select("chrom", "start", "value"), ["chrom", "start"], "left")
-    return both.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("value", F.lit(0)).alias("v")))), lambda x: x["v"]).alias("values"))
-
-
 def both_strands(examples: DataFrame) -> DataFrame:
     """examples (..., seq, plus, minus) and their reverse complements, marked by rev_comp: letters complemented, profiles flipped and exchanged."""
     other = examples.withColumns({"seq": sq.reverse_complement(F.col("seq")), "plus": F.reverse("minus"), "minus": F.reverse("plus"), "rev_comp": F.lit(1)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import profile as pf
 from ..operators import assembly as asm
 from ..operators import intervals as iv
-from ..operators import sampling
+from ..operators import sampling, tracks
 from . import views as v
 from .registry import DRAW, C, lohi, query, windows
 
@@ -36,6 +36,35 @@ def dense_windows(s, d):
     return asm.dense(windows(s, d).select("id", "chrom", "start", "end"), v.track(s, d)).select("id", F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("values"))
 
 
+RUN_CELLS = "select w.id, k, coalesce(r.value, 0) as value from (select id, chrom, lo, unnest(generate_series(0, 119)) as k from windows) w left join runs r on r.chrom = w.chrom and r.lo <= w.lo + w.k and w.lo + w.k < r.hi"
+
+
+@query(f"select id, string_agg(value::bigint::varchar, ',' order by k) as values from ({RUN_CELLS}) group by id", "windows", "runs")
+def dense_from_runs(s, d):
+    """Windows over runs of any length, across the borders of small chunks."""
+    x = tracks.dense(windows(s, d).select("id", "chrom", "start", "end"), v.runs(s, d), 100)
+    return x.select("id", F.array_join(F.transform("values", lambda y: y.cast("long").cast("string")), ",").alias("values"))
+
+
+@query(f"""with c as ({RUN_CELLS}), p as (select w.id, k, coalesce(t.value, 0) as value from (select id, chrom, lo, unnest(generate_series(0, 119)) as k from windows) w left join track t on t.chrom = w.chrom and t.lo = w.lo + w.k),
+f as (select id, string_agg(c.value::bigint::varchar, ',' order by k) as r, string_agg(p.value::bigint::varchar, ',' order by k) as t, string_agg(c.value::bigint::varchar, ',' order by k desc) as rb, string_agg(p.value::bigint::varchar, ',' order by k desc) as tb from c join p using (id, k) group by id)
+select id, case when id % 2 = 1 then tb else r end as plus, case when id % 2 = 1 then rb else t end as minus from f""", "windows", "runs")
+def stacked_profiles(s, d):
+    """Two strands of a task; loci of odd ids are reversed."""
+    loci = windows(s, d).select("id", "chrom", "start", "end", (C("id") % 2 == 1).alias("rev_comp"))
+    x = tracks.stacked(loci, [v.runs(s, d), v.track(s, d)], reverse="rev_comp")
+    text = [F.array_join(F.transform(C("profiles")[i], lambda y: y.cast("long").cast("string")), ",").alias(n) for i, n in enumerate(("plus", "minus"))]
+    return x.select("id", *text)
+
+
+@query("""with o as (select *, lag(hi) over w as ph, lag(value) over w as pv from runs where value <> 0 window w as (partition by chrom order by lo)),
+i as (select *, sum(case when ph = lo and pv = value then 0 else 1 end) over (partition by chrom order by lo rows unbounded preceding) as g from o)
+select chrom, min(lo) as lo, max(hi) as hi, min(value)::double as value from i group by chrom, g""", "runs")
+def runs_of_chunks(s, d):
+    """A track through chunks and back: neighbours of equal value become one run."""
+    return lohi(tracks.runs(tracks.chunked(v.runs(s, d), 64), 64))
+
+
 @query("""with e as (select id, string_agg(a::bigint::varchar, ',' order by pos) as plus, string_agg(b::bigint::varchar, ',' order by pos) as minus, string_agg(a::bigint::varchar, ',' order by pos desc) as plus_back, string_agg(b::bigint::varchar, ',' order by pos desc) as minus_back, sum(a) as n, sum(b) as m from pairs group by id),
 g as (select id, rpad(substr(seq, (id * 37 % 260 + 1)::bigint, 150), 150, 'N') as seq from sequences)
 select id, 0 as rev_comp, seq, plus, minus, round(ln(n + 1), 6) as plus_count, round(ln(m + 1), 6) as minus_count from e join g using (id)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
+
 MINUTES = 43_200
 BIN = 256
 
@@ -26,6 +28,13 @@ def track(s: SparkSession, d: str) -> DataFrame:
     return points(s, d).groupBy("chrom", "pos").agg(F.sum("value").alias("value")).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value")
 
 
+def runs(s: SparkSession, d: str) -> DataFrame:
+    """A track of runs: the value of each minute with events holds until the next one, for 40 minutes at most."""
+    t = track(s, d).select("chrom", "start", "value", F.col("start").alias("id"))
+    out = beside(t, ["chrom"], F.col("start"), "_next", 1 << 12, after=True)
+    return out.select("chrom", "start", F.least(F.coalesce("_next", F.col("start") + 40), F.col("start") + 40).alias("end"), "value")
+
+
 def loci(s: SparkSession, d: str) -> DataFrame:
     """Peaks of 10 with their summits in the middle."""
     return points(s, d).select("id", "chrom", (F.col("pos") - 5).alias("st"), (F.col("pos") + 5).alias("e"), F.lit(5).alias("summit"), F.col("value").alias("signal"), "user_id")
@@ -65,6 +74,7 @@ def hits(s: SparkSession, d: str) -> DataFrame:
 SQL = {
     "points": "select event_id as id, event_type as chrom, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000 as pos, user_id, floor(value * 100)::bigint as value from events",
     "track": "select chrom, pos as lo, pos + 1 as hi, sum(value)::bigint as value from points group by all",
+    "runs": "select chrom, lo, least(coalesce(lead(lo) over (partition by chrom order by lo), lo + 40), lo + 40) as hi, value from track",
     "loci": "select id, chrom, pos - 5 as st, pos + 5 as e, 5 as summit, value as signal, user_id from points",
     "regions": "select chrom, min(pos) as b_start, min(pos) + 30 as b_end, user_id as region from points group by chrom, user_id",
     "sizes": f"select distinct chrom, {MINUTES} as size from points",
@@ -74,7 +84,7 @@ SQL = {
     "pairs": "select p.id, p.label, p.pos, p.n::double as a, q.n::double + 1 as b from profiles p join profiles q on p.id = q.id and q.pos = (select max(pos) from profiles r where r.id = p.id) - p.pos",
     "hits": "select id, user_id || '/' || (pos // 1440) as peak, chrom as key, pos as lo, pos + 10 as hi, value as score from points",
 }
-NEEDS = {"track": ["points"], "loci": ["points"], "regions": ["points"], "sizes": ["points"], "windows": ["loci"], "pairs": ["profiles"], "hits": ["points"]}
+NEEDS = {"track": ["points"], "runs": ["track"], "loci": ["points"], "regions": ["points"], "sizes": ["points"], "windows": ["loci"], "pairs": ["profiles"], "hits": ["points"]}
 
 
 def with_views(query: str, *names: str) -> str:

@@ -12,17 +12,59 @@ def draw(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
-    """n rows without replacement (all, if there are fewer)."""
-    return df.orderBy(draw(key, seed), key).limit(n)
+def count_of(n: int | DataFrame, like: DataFrame) -> DataFrame:
+    """A row with n, which may be such a row already."""
+    return n if isinstance(n, DataFrame) else like.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"))
 
 
-def sample_ratio(df: DataFrame, key: str, foreground: int, ratio: float, seed: int = 1) -> DataFrame:
-    """int(foreground * ratio) rows; an error if there aren't as many."""
+def first_drawn(df: DataFrame, key: str, n: int | DataFrame, seed: int = 1, whole: bool = False) -> DataFrame:
+    """The n rows (a number, or a row with n, maybe null) of the least draws, of equal draws those of the least keys; with whole, an error where there are fewer.
+
+    No task sorts or holds the rows. A histogram of the draws' upper half tells in which of
+    65,536 ranges the border lies, one of the lower half of the draws in that range at which
+    draw; rows below it are taken as they are read, and only those of just that draw are
+    ranked. All of it is one query, which starts no job when it is made.
+    """
+    drawn = df.withColumn("_d", draw(key, seed))
+    limit = count_of(n, df)
+    everything = F.lit((1 << 16) - 1)
+
+    def border(counts: DataFrame, want: DataFrame) -> DataFrame:
+        """counts (_r, _c; 65,536 rows at most), want (n): the range in which the n-th row lies, and how many come before it; no row if there are fewer."""
+        upto = counts.withColumn("_to", F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, 0)))
+        return upto.join(F.broadcast(want)).filter((F.col("_to") >= F.col("n")) & (F.col("_to") - F.col("_c") < F.col("n"))).select(F.col("_r"), (F.col("n") - F.col("_to") + F.col("_c")).alias("n"))
+
+    ranges = drawn.groupBy(F.shiftright("_d", 16).alias("_r")).agg(F.count("*").alias("_c"))
+    if whole:
+        total = ranges.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_all"))
+        enough = F.when(F.col("n") <= F.col("_all"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("fewer rows to draw from than "), F.col("n").cast("string"))).cast("long"))
+        limit = limit.join(F.broadcast(total)).select(enough.alias("n"))
+    high = border(ranges, limit)
+    inside = drawn.join(F.broadcast(high.select(F.col("_r").alias("_h"))), F.shiftright("_d", 16) == F.col("_h"))
+    low = border(inside.groupBy(F.col("_d").bitwiseAND(everything).alias("_r")).agg(F.count("*").alias("_c")), high.select("n"))
+    cut = limit.select(F.col("n").alias("_n")).join(F.broadcast(high.select(F.col("_r").alias("_h"))), how="left").join(F.broadcast(low.select(F.col("_r").alias("_l"), F.col("n").alias("_ties"))), how="left")
+    # without a border: all rows, or none for 0 and less
+    at = F.coalesce(F.shiftleft("_h", 16) + F.col("_l"), F.when(F.col("_n") > 0, F.lit(1 << 32)).otherwise(F.lit(-1)))
+    met = drawn.join(F.broadcast(cut.select(at.cast("long").alias("_at"), "_ties")))
+    below = met.filter("_d < _at").drop("_d", "_at", "_ties")
+    k = F.row_number().over(W.partitionBy("_d").orderBy(key))
+    tied = met.filter("_d = _at").withColumn("_k", k).filter("_k <= _ties").drop("_d", "_at", "_ties", "_k")
+    return below.unionByName(tied)
+
+
+def sample(df: DataFrame, key: str, n: int | DataFrame, seed: int = 1) -> DataFrame:
+    """n rows without replacement (all, if there are fewer), in no order."""
+    return first_drawn(df, key, n, seed)
+
+
+def sample_ratio(df: DataFrame, key: str, foreground: int | DataFrame, ratio: float, seed: int = 1) -> DataFrame:
+    """floor(foreground * ratio) rows; an error if there aren't as many: for rows to count, when the query runs, for a number, at once, by a job."""
+    if isinstance(foreground, DataFrame):
+        return first_drawn(df, key, foreground.agg(F.floor(F.count("*") * F.lit(ratio)).alias("n")), seed, whole=True)
     n = int(foreground * ratio)
-    if df.limit(n).count() < n:
+    if df.agg(F.count("*")).first()[0] < n:
         raise ValueError(f"fewer than {n} rows to draw from")
-    return sample(df, key, n, seed)
+    return first_drawn(df, key, n, seed)
 
 
 def per_stratum(df: DataFrame, stratum: str, key: str, k: int, seed: int = 1) -> DataFrame:
@@ -127,6 +169,18 @@ def batch_plan(rows: int, batch: int, threads: int) -> tuple[int, int, int]:
     return rows - rows % (batch * threads), batch, threads
 
 
+def planned_rows(rows: Column, batch: int, threads: int) -> Column:
+    """batch_plan()'s number of rows for a number of rows that only the query knows."""
+    sizes = []
+    while batch * threads > 1:
+        sizes.append(batch * threads)
+        batch, threads = (batch // 2, threads) if batch > 1 else (1, threads - 1)
+    out = F.when(rows >= 1, rows).otherwise(F.raise_error(F.lit("too few rows for a batch")).cast("long"))
+    for size in reversed(sizes):
+        out = F.when(rows >= size, rows - rows % size).otherwise(out)
+    return out
+
+
 def whole_batches(df: DataFrame, key: str, batch: int, threads: int, seed: int = 1) -> DataFrame:
     """A seeded sample of as many rows as fill batches on all threads alike."""
-    return sample(df, key, batch_plan(df.count(), batch, threads)[0], seed)
+    return first_drawn(df, key, df.agg(planned_rows(F.count("*"), batch, threads).alias("n")), seed)

@@ -106,7 +106,7 @@ def loss_weight_of_tracks(s, d):
 @query(f"select id, chrom, pos from points where value <= 5000 order by {DRAW.format(1)}, id limit (select floor(count(*) * 0.25)::bigint from points where value > 5000)", "points")
 def background_sample(s, d):
     p = v.points(s, d).select("id", "chrom", "pos", "value")
-    return sampling.sample_ratio(p.filter("value <= 5000"), "id", p.filter("value > 5000").count(), 0.25).drop("value")
+    return sampling.sample_ratio(p.filter("value <= 5000"), "id", p.filter("value > 5000"), 0.25).drop("value")
 
 
 @query(f"select id from points order by {DRAW.format(1)}, id limit (select count(*) - count(*) % 192 from points)", "points")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keys import joined
+
 
 def draw(key: str, seed: int) -> Column:
     """A number between 0 and 2^32 that any engine can compute."""
@@ -90,22 +92,50 @@ def batches(df: DataFrame, key: str, size: int, epoch: int, drop_rest: bool = Fa
     return out.drop("_n", "_d", "_r", "_before")
 
 
+def ranked(df: DataFrame, by: list[str], name: str, seed: int = 1, key: str = "id", ranges: int = 12) -> DataFrame:
+    """df with each row's number from 0 within its keys by, in drawn order.
+
+    Rows are sorted within ranges of the draw, 2^ranges a group, and shifted by the rows of the
+    ranges before, so a group that holds most rows is many tasks.
+    """
+    r = df.withColumn("_d", draw(key, seed)).withColumn("_r", F.shiftright("_d", 32 - ranges))
+    before = r.groupBy(*by, "_r").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1))).drop("_c")
+    inside = r.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_r").orderBy("_d", key)) - 1)
+    return joined(inside, before, [*by, "_r"]).withColumn(name, (F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_d", "_r", "_i", "_before")
+
+
 def matched(positives: DataFrame, candidates: DataFrame, by: list[str], ratio: int = 1, seed: int = 1) -> DataFrame:
     """For each positive, ratio candidates of equal keys, none twice: the k-th positives take the k-th candidates in drawn orders."""
-    p = positives.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(draw("id", seed), "id")))
-    p = p.select(*by, F.col("id").alias("positive_id"), F.explode(F.sequence((F.col("_k") - 1) * ratio + 1, F.col("_k") * ratio)).alias("_k"))
-    c = candidates.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(draw("id", seed), "id"))).select(*by, F.col("id").alias("candidate_id"), "_k")
+    p = ranked(positives, by, "_k", seed).select(*by, F.col("id").alias("positive_id"), F.explode(F.sequence(F.col("_k") * ratio, (F.col("_k") + 1) * ratio - 1)).alias("_k"))
+    c = ranked(candidates, by, "_k", seed).select(*by, F.col("id").alias("candidate_id"), "_k")
     return p.join(c, [*by, "_k"]).drop("_k")
 
 
-def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, value: str, reach: int | None = None, seed: int = 1, ratio: int = 1) -> DataFrame:
+#: Ranks of a group are joined to the steps that use them in blocks of so many.
+RANKS = 1 << 12
+
+
+def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, value: str, reach: int | None = None, seed: int = 1, ratio: int = 1, bounds: tuple[int, int] | None = None, drawn: bool = False) -> DataFrame:
     """matched() by group and value, then, for those without a match, at values 1, -1, 2, -2 and so on away; without reach, until no positive is left or the group's candidates run out.
 
+    With bounds, a step that would leave them bounces back inside, so candidates beyond them
+    serve positives of their own value alone; with drawn, the seed decides for each group and
+    distance whether up or down comes first.
+
     Which ranks meet at which step follows from the numbers of rows by value alone, so the
-    steps are walked over these, a group in one task, and rows are joined once.
+    steps are walked over these, a group in one task, and rows are joined once, by rank: no
+    task holds a value's rows.
     """
+    import hashlib
+
     kind, unit = (positives.schema[c].dataType.simpleString() for c in (group, value))
 
+    def steps(name, farthest: int):
+        yield 0
+        for d in range(1, farthest + 1):
+            down = drawn and hashlib.md5(f"{name}/{d}/{seed}".encode()).digest()[0] & 1
+            yield from (-d, d) if down else (d, -d)
+
     def walk(numbers):
         import pyarrow as pa
 
@@ -114,19 +144,23 @@ def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, valu
         for x, side, n in zip(*(numbers.column(c).to_pylist() for c in (value, "_side", "_n")), strict=True):
             left[side][x] = n
         p, c = left
-        used, out, step = [dict.fromkeys(p, 0), dict.fromkeys(c, 0)], [], 0
+        used, out = [dict.fromkeys(p, 0), dict.fromkeys(c, 0)], []
         farthest = max(abs(a - b) for a in (min(p), max(p)) for b in (min(c), max(c))) if p and c else -1
-        farthest = farthest if reach is None else min(farthest, reach)
-        while abs(step) <= farthest and p and c:
+        for step in steps(name, farthest if reach is None else min(farthest, reach)) if farthest >= 0 else ():
+            if not p or not c:
+                break
             for x in list(p):
-                if n := min(p[x], c.get(x + step, 0)):
-                    out.append((name, x, used[0][x], n, x + step, used[1][x + step], step))
-                    for rest, taken, at in ((p, used[0], x), (c, used[1], x + step)):
+                to = x + step
+                if step and bounds:
+                    span = max(1, bounds[1] - bounds[0])
+                    to = bounds[0] + abs((to - bounds[0] + span) % (2 * span) - span)
+                if n := min(p[x], c.get(to, 0)):
+                    out.append((name, x, used[0][x], n, to, used[1][to], to - x))
+                    for rest, taken, at in ((p, used[0], x), (c, used[1], to)):
                         taken[at] += n
                         rest[at] -= n
                         if not rest[at]:
                             del rest[at]
-            step = -step if step > 0 else 1 - step
         columns = zip(*out, strict=True) if out else [[]] * 7
         return pa.table([pa.array(col, f.type) for col, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -137,10 +171,11 @@ def matched_nearby(positives: DataFrame, candidates: DataFrame, group: str, valu
     arrow = to_arrow_schema(fields)
     sides = [x.filter(F.col(value).isNotNull()).groupBy(group, value).agg((F.count("*") * times).alias("_n")).withColumn("_side", F.lit(side)) for side, x, times in ((0, positives, ratio), (1, candidates, 1))]
     plan = sides[0].unionByName(sides[1]).groupBy(group).applyInArrow(walk, fields)
-    rank = F.row_number().over(W.partitionBy(group, value).orderBy(draw("id", seed), "id"))
-    p = positives.withColumn("_k", rank).select(group, F.col(value).alias("_p"), F.col("id").alias("positive_id"), F.explode(F.sequence((F.col("_k") - 1) * ratio, F.col("_k") * ratio - 1)).alias("_k"))
-    c = candidates.withColumn("_k", (rank - 1).cast("long")).select(group, value, F.col("id").alias("candidate_id"), F.col("_k"))
-    units = p.join(plan, [group, "_p"]).filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_n")))
+    block = F.floor(F.col("_k") / RANKS).alias("_block")
+    p = ranked(positives.select("id", group, value), [group, value], "_k", seed).select(group, F.col(value).alias("_p"), F.col("id").alias("positive_id"), F.explode(F.sequence(F.col("_k") * ratio, (F.col("_k") + 1) * ratio - 1)).alias("_k"))
+    c = ranked(candidates.select("id", group, value), [group, value], "_k", seed).select(group, value, F.col("id").alias("candidate_id"), F.col("_k"))
+    plan = plan.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / RANKS), F.floor((F.col("_from") + F.col("_n") - 1) / RANKS))))
+    units = p.select("*", block).join(plan, [group, "_p", "_block"]).filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_n")))
     units = units.select(group, value, "positive_id", (F.col("_k") - F.col("_from") + F.col("_to")).cast("long").alias("_k"), "step")
     return units.join(c, [group, value, "_k"]).select(group, value, "positive_id", "candidate_id", "step")
 

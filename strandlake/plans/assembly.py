@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profile as pf
 from ..operators import assembly as asm
+from ..operators import genome as gn
 from ..operators import intervals as iv
 from ..operators import sampling, tracks
 from . import views as v
@@ -21,6 +22,20 @@ def genome(s, d):
     return x.select("chrom", "chunk_id", (C("chunk_id") * CHUNK).alias("start"), F.expr(f"substring(seq, cast(chunk_id * {CHUNK} + 1 as int), {CHUNK})").alias("seq"))
 
 
+@query("""with z as (select id, seq, length(seq) as size from sequences where length(seq) > 0), b as (select id, seq, unnest(generate_series(0, size - 1, 20)) as lo from z),
+n as (select id, lo, length(x) - length(replace(replace(x, 'G', ''), 'C', '')) as n from (select id, lo, substr(seq, lo + 1, 50) as x from b))
+select id as chrom, lo, lo + 50 as hi, n, (200 * n + 50) // 100 as gc from n""", "sequences")
+def genome_gc_bins(s, d):
+    """Windows of 50 each 20 places over chunks of 100, as percent of 50 at the contigs' ends too."""
+    sizes = v.sequences(s, d).select(C("id").alias("chrom"), F.length("seq").cast("long").alias("size"))
+    return lohi(gn.gc_bins(genome(s, d), sizes, 50, 20))
+
+
+@query("select id, length(x) - length(replace(replace(x, 'G', ''), 'C', '')) as n, (200 * (length(x) - length(replace(replace(x, 'G', ''), 'C', ''))) + 150) // 300 as gc from (select id, substr(seq, (id * 37 % 260 + 1)::bigint, 150) as x from sequences)", "sequences")
+def gc_of_loci(s, d):
+    return gn.base_counts(genome_loci(s, d), genome(s, d), CHUNK).select("id", "n", gn.nominal_percent(C("n"), 150).alias("gc"))
+
+
 def genome_loci(s, d):
     at = C("id") * 37 % 260
     return v.sequences(s, d).select("id", C("id").alias("chrom"), at.alias("start"), (at + 150).alias("end"))

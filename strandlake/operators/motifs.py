@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions import profile as pf
 from . import stats
-from .stats import correlation, counted
+from .stats import correlation
+from .tables import stored
 
 
 def cooccurrence(hits: DataFrame) -> DataFrame:
@@ -167,61 +168,106 @@ def similarity(queries: DataFrame, targets: DataFrame, least: int = 5) -> DataFr
     return by.filter(F.col("n") >= 4 * least).groupBy("query", "target").agg(best.alias("m")).select("query", "target", (-F.col("m.c")).alias("correlation"), "m.offset", "m.strand")
 
 
-def score_mixture(values: DataFrame, column: str, rounds: int = 100, tolerance: float = 1e-6) -> dict[str, float]:
-    """One exponential and two normals fitted to values of 0 or more by EM, until the mean log-likelihood grows by less than tolerance.
+FIT = {"weight": 0, "rate": 1, "weight_1": 2, "mean_1": 3, "sd_1": 4, "weight_2": 5, "mean_2": 6, "sd_2": 7}
+#: Cells between the extremes that values are counted in for the mixture.
+CELLS = 1 << 16
+
+
+def fitted_mixture(values: DataFrame, column: str, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """One row, of the parameters in FIT: one exponential and two normals fitted to values of 0 or more by EM, until the mean log-likelihood grows by less than tolerance.
 
-    Every round is one aggregate over the values, counted by value first. The start: the
+    The statistics that EM needs add up over values, so they are counted in CELLS cells
+    between the extremes first, a cell standing at its mean; the rounds then run over these,
+    at most CELLS rows, in one task of the same job. Where different values lie further apart
+    than the cells are wide, the result is that of EM over the values. The start: the
     exponential of the mean, normals at the mean and three times the mean, equal weights.
+    Null values don't count; without values the row is null.
     """
-    x = F.col("_v")
-    v = counted(values, column)
-    n, mean, sd = v.agg(F.sum("_n"), F.sum(x * F.col("_n")) / F.sum("_n"), F.sqrt(F.greatest(F.sum(x * x * F.col("_n")) / F.sum("_n") - F.pow(F.sum(x * F.col("_n")) / F.sum("_n"), 2), F.lit(0.0)))).first()
-    mean, sd = max(mean, 1e-12), max(sd, 1e-12)
-    w, rate, normals, before = [1 / 3] * 3, 1 / mean, [(mean, sd), (3 * mean, sd)], -math.inf
+    x = F.col(column).cast("double")
+    v = values.select(x.alias("_v")).filter("_v is not null")
+    ends = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
+    cells = v.join(F.broadcast(ends)).groupBy(F.coalesce(cell, F.lit(0)).alias("_c")).agg(F.count("*").cast("double").alias("n"), F.avg("_v").alias("x"))
+
+    def em(table):
+        import pyarrow as pa
+
+        n, at = table.column("n").to_numpy(), table.column("x").to_numpy()
+        by = np.argsort(at)
+        found = _em(at[by], n[by], rounds, tolerance)
+        return pa.table({k: [float(p)] for k, p in zip(FIT, found, strict=True)})
+
+    return cells.select(F.lit(1).alias("_one"), "n", "x").groupBy("_one").applyInArrow(em, ", ".join(f"{k} double" for k in FIT))
+
+
+def _em(x: np.ndarray, n: np.ndarray, rounds: int, tolerance: float) -> tuple[float, ...]:
+    total = n.sum()
+    mean = max((x * n).sum() / total, 1e-12)
+    sd = max(math.sqrt(max((x * x * n).sum() / total - ((x * n).sum() / total) ** 2, 0.0)), 1e-12)
+    w, rate, mu, dev, before = np.full(3, 1 / 3), 1 / mean, np.array([mean, 3 * mean]), np.full(2, sd), -math.inf
     for _ in range(rounds):
-        parts = [F.lit(w[0] * rate) * F.exp(-rate * x)]
-        parts += [F.lit(w[k + 1] / (s * math.sqrt(2 * math.pi))) * F.exp(-(x - m) * (x - m) / (2 * s * s)) for k, (m, s) in enumerate(normals)]
-        whole = F.greatest(parts[0] + parts[1] + parts[2], F.lit(1e-300))
-        r = [p / whole * F.col("_n") for p in parts]
-        like, *sums = v.agg(F.sum(F.log(whole) * F.col("_n")), *(f for p in r for f in (F.sum(p), F.sum(p * x), F.sum(p * x * x)))).first()
-        if like / n - before < tolerance:
+        part = np.stack([w[0] * rate * np.exp(-rate * x), *(w[k + 1] / (dev[k] * math.sqrt(2 * math.pi)) * np.exp(-((x - mu[k]) ** 2) / (2 * dev[k] ** 2)) for k in (0, 1))])
+        whole = np.maximum(part.sum(axis=0), 1e-300)
+        like = (np.log(whole) * n).sum() / total
+        if like - before < tolerance:
             break
-        before = like / n
-        (s0, x0, _), *rest = (sums[3 * k : 3 * k + 3] for k in range(3))
-        w, rate = [s0 / n, *(s / n for s, _, _ in rest)], s0 / max(x0, 1e-12)
-        normals = [(sx / max(s, 1e-12), math.sqrt(max(sxx / max(s, 1e-12) - (sx / max(s, 1e-12)) ** 2, 1e-12))) for s, sx, sxx in rest]
-    return {"weight": w[0], "rate": rate, "weight_1": w[1], "mean_1": normals[0][0], "sd_1": normals[0][1], "weight_2": w[2], "mean_2": normals[1][0], "sd_2": normals[1][1]}
+        before, r = like, part / whole * n
+        s, sx, sxx = r.sum(axis=1), (r * x).sum(axis=1), (r * x * x).sum(axis=1)
+        w, rate = s / total, s[0] / max(sx[0], 1e-12)
+        mu = sx[1:] / np.maximum(s[1:], 1e-12)
+        dev = np.sqrt(np.maximum(sxx[1:] / np.maximum(s[1:], 1e-12) - mu * mu, 1e-12))
+    return w[0], rate, w[1], mu[0], dev[0], w[2], mu[1], dev[1]
 
 
-def exponential_part(values: DataFrame, column: str, fit: dict[str, float]) -> DataFrame:
-    """Values of which the exponential is the likeliest component."""
+def score_mixture(values: DataFrame, column: str, rounds: int = 100, tolerance: float = 1e-6) -> dict[str, float]:
+    """fitted_mixture() as a dictionary."""
+    return fitted_mixture(values, column, rounds, tolerance).first().asDict()
+
+
+def exponential_part(values: DataFrame, column: str, fit: dict[str, float] | DataFrame) -> DataFrame:
+    """Values of which the exponential is the likeliest component; fit: parameters, or the row of them."""
     x = F.col(column)
-    first = math.log(max(fit["weight"] * fit["rate"], 1e-300)) - fit["rate"] * x
-    others = [math.log(max(fit[f"weight_{k}"] / (fit[f"sd_{k}"] * math.sqrt(2 * math.pi)), 1e-300)) - (x - fit[f"mean_{k}"]) * (x - fit[f"mean_{k}"]) / (2 * fit[f"sd_{k}"] ** 2) for k in (1, 2)]
-    return values.filter((first >= others[0]) & (first >= others[1]))
+    lazy = isinstance(fit, DataFrame)
+    g = {k: F.col(f"_fit.{k}") if lazy else F.lit(float(fit[k])) for k in FIT}
+
+    def log(c: Column) -> Column:
+        return F.log(F.greatest(c, F.lit(1e-300)))
+
+    first = log(g["weight"] * g["rate"]) - g["rate"] * x
+    others = [log(g[f"weight_{k}"] / (g[f"sd_{k}"] * math.sqrt(2 * math.pi))) - (x - g[f"mean_{k}"]) * (x - g[f"mean_{k}"]) / (2 * g[f"sd_{k}"] * g[f"sd_{k}"]) for k in (1, 2)]
+    own = values.join(F.broadcast(fit.select(F.struct(*FIT).alias("_fit")))) if lazy else values
+    return own.filter((first >= others[0]) & (first >= others[1])).select(*values.columns)
+
+
+TAILS = [k / 20 for k in range(1, 20)]
+
+
+def tightest(values: DataFrame, column: str, mode: float = 0.0) -> DataFrame:
+    """One row, rate: the greatest rate of exponentials fitted to the 5th, 10th, .. 95th percentile of values of the mode or more; 1 without any."""
+    q = stats.quantiles(values.filter(F.col(column) >= mode), column, [], {f"q{i}": p for i, p in enumerate(TAILS)})
+    rates = F.array(*(F.when(F.col(f"q{i}") > mode, F.lit(-math.log(1 - p)) / (F.col(f"q{i}") - mode)) for i, p in enumerate(TAILS)))
+    return q.select(F.coalesce(F.array_max(rates), F.lit(1.0)).alias("rate"))
 
 
 def tight_rate(values: DataFrame, column: str, mode: float = 0.0) -> float:
-    """The greatest rate of exponentials fitted to the 5th, 10th, .. 95th percentile of values of the mode or more."""
-    at = [k / 20 for k in range(1, 20)]
-    found = stats.quantiles(values.filter(F.col(column) >= mode), column, [], {f"q{i}": p for i, p in enumerate(at)}).first()
-    return max((-math.log(1 - p) / (q - mode) for p, q in zip(at, found, strict=True) if q is not None and q > mode), default=1.0)
+    return tightest(values, column, mode).first()[0]
 
 
 def hits_by_discovery(hits: DataFrame, score: str, fdr: float = 0.05, bins: int = 200) -> DataFrame:
     """Hits (id, ...) with p, those that the false discovery rate lets pass.
 
     Finite scores' mode, the mixture of scores above it, the exponential's own scores, their
-    tight rate as null, its tail as p.
+    tight rate as null, its tail as p. The scores are stored once when this is called, and four
+    numbers come to the driver.
     """
-    whole = hits.withColumn("_all", F.lit(1))
-    some = whole.filter(pf.finite(F.col(score)))
-    mode = (stats.histogram_mode(some, score, ["_all"], bins).first() or {"mode": 0.0})["mode"]
-    above = some.filter(F.col(score) >= mode).select((F.col(score) - mode).alias("x"))
-    rate = tight_rate(exponential_part(above, "x", score_mixture(above, "x")), "x")
-    ends = some.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    p = whole.join(F.broadcast(ends)).withColumn("p", pf.hit_p_value(F.col(score), F.lit(mode), F.lit(rate), F.col("_lo"), F.col("_hi")))
-    return stats.benjamini_hochberg(p, "p", ["_all"], fdr).drop("_all", "_lo", "_hi")
+    some = stored(hits.filter(pf.finite(F.col(score))).select(F.col(score).cast("double").alias("_s")))
+    least, most, mode = some.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).join(stats.histogram_mode(some, "_s", [], bins).select("mode"), how="left").first()
+    rate = 1.0
+    if mode is not None:
+        above = some.filter(F.col("_s") >= mode).select((F.col("_s") - mode).alias("x"))
+        rate = tight_rate(exponential_part(above, "x", fitted_mixture(above, "x")), "x")
+    p = hits.withColumn("p", pf.hit_p_value(F.col(score), F.lit(mode), F.lit(rate), F.lit(least), F.lit(most)))
+    return stats.benjamini_hochberg(p, "p", [], fdr)
 
 
 def with_backgrounds(examples: DataFrame, make: Callable[..., Column], n: int, column: str = "seq") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keys import joined, running_counts
+from .keys import frequency_joined, running_counts, with_row
+from .tables import stored
 
 
 def average_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
@@ -18,9 +19,9 @@ def average_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> Dat
 
 
 def spread_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """average_ranks() for groups of any size."""
-    ranks = running_counts(df, column, keys).select(*keys, column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return joined(df, ranks, [*keys, column])
+    """average_ranks() for groups of any size, and values that most rows share."""
+    ranks = running_counts(df, column, keys).select(*keys, column, "_n", (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return frequency_joined(df, ranks, [*keys, column], "_n")
 
 
 def correlation(x: str, y: str) -> Column:
@@ -38,8 +39,9 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], fdr: float) -> Da
     """Rows whose p is at most the largest one under rank / n * fdr, within keys of any size."""
     ranked = running_counts(df, p, keys)
     n = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    passing = joined(ranked, n, keys).filter(F.col(p) <= (F.col("_below") + F.col("_n")) / F.col("_total") * fdr)
-    return joined(df, passing.groupBy(*keys).agg(F.max(p).alias("_cut")), keys).filter(F.col(p) <= F.col("_cut")).drop("_cut")
+    passing = with_row(ranked, n, keys).filter(F.col(p) <= (F.col("_below") + F.col("_n")) / F.col("_total") * fdr)
+    cuts = passing.groupBy(*keys).agg(F.max(p).alias("_cut"), F.max("_total").alias("_total"))
+    return frequency_joined(df, cuts, keys, "_total").filter(F.col(p) <= F.col("_cut")).drop("_cut")
 
 
 def quantiles(df: DataFrame, column: str, keys: list[str], at: dict[str, float]) -> DataFrame:
@@ -60,20 +62,16 @@ def standing(ranked: DataFrame, column: str, keys: list[str], at: dict[str, floa
         place = q * (F.col("_total") - 1)
         low, high = value(F.floor(place)), value(F.ceil(place))
         out.append((low + F.max(place - F.floor(place)) * (high - low)).alias(name))
-    return (joined(ranked, n, keys) if keys else ranked.join(F.broadcast(n))).groupBy(*keys).agg(*out)
-
-
-def counted(df: DataFrame, column: str) -> DataFrame:
-    """_v, _n: the values and how often they occur, computed once."""
-    return df.groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n")).persist()
+    return with_row(ranked, n, keys).groupBy(*keys).agg(*out)
 
 
 def quantile_trim(df: DataFrame, column: str, q: float, scale: float) -> DataFrame:
     """Rows up to scale times the value nearest the q-quantile (the smaller on a tie).
 
-    Both numbers come from the values and how often they occur.
+    Both numbers come from the values and how often they occur; the rows are stored for the
+    counts and the filter.
     """
-    df = df.persist()  # for the counts and the rows
+    df = stored(df)
     ranked = running_counts(df.filter(F.col(column).isNotNull()), column, [])
     limit = standing(ranked, column, [], {"_q": q})
     near = ranked.join(F.broadcast(limit)).agg(F.min_by(column, F.struct(F.abs(F.col(column) - F.col("_q")), F.col(column))).alias("_near"))
@@ -82,10 +80,10 @@ def quantile_trim(df: DataFrame, column: str, q: float, scale: float) -> DataFra
 
 def histogram_mode(df: DataFrame, column: str, keys: list[str], bins: int = 200) -> DataFrame:
     """The middle of the fullest of equal bins between the extremes, the first on a tie; the last bin is closed."""
-    ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count("*").alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(column) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    counts = df.join(ends, keys).groupBy(*keys, "_lo", "_hi", F.coalesce(b, F.lit(0)).alias("_b")).agg(F.count("*").alias("_n"))
+    counts = frequency_joined(df, ends, keys, "_n").groupBy(*keys, "_lo", "_hi", F.coalesce(b, F.lit(0)).alias("_b")).agg(F.count("*").alias("_n"))
     best = F.max(F.struct("_n", (-F.col("_b")).alias("b")))
     top = counts.groupBy(*keys, "_lo", "_hi").agg(best.alias("m"))
     return top.select(*keys, (F.col("_lo") + width * (0.5 - F.col("m.b"))).alias("mode"), F.col("m._n").alias("n"))
@@ -93,9 +91,9 @@ def histogram_mode(df: DataFrame, column: str, keys: list[str], bins: int = 200)
 
 def iqr_clipped(df: DataFrame, column: str, keys: list[str], low: float = 0.25, high: float = 0.7) -> DataFrame:
     """Rows within 1.5 spreads of the low and high quantiles."""
-    q = quantiles(df, column, keys, {"_a": low, "_b": high})
+    q = with_row(quantiles(df, column, keys, {"_a": low, "_b": high}), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     reach = 1.5 * (F.col("_b") - F.col("_a"))
-    return joined(df, q, keys).filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
+    return frequency_joined(df, q, keys, "_n").filter(F.col(column).between(F.col("_a") - reach, F.col("_b") + reach)).drop("_a", "_b")
 
 
 def early_stop(history: DataFrame, patience: int, min_delta: float) -> DataFrame:

@@ -130,7 +130,8 @@ def tightest_rate(s, d):
 
 @query()
 def discovered_hits(s, d):
-    return motifs.hits_by_discovery(v.hits(s, d).select("id", "key", C("score").cast("double").alias("score")), "score").select("id", "key", "score", "p")
+    """Scores by the square of the hits' values, of which the greatest stand out of an exponential."""
+    return motifs.hits_by_discovery(v.hits(s, d).select("id", "key", F.pow(C("score") / 1000.0, 2).alias("score")), "score").select("id", "key", "score", "p")
 
 
 @query("select id, round((l - 1) * (l - 1), 6) as mse, round(exp(1.0::double) - l, 6) as poisson from (select id, ln(sum(n) + 1) as l from profiles group by id)", "profiles")

@@ -74,9 +74,49 @@ def test_discovery_keeps_what_stands_out(spark):
     assert set(range(900, 930)) <= set(kept) and len(kept) < 60 and not {930, 931} & set(kept)
 
 
+def plain_discovery(x, fdr=0.05, bins=200):
+    """id: p of what passes; x: scores, all finite."""
+    x = np.asarray(x)
+    lo, hi = x.min(), x.max()
+    width = (hi - lo) / bins
+    cell = np.minimum(np.floor((x - lo) / width), bins - 1).astype(int)
+    mode = lo + width * (np.bincount(cell).argmax() + 0.5)
+    above = x[x >= mode] - mode
+    w, rate, mu, sd = em(above)
+    parts = np.stack([np.log(w[0] * rate) - rate * above, *(np.log(w[k + 1] / (sd[k] * math.sqrt(2 * math.pi))) - (above - mu[k]) ** 2 / 2 / sd[k] ** 2 for k in range(2))])
+    own = above[(parts[0] >= parts[1]) & (parts[0] >= parts[2])]
+    own = own[own >= 0]
+    tight = max(-math.log(1 - k / 20) / q for k in range(1, 20) if (q := np.quantile(own, k / 20)) > 0)
+    p = np.exp(-tight * np.minimum(hi, np.maximum(lo, x - mode)))
+    order = np.sort(p)
+    under = np.flatnonzero(order <= np.arange(1, len(p) + 1) / len(p) * fdr)
+    return {i: v for i, v in enumerate(p) if len(under) and v <= order[under[-1]]}
+
+
+def test_discovery_against_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.r_[rng.exponential(1, 800), rng.exponential(9, 60)], 3)
+    hits = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, score double")
+    want = plain_discovery(x)
+    assert 10 < len(want) < 200
+    assert {r.id: r.p for r in motifs.hits_by_discovery(hits, "score").collect()} == pytest.approx(want, rel=1e-4)
+
+
 def test_discovered_hits_query(spark, data):
-    rows = registry.QUERIES["discovered_hits"](spark, data).collect()
-    assert all(0 <= r.p <= 1 for r in rows)
+    from strandlake.plans import views as v
+
+    score = {r.id: (r.score / 1000.0) ** 2 for r in v.hits(spark, data).select("id", "score").collect()}
+    want = {list(score)[i]: p for i, p in plain_discovery(list(score.values())).items()}
+    got = {r.id: r.p for r in registry.QUERIES["discovered_hits"](spark, data).collect()}
+    assert len(got) > 20 and got == pytest.approx(want, rel=1e-3)
+
+
+def test_mixture_of_few_and_no_values(spark):
+    none = spark.createDataFrame([(None,)], "x double")
+    assert motifs.fitted_mixture(none, "x").count() == 0
+    same = motifs.score_mixture(spark.createDataFrame([(2.0,)] * 5, "x double"), "x")
+    assert same["weight"] + same["weight_1"] + same["weight_2"] == pytest.approx(1)
+    assert motifs.hits_by_discovery(spark.createDataFrame([(1, float("nan"))], "id long, score double"), "score").count() in (0, 1)
 
 
 def test_clusters_and_components(spark, data):

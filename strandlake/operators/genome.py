@@ -62,3 +62,34 @@ def base_counts(loci: DataFrame, chunks: DataFrame, size: int, letters: str = "G
     met = pieces(loci, size, ["id"]).join(chunks.select("chrom", "chunk_id", "seq"), ["chrom", "chunk_id"])
     n = met.groupBy("id").agg(F.sum(sq.base_count(F.upper(piece), letters)).alias("n"))
     return loci.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def position_counts(sequences: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (whole numbers), pos, base, n: how often each base stands at each position of sequences (keys, seq), per value of the keys.
+
+    Letters are counted within Arrow batches, so what is shuffled is a row for each key,
+    position and base of a batch, not for each letter.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            seqs = [(s or "").encode("latin-1", "replace") for s in batch.column(len(keys)).to_pylist()]
+            size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+            letters = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
+            pos = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+            values = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys))]
+            found, n = np.unique(np.stack([*(np.repeat(v, size) for v in values), pos, letters]), axis=1, return_counts=True)
+            bases = pa.array([chr(b) for b in found[-1].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(f) for f in found[:-1]), bases, pa.array(n)], names=[*keys, "pos", "base", "n"])
+
+    schema = "".join(f"`{k}` long, " for k in keys) + "pos long, base string, n long"
+    rows = sequences.select(*(F.col(k).cast("long").alias(k) for k in keys), "seq").mapInArrow(run, schema)
+    return rows.groupBy(*keys, "pos", "base").agg(F.sum("n").alias("n"))
+
+
+def base_shares(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos and the share of each base A, C, G, T of position_counts()."""
+    share = [(F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)) / F.sum("n")).alias(b) for b in "ACGT"]
+    return counts.groupBy(*keys, "pos").agg(*share)

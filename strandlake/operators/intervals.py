@@ -20,9 +20,12 @@ def centred(loci: DataFrame, flank: int) -> DataFrame:
     return loci.withColumns({"pos": pos, "start": pos - flank, "end": pos + flank})
 
 
-def in_bounds(windows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Windows inside their chromosome; sizes has one row a chromosome."""
-    return windows.join(sizes, "chrom").filter("start >= 0 and end <= size").drop("size")
+def in_bounds(windows: DataFrame, sizes: DataFrame, strict: bool = False) -> DataFrame:
+    """Windows inside their chromosome; sizes has one row a chromosome. Those of unknown chromosomes go, or with strict make the query fail."""
+    if not strict:
+        return windows.join(sizes, "chrom").filter("start >= 0 and end <= size").drop("size")
+    known = F.coalesce("size", F.raise_error(F.concat(F.lit("unknown chromosome: "), F.coalesce("chrom", F.lit("null")))).cast("long"))
+    return windows.join(sizes, "chrom", "left").withColumn("size", known).filter("start >= 0 and end <= size").drop("size")
 
 
 def unknown_chroms(windows: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -94,27 +94,135 @@ def ensemble_mean(members: DataFrame, n_members: int) -> DataFrame:
     return g.withColumn("s", s).join(whole, "coord").select("coord", "pos", (F.col("g") / F.col("s") * F.exp("lt")).alias("value"))
 
 
+#: Letters that a first look at a motif reads at once, by a table of all words of that length.
+LOOK = 6
+#: Bytes that the matrices of one scan, which every task gets, may have.
+MOST_BYTES = 64 << 20
+
+
+class Stack:
+    """Score matrices (L x 4) with thresholds, ready to look up both strands at once.
+
+    Each matrix has a table of what its most telling LOOK neighbouring columns score on every
+    word of that length. A place where these, with the best that the other columns can add, miss
+    the threshold is done with; the others are scored column by column.
+    """
+
+    def __init__(self, pwms: dict[str, np.ndarray], thresholds: dict[str, float]):
+        self.motifs = []
+        for key, m in pwms.items():
+            for strand, w in (("+", np.asarray(m, float)), ("-", np.asarray(m, float)[::-1, ::-1])):
+                n, k = len(w), min(LOOK, len(w))
+                spread = w.max(axis=1) - w.min(axis=1)
+                at = int(np.argmax([spread[i : i + k].sum() for i in range(n - k + 1)]))
+                words = np.zeros(1)
+                for row in w[at : at + k]:
+                    words = (words[:, None] + row[None, :]).ravel()
+                rest = w.max(axis=1).sum() - w[at : at + k].max(axis=1).sum()
+                passing = np.append(words + rest >= thresholds[key] - 1e-9, False)
+                self.motifs.append((key, strand, np.c_[w, np.full(n, -np.inf)], thresholds[key], k, at, passing))
+        if sum(x[2].nbytes + x[6].nbytes for x in self.motifs) > MOST_BYTES:
+            raise ValueError("too many matrices for one scan")
+        self.longest = max((len(x[2]) for x in self.motifs), default=0)
+
+    def hits(self, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of the motif, places and scores, on letters as 0 to 3, or 4 for what no hit may hold."""
+        x = letters.astype(np.int64)
+        words = {}
+        for number, (_, _, w, least, k, at, passing) in enumerate(self.motifs):
+            n = len(x) - len(w) + 1
+            if n <= 0:
+                continue
+            if k not in words:
+                code, bad = np.zeros(len(x) - k + 1, np.int64), np.zeros(len(x) - k + 1, bool)
+                for i in range(k):
+                    part = x[i : len(x) - k + 1 + i]
+                    code, bad = code * 4 + np.minimum(part, 3), bad | (part == 4)
+                words[k] = np.where(bad, 4**k, code)
+            some = np.flatnonzero(passing[words[k][at : at + n]])
+            score = np.zeros(len(some))
+            for i, row in enumerate(w):
+                score += row[x[some + i]]
+            good = score >= least - 1e-9  # thresholds are multiples of a step
+            if good.any():
+                yield number, some[good], score[good]
+
+
+BASE = np.full(256, 4, np.int8)
+for _i, _b in enumerate(b"ACGT"):
+    BASE[_b] = _i
+HITS = "chrom string, start long, end long, key string, strand string, score double"
+
+
+#: Letters that are scanned at once; a longer chunk is scanned whole.
+SCANNED = 1 << 18
+
+
+def _scanned(chunks: DataFrame, stack: Stack, starts: str | None = None) -> DataFrame:
+    """Hits on chunks (chrom, start, seq) that start at one of the first letters, as many as the column starts says.
+
+    Chunks are scanned many at once, an unknown letter between them, so short ones cost no more than long ones.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        keys, strands = (pa.array([x[i] for x in stack.motifs], pa.string()) for i in (0, 1))
+        longs = np.array([len(x[2]) for x in stack.motifs], np.int64)
+        for batch in batches:
+            seqs = [(s or "").encode("latin-1", "replace") for s in batch.column(2).to_pylist()]
+            size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+            first, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+            at = 0
+            while at < len(seqs):
+                to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), SCANNED, "right")) + at)
+                begin = np.concatenate([[0], np.cumsum(size[at:to] + 1)])
+                found = list(stack.hits(BASE[np.frombuffer(b"N".join(seqs[at:to]) + b"N", np.uint8)]))
+                if found:
+                    number = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+                    place, score = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+                    row = np.searchsorted(begin, place, "right") - 1
+                    inside = place - begin[row] < own[at:to][row]
+                    number, place, score, row = number[inside], place[inside], score[inside], row[inside]
+                    start = first[at:to][row] + place - begin[row]
+                    pick = pa.array(number)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(start), pa.array(start + longs[number]), keys.take(pick), strands.take(pick), pa.array(score)], names=["chrom", "start", "end", "key", "strand", "score"])
+                at = to
+
+    n = F.lit(1 << 40).cast("long") if starts is None else F.col(starts).cast("long")
+    return chunks.select(F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), "seq", n.alias("_n")).mapInArrow(run, HITS)
+
+
 def scan_pwm(chunks: DataFrame, pwms: dict[str, np.ndarray], threshold: float) -> DataFrame:
     """Hits of L x 4 score matrices on chunks (chrom, start, seq) on both strands, with scores of at least threshold. Chunks must overlap by the longest matrix less 1."""
-    code = np.full(256, 4, np.int8)
-    for i, b in enumerate(b"ACGT"):
-        code[b] = i
+    return _scanned(chunks, Stack(pwms, dict.fromkeys(pwms, threshold)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for chrom, start, seq in zip(df["chrom"], df["start"], df["seq"], strict=True):
-                x = code[np.frombuffer(seq.encode(), np.uint8)]
-                for key, m in pwms.items():
-                    for strand, w in (("+", m), ("-", m[::-1, ::-1])):
-                        if len(x) < len(w):
-                            continue
-                        full = np.c_[w, np.full(len(w), -np.inf)]
-                        score = sum(full[i][x[i : len(x) - len(w) + 1 + i]] for i in range(len(w)))
-                        out += [(chrom, start + int(i), start + int(i) + len(w), key, strand, float(score[i])) for i in np.flatnonzero(score >= threshold)]
-            yield pd.DataFrame(out, columns=["chrom", "start", "end", "key", "strand", "score"])
 
-    return chunks.select("chrom", "start", "seq").mapInPandas(run, "chrom string, start long, end long, key string, strand string, score double")
+def with_halos(chunks: DataFrame, halo: int, size: int) -> DataFrame:
+    """chunks (chrom, chunk_id, start, seq; size letters each but a contig's last) with seq running on by halo letters of the chunks after it, and own, the letters of the chunk itself.
+
+    Only heads of chunks are sent on, to as many chunks before as they reach.
+    """
+    own = chunks.select("chrom", "chunk_id", "start", "seq", F.length("seq").alias("own"))
+    if halo <= 0:
+        return own
+    back = F.explode(F.sequence(F.lit(1), F.lit(-(-halo // size)))).alias("_j")
+    head = F.substring("seq", F.lit(1), F.least(F.lit(halo) - (F.col("_j") - 1) * size, F.lit(size)))
+    sent = chunks.select("chrom", "chunk_id", "seq", back).select("chrom", (F.col("chunk_id") - F.col("_j")).alias("chunk_id"), F.struct("_j", head.alias("s")).alias("h"))
+    tails = sent.groupBy("chrom", "chunk_id").agg(F.array_sort(F.collect_list("h")).alias("_h"))
+    tail = F.array_join(F.transform("_h", lambda h: h["s"]), "")
+    return own.join(tails, ["chrom", "chunk_id"], "left").select("chrom", "chunk_id", "start", F.concat("seq", F.coalesce(tail, F.lit(""))).alias("seq"), "own")
+
+
+def scan(chunks: DataFrame, pwms: dict[str, np.ndarray], size: int, p: float = 1e-4, background: tuple[float, ...] = (0.25,) * 4, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Hits of all score matrices in one pass over chunks (chrom, chunk_id, start, seq; size letters), each hit once, across chunks' borders too.
+
+    A matrix's threshold, where none is given, is what random letters of the background reach
+    with probability under p. Null sequences are empty.
+    """
+    least = {k: score_threshold(m, p, background=background) for k, m in pwms.items()} | (thresholds or {})
+    stack = Stack(pwms, least)
+    return _scanned(with_halos(chunks.filter("seq is not null"), stack.longest - 1, size), stack, "own")
 
 
 def scored(examples: DataFrame, scorer: Callable[[list[str]], list[list[float]]], column: str = "seq") -> DataFrame:
@@ -134,38 +242,79 @@ def strand_average(predictions: DataFrame) -> DataFrame:
     return fwd.join(rev, "locus_id").select("locus_id", F.zip_with("f", "r", lambda a, b: (a + b) / 2).alias("profile"), ((F.col("lf") + F.col("lr")) / 2).alias("log_count"))
 
 
-def score_threshold(matrix: np.ndarray, p: float = 1e-4, step: float = 0.01) -> float:
-    """The least score that a random sequence of even bases reaches with probability under p, by the distribution of scores in steps; the matrix is one motif's."""
+def score_threshold(matrix: np.ndarray, p: float = 1e-4, step: float = 0.01, background: tuple[float, ...] = (0.25,) * 4) -> float:
+    """The least score that a random sequence of the background's bases reaches with probability under p, by the distribution of scores in steps; the matrix is one motif's."""
     grid = np.round(np.asarray(matrix, float) / step).astype(int)
     dist, low = np.ones(1), 0
     for row in grid:
         shift = row - row.min()
         out = np.zeros(len(dist) + shift.max())
-        for k in shift:
-            out[k : k + len(dist)] += dist / 4
+        for k, q in zip(shift, background, strict=True):
+            out[k : k + len(dist)] += dist * q
         dist, low = out, low + row.min()
     tail = np.cumsum(dist[::-1])[::-1]
     return (low + int(np.searchsorted(-tail, -p, "right"))) * step
 
 
+#: Bytes of the catalogue that every task gets.
+MOST_CATALOGUE = 128 << 20
+
+
 def similarity(queries: DataFrame, targets: DataFrame, least: int = 5) -> DataFrame:
     """Motif rows (motif, pos, a, c, g, t) of queries and targets -> query, target, correlation, offset, strand.
 
     Pearson correlation of the columns that overlap, least or more of them, at the offset and
     strand (of the target) where it is greatest; ties go to the least offset, then '+'.
-    Motif cells meet by base, and are added up by offset at once.
+    Positions count from each motif's first. Pairs that nowhere overlap so far are left out.
+
+    The targets, whose size is checked, go to every task, queries stay where they are: a motif
+    is one row with its cells as an array, and meets all targets offset by offset as arrays.
     """
-    def cells(df: DataFrame, bases: str) -> DataFrame:
-        return df.select("motif", "pos", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(c).alias("x")) for b, c in zip("acgt", bases, strict=True)))).alias("b")).select("motif", "pos", "b.base", "b.x")
-
-    q = cells(queries, "acgt").select(F.col("motif").alias("query"), "base", F.col("pos").alias("p"), F.col("x").alias("u"))
-    ends = targets.groupBy("motif").agg(F.max("pos").alias("_last"))
-    flipped = cells(targets, "tgca").join(ends, "motif").select("motif", (F.col("_last") - F.col("pos")).alias("pos"), "base", "x")
-    t = cells(targets, "acgt").withColumn("strand", F.lit("+")).unionByName(flipped.withColumn("strand", F.lit("-")))
-    t = t.select(F.col("motif").alias("target"), "strand", "base", F.col("pos").alias("r"), F.col("x").alias("v"))
-    by = q.join(t, "base").groupBy("query", "target", "strand", (F.col("p") - F.col("r")).alias("offset")).agg(correlation("u", "v").alias("c"), F.count("*").alias("n"))
-    best = F.min(F.struct((-F.round("c", 12)).alias("c"), "offset", "strand"))
-    return by.filter(F.col("n") >= 4 * least).groupBy("query", "target").agg(best.alias("m")).select("query", "target", (-F.col("m.c")).alias("correlation"), "m.offset", "m.strand")
+    cell = F.array(*(F.col(b).cast("double") for b in "acgt"))
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.groupBy("motif").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", cell.alias("v")))), lambda r: r["v"])).alias("v"), F.min("pos").alias("first"))
+
+    size = targets.select("motif").agg(F.count("*")).first()[0]
+    if size * 4 * 8 * 2 > MOST_CATALOGUE:
+        raise ValueError("too many targets for every task to hold")
+    rows = whole(targets).orderBy("motif").collect()  # the catalogue, of checked size
+    names = [r["motif"] for r in rows]
+    known: dict[tuple[int, int], list] = {}
+    for i, r in enumerate(rows):
+        known.setdefault((len(r["v"]) // 4, r["first"]), []).append((i, np.array(r["v"]).reshape(-1, 4)))
+    groups = [(first, np.array([i for i, _ in x]), np.stack([m for _, m in x])) for (_, first), x in sorted(known.items())]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for q, v, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.array(v).reshape(-1, 4)
+                for start, which, y in groups:
+                    best = np.full(len(which), -np.inf)
+                    offset, back = np.zeros(len(which), np.int64), np.zeros(len(which), bool)
+                    for off in range(least - y.shape[1], len(x) - least + 1):
+                        a, b = max(0, off), min(len(x), off + y.shape[1])
+                        if b - a < least:
+                            continue
+                        u = x[a:b].ravel() - x[a:b].mean()
+                        for minus in (False, True):
+                            part = (y[:, ::-1, ::-1] if minus else y)[:, a - off : b - off].reshape(len(which), -1)
+                            part = part - part.mean(axis=1, keepdims=True)
+                            scale = np.sqrt((u @ u) * (part * part).sum(axis=1))
+                            c = np.round(np.where(scale > 1e-12, (part @ u) / np.where(scale > 1e-12, scale, 1.0), 0.0), 12)
+                            new = c > best
+                            best, offset, back = np.where(new, c, best), np.where(new, off, offset), np.where(new, minus, back)
+                    some = np.flatnonzero(best > -np.inf)
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(some), batch.column(0).type), pa.array([names[i] for i in which[some].tolist()], kind), pa.array(best[some]), pa.array(offset[some] + first - start), pa.array(np.where(back[some], "-", "+").tolist())], names=["query", "target", "correlation", "offset", "strand"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(targets.schema["motif"].dataType)
+    schema = f"query {queries.schema['motif'].dataType.simpleString()}, target {targets.schema['motif'].dataType.simpleString()}, correlation double, offset long, strand string"
+    return whole(queries).select("motif", "v", "first").mapInArrow(run, schema)
 
 
 FIT = {"weight": 0, "rate": 1, "weight_1": 2, "mean_1": 3, "sd_1": 4, "weight_2": 5, "mean_2": 6, "sd_2": 7}

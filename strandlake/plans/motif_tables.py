@@ -9,6 +9,7 @@ from ..functions import profile as pf
 from ..operators import motifs
 from ..sources import stores
 from . import views as v
+from .assembly import CHUNK, genome
 from .registry import C, letters_of, query
 
 #: Motifs of 20 groups of sequences: the shares of bases at the first 12 places of sequences that long.
@@ -48,11 +49,10 @@ def motif_similarity(s, d):
 @query("""with m(key, word) as (values ('cacgtg', 'CACGTG'), ('tgactca', 'TGACTCA')), p as (select id, seq, unnest(generate_series(0, length(seq) - 1)) as i from sequences where length(seq) > 0)
 select id::varchar as chrom, i as lo, key from p, m where substr(seq, i + 1, length(word)) = word or substr(seq, i + 1, length(word)) = translate(reverse(word), 'ACGT', 'TGCA') group by all""", "sequences")
 def motif_scan_by_p_value(s, d):
-    """Thresholds at which random sequences score with probability under 2 / 4^length: only the words themselves pass."""
+    """Thresholds at which random sequences score with probability under 2 / 4^length: only the words themselves pass. One pass for both, over chunks."""
     pwms = {k: np.where(np.eye(4)[["ACGT".index(c) for c in w]] > 0, 1.0, -1.0) for k, w in (("cacgtg", "CACGTG"), ("tgactca", "TGACTCA"))}
-    chunks = v.sequences(s, d).select(C("id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), "seq")
-    found = [motifs.scan_pwm(chunks, {k: m}, motifs.score_threshold(m, 2 / 4 ** len(m))) for k, m in pwms.items()]
-    return found[0].unionByName(found[1]).select("chrom", C("start").alias("lo"), "key").distinct()
+    found = motifs.scan(genome(s, d), pwms, CHUNK, thresholds={k: motifs.score_threshold(m, 2 / 4 ** len(m)) for k, m in pwms.items()})
+    return found.select("chrom", C("start").alias("lo"), "key").distinct()
 
 
 @query()

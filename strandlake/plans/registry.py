@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import profile as pf
 from ..functions import sequence as sq
 from ..operators import intervals as iv
-from ..operators import motifs, sampling, stats
+from ..operators import genome, motifs, sampling, scoring, stats, tracks
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,8 +482,42 @@ def score_mixture(s, d):
     return s.createDataFrame([(k, float(x)) for k, x in fit.items()], "parameter string, value double")
 
 
-# names that the queries of whole tables also go by
-for _name in ("dense_extraction", "one_hot_round_trip", "position_counts", "information_content", "trimmed_motifs"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+# the same results without a row a letter or place on the way
 
-from . import assembly, motif_tables, predictions  # noqa: E402, F401 (they add their queries)
+
+@query(SQL["dense_extraction"])
+def dense_extraction_whole(s, d):
+    """By slices of chunks."""
+    x = tracks.dense(windows(s, d).select("id", "chrom", "start", "end"), v.track(s, d)).join(windows(s, d).select("id", "start"), "id")
+    return x.select("id", "start", F.posexplode("values").alias("k", "value")).select("id", (C("start") + C("k")).alias("pos"), C("value").cast("long").alias("value"))
+
+
+@query(SQL["one_hot_round_trip"])
+def one_hot_round_trip_whole(s, d):
+    """By the tensors that scorers get."""
+    return scoring.through_tensors(v.sequences(s, d)).select("id", "back", "n_a")
+
+
+@query(SQL["position_counts"])
+def position_counts_whole(s, d):
+    """By counts within batches."""
+    return genome.position_counts(v.sequences(s, d), [])
+
+
+def information_of(counts: DataFrame, *keys: str) -> DataFrame:
+    p = genome.base_shares(counts, list(keys))
+    return p.select(*keys, "pos", F.round(pf.information_content([C(b) for b in "ACGT"]), 6).alias("ic"))
+
+
+@query(SQL["information_content"])
+def information_content_whole(s, d):
+    return information_of(genome.position_counts(v.sequences(s, d), []))
+
+
+@query(SQL["trimmed_motifs"])
+def trimmed_motifs_whole(s, d):
+    x = v.sequences(s, d).select((C("id") % 20).alias("key"), "seq")
+    return motifs.trimmed(information_of(genome.position_counts(x, ["key"]), "key"), pad=1)
+
+
+from . import assembly, chains, motif_tables, predictions  # noqa: E402, F401 (they add their queries)

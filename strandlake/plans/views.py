@@ -99,6 +99,8 @@ def with_views(query: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not order:
+        return query
     head = ", ".join(f"{n} as ({SQL[n]})" for n in order)
     q = query.strip()
     return f"with {head}, {q[5:]}" if q.startswith("with ") else f"with {head} {q}"

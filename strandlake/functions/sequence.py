@@ -14,8 +14,10 @@ def fixed_length(s: Column, n: int) -> Column:
     return F.rpad(s, n, "N")
 
 
-def one_hot(s: Column) -> Column:
-    """An array of [A, C, G, T] for each letter; other letters are zero."""
+def one_hot(s: Column, strict: bool = False) -> Column:
+    """An array of [A, C, G, T] for each letter; other letters are zero, or with strict an error where they aren't N or a code for several bases."""
+    if strict:
+        s = F.when(s.rlike("^[ACGTNYRMSWK]*$"), s).otherwise(F.raise_error(F.concat(F.lit("letters that are no bases: "), s)).cast("string"))
     return F.transform(F.split(s, ""), lambda c: F.array(*(F.when(c == b, 1).otherwise(0) for b in "ACGT")))
 
 

@@ -40,16 +40,46 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, schemas.HIT)
 
 
-def read_scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Motif scanner rows (sequence name, motif file, place, strand, score, match) as hits; lines that don't parse are dropped."""
-    raw = spark.read.schema("name string, motif string, pos long, strand string, score double, match string").option("mode", "DROPMALFORMED").csv(path)
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Motif scanner rows as they stand (name, motif, pos, strand, score, match, rest), and in bad the whole line where it doesn't parse."""
+    schema = "name string, motif string, pos long, strand string, score double, match string, rest string, bad string"
+    # the scanner ends lines in a comma or not
+    df = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="bad").csv(path)
+    parsed = F.col("name").rlike("^[^:]+:[0-9]+-[0-9]+") & F.col("pos").isNotNull() & F.col("score").isNotNull() & F.col("match").isNotNull()
+    # a line with one field less or more than the schema is marked too, though all it needs is there
+    line = F.coalesce("bad", F.concat_ws(",", "name", "motif", F.col("pos").cast("string"), "strand", F.col("score").cast("string"), "match"))
+    return df.withColumn("bad", F.when(~F.coalesce(parsed, F.lit(False)), line))
+
+
+def bad_scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that read_scan_csv() leaves out."""
+    return scan_lines(spark, path).filter("bad is not null").select("bad")
+
+
+def read_scan_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Motif scanner rows (sequence name, motif file, place, strand, score, match) as hits.
+
+    Lines that don't parse are left out, and bad_scan_lines() has them; with strict they make
+    the query fail.
+    """
+    raw = scan_lines(spark, path)
+    if strict:
+        raw = raw.withColumn("bad", F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("bad line: "), "bad")).cast("string")))
+    raw = raw.filter("bad is null")
     at = F.split("name", "[:-]")
     start = at[1].cast("long") + F.col("pos")
     return raw.select(at[0].alias("chrom"), start.alias("start"), (start + F.length("match")).alias("end"), F.regexp_replace("motif", r"\.pfm$", "").alias("key"), "strand", "score")
 
 
+#: Columns of a motif similarity table, and their types.
+SIMILARITY = {"Query_ID": "string", "Target_ID": "string", "Optimal_offset": "long", "p-value": "double", "E-value": "double", "q-value": "double", "Overlap": "long", "Query_consensus": "string", "Target_consensus": "string", "Orientation": "string"}
+
+
 def read_similarity(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(sep="\t", header="true", comment="#").csv(path)
+    """A similarity table with a header, comments left out; numbers are numbers, other columns text, whatever their order."""
+    raw = spark.read.options(sep="\t", header="true", comment="#").csv(path)
+    # text that is no number is an error, as it would be in a schema
+    return raw.select(*(F.col(f"`{c}`").cast(SIMILARITY.get(c, "string")).alias(c) for c in raw.columns))
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
@@ -97,15 +127,28 @@ def read_indices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").cast("long").alias("row_idx"))
 
 
+def read_text(path: str) -> str:
+    """A small file as one text, by Spark's readers, so from any store that they reach."""
+    spark = SparkSession.builder.getOrCreate()
+    rows = spark.read.text(path, wholetext=True).collect()  # a file of settings
+    if len(rows) > 1:
+        raise ValueError(f"{path} holds {len(rows)} files")
+    return rows[0][0] if rows else ""
+
+
+def write_text(text: str, path: str) -> None:
+    """text as the one file of a folder, which read_text() takes."""
+    spark = SparkSession.builder.getOrCreate()
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_tasks(path: str) -> dict:
     """The task tree; numeric keys become integers."""
-    with open(path) as f:
-        return {int(k) if k.isdigit() else k: v for k, v in json.load(f).items()}
+    return {int(k) if k.isdigit() else k: v for k, v in json.loads(read_text(path)).items()}
 
 
 def read_splits(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+    return json.loads(read_text(path))
 
 
 def with_defaults(given: dict, defaults: dict) -> dict:

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profile as pf
+from ..operators.motifs import trimmed
+from .files import read_text, write_text
 
 PREDICTIONS = "chrom string, start long, end long, track int, true_profile array<double>, true_log_count double, predicted_profile array<double>, predicted_log_count double"
 ATTRIBUTIONS = "chrom string, start long, end long, attribution_index long, hot array<array<int>>, scores array<array<double>>"
 EMBEDDINGS = "chrom string, start long, end long, layer string, embedding array<double>"
+ENSEMBLES = PREDICTIONS + ", members int"
+MOTIFS = "metacluster int, pattern int, pos int, a double, c double, g double, t double, contrib_a double, contrib_c double, contrib_g double, contrib_t double"
 METRICS = "metric string, strand string, example long, value double"
 
 
@@ -99,12 +103,73 @@ def time_tag(utc: Column, zone: str) -> Column:
 
 
 def write_run(path: str, config: dict, history: list[dict]) -> None:
-    """A run's settings and its history, a row an epoch, as one JSON file."""
-    with open(path, "w") as f:
-        json.dump({"config": config, "history": history}, f, indent=1, sort_keys=True)
+    """A run's settings and its history, a row an epoch, as one JSON file in a folder."""
+    write_text(json.dumps({"config": config, "history": history}, sort_keys=True), path)
 
 
 def read_run(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    with open(path) as f:
-        found = json.load(f)
+    found = json.loads(read_text(path))
     return found["config"], spark.createDataFrame([(int(r["epoch"]), float(r["loss"])) for r in found["history"]], "epoch long, loss double")
+
+
+def read_metrics(spark: SparkSession, path: str, metrics: list[str] | None = None) -> DataFrame:
+    """metric, values: each metric over all its examples, the strands' values one after the other; of the metrics of counts, a value a strand.
+
+    Values are in the order of strand and example; a metric's array is as long as its
+    examples, so for tables too long for that use the rows themselves (METRICS).
+    """
+    df = spark.read.schema(METRICS).parquet(path)
+    df = df if metrics is None else df.filter(F.col("metric").isin(metrics))
+    rows = F.array_sort(F.collect_list(F.struct("strand", "example", "value")))
+    return df.groupBy("metric").agg(rows.alias("r")).select("metric", F.transform("r", lambda r: r["value"]).alias("values"))
+
+
+def metrics_by_strand(spark: SparkSession, path: str) -> DataFrame:
+    """metric, strand, n, least, middle, most of stored metrics."""
+    df = spark.read.schema(METRICS).parquet(path)
+    return df.groupBy("metric", "strand").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.percentile("value", 0.5).alias("middle"), F.max("value").alias("most"))
+
+
+def read_motifs(spark: SparkSession, path: str, only_positive: bool = True, trim: float | None = None) -> DataFrame:
+    """Discovered motifs (MOTIFS) as motif (group_pattern), pos, base shares and contributions.
+
+    By default those whose contributions add up to less than 0 are left out; trim cuts each to
+    the positions from the first to the last whose information content is trim or more.
+    """
+    df = spark.read.schema(MOTIFS).parquet(path)
+    df = df.withColumn("motif", F.concat_ws("_", "metacluster", "pattern")).drop("metacluster", "pattern")
+    if only_positive:
+        kept = df.groupBy("motif").agg(F.sum(sum((F.col(f"contrib_{b}") for b in "acgt"), F.lit(0.0))).alias("_t")).filter("_t >= 0")
+        df = df.join(kept.select("motif"), "motif", "left_semi")
+    if trim is not None:
+        ic = df.withColumn("ic", pf.information_content([F.col(b) for b in "acgt"])).withColumnRenamed("motif", "key")
+        df = trimmed(ic, trim).drop("ic").withColumnRenamed("key", "motif")
+    return df.select("motif", "pos", *"acgt", *(f"contrib_{b}" for b in "acgt"))
+
+
+def write_ensemble(members: DataFrame, path: str) -> None:
+    """Ensembles of predictions (ENSEMBLES): per coordinate and track the mean profile, its log count, and how many members it has."""
+    write_store(members, path, ENSEMBLES)
+
+
+def read_ensemble(spark: SparkSession, path: str, least_members: int = 1) -> DataFrame:
+    """Ensembles of as many members or more."""
+    return spark.read.schema(ENSEMBLES).parquet(path).filter(F.col("members") >= least_members)
+
+
+def ensembled(members: DataFrame) -> DataFrame:
+    """Predictions of members (PREDICTIONS with member) as ENSEMBLES: profiles' geometric means over all members' shares, times the exponent of the mean log count.
+
+    Coordinates that not all members have are left out; the truth is that of the first member.
+    """
+    keys = ["chrom", "start", "end", "track"]
+    total = members.agg(F.countDistinct("member").alias("_all"))
+    whole = members.groupBy(*keys).agg(F.countDistinct("member").alias("members"), F.avg("predicted_log_count").alias("predicted_log_count"), F.min_by(F.struct("true_profile", "true_log_count"), "member").alias("t"))
+    whole = whole.join(F.broadcast(total)).filter("members = _all")
+    cells = members.select(*keys, "member", F.posexplode(pf.shares(F.col("predicted_profile"))).alias("pos", "p"))
+    mean = cells.groupBy(*keys, "pos").agg(F.when(F.min("p") > 0, F.exp(F.avg(F.log("p")))).otherwise(0.0).alias("g"))
+    arrays = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("g", F.lit(0.0)).alias("g")))), lambda x: x["g"]).alias("g"))
+    sums = F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
+    out = whole.join(arrays, keys).withColumn("_s", sums)
+    profile = F.transform("g", lambda x: x / F.col("_s") * F.exp("predicted_log_count"))
+    return out.select(*keys, F.col("t.true_profile").alias("true_profile"), F.col("t.true_log_count").alias("true_log_count"), profile.alias("predicted_profile"), "predicted_log_count", F.col("members").cast("int").alias("members"))

@@ -63,13 +63,30 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return runs.select(word.alias("word")).filter(F.length("word") >= LEAST).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """length, which words have it, and their letters, a row a word."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
+def letters_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of an Arrow column of words, one after the other as Latin-1, and the words' lengths."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_string())
+    cuts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]] if raw is not None else np.empty(0, np.uint8)
+    lead = data == 0xC3  # of the letters from U+00C0 on
+    size = np.diff(cuts) - np.diff(np.concatenate([[0], np.cumsum(lead)])[cuts - cuts[0]])
+    after = np.zeros(len(data), bool)
+    after[1:] = lead[:-1]
+    return (data + 0x40 * after.astype(np.uint8))[~lead], size
+
+
+def by_length(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """length, which words of an Arrow column have it, and their letters, a row a word."""
+    flat, size = letters_of(column)
+    start = np.cumsum(size) - size
     for n in np.unique(size).tolist():
         whole, step = np.flatnonzero(size == n), max(1, CELLS // n)
         for at in (whole[i : i + step] for i in range(0, len(whole), step)):
-            yield n, at, np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(len(at), n)
+            yield n, at, flat[start[at][:, None] + np.arange(n)]
 
 
 def bigrams(letters: np.ndarray) -> np.ndarray:
@@ -77,10 +94,6 @@ def bigrams(letters: np.ndarray) -> np.ndarray:
     return code[:, :-1] * LETTERS + code[:, 1:]
 
 
-def latin(column) -> list[bytes]:
-    return [w.encode("latin-1") for w in column.to_pylist()]
-
-
 def rarity(words: DataFrame) -> np.ndarray:
     """By bigram: its place in the order of how many times words hold it; the unseen ones stand first."""
 
@@ -89,7 +102,7 @@ def rarity(words: DataFrame) -> np.ndarray:
 
         n = np.zeros(LETTERS * LETTERS, np.int64)
         for batch in batches:
-            for _, _, letters in by_length(latin(batch.column(0))):
+            for _, _, letters in by_length(batch.column(0)):
                 n += np.bincount(bigrams(letters).ravel(), minlength=len(n))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["gram", "n"])
@@ -267,7 +280,7 @@ def indexed(words: DataFrame, place: np.ndarray, c: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                for _, who, letters in by_length(latin(part.column(0))):
+                for _, who, letters in by_length(part.column(0)):
                     row, key, length, ci = postings(letters, place, c)
                     pick = pa.array(who[row])
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(length.astype(np.int32)), pa.array(ci.astype(np.int16)), part.column(0).take(pick), part.column(1).take(pick), part.column(2).take(pick)], names=["key", "length", "ci", "word", "n", "hot"])
@@ -312,13 +325,12 @@ def merged(index: DataFrame, place: np.ndarray, c: int, most: int) -> DataFrame:
                     continue
                 part = part.take(np.flatnonzero(keep))
                 key, ci = part["key"].to_numpy(), part["ci"].to_numpy().astype(np.int64)
-                words, count = latin(part["word"]), part["n"].to_numpy()
-                letters, other = (np.zeros((len(words), n + k), np.uint8) for k in (0, 1))
-                for k, x in ((n, letters), (n + 1, other)):
-                    own = np.flatnonzero((ci < 0) == (k > n))
-                    x[own] = np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8).reshape(len(own), k)
-                    x[(ci < 0) != (k > n)] = 97
-                hot = np.array(part["hot"].to_pylist(), np.int64).reshape(len(words), c - FIRST)
+                count, flat = part["n"].to_numpy(), letters_of(part["word"])[0]
+                longer = np.repeat(ci < 0, n + (ci < 0))
+                letters, other = (np.full((len(part), n + k), 97, np.uint8) for k in (0, 1))
+                letters[ci >= 0] = flat[~longer].reshape(-1, n)
+                other[ci < 0] = flat[longer].reshape(-1, n + 1)
+                hot = part["hot"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(part), c - FIRST)
                 by = pc.sort_indices(part, [("n", "descending"), ("word", "ascending")]).to_numpy()
                 order = np.empty(len(by), np.int64)
                 order[by] = np.arange(len(by))

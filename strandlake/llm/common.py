@@ -34,7 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _delete_at_end(spark: SparkSession, path: str) -> None:
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder when the application ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
@@ -44,18 +45,20 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _delete_at_end(spark, path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """stored(), as a table in n buckets of key, so that a grouping by key needs no shuffle of it."""
+    """stored(), as a table in n buckets of key, so that a grouping by key needs no shuffle of it. The catalogue keeps no entry: the table is read by what it said of the files."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    _delete_at_end(spark, path)
-    return spark.table(name)
+    delete_at_end(spark, path)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")  # an outer table: its files stay
+    return found
 
 
 def partitions(spark: SparkSession) -> int:

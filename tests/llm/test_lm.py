@@ -118,3 +118,12 @@ def test_keys_survive_squeezing():
         keys = np.unique(np.r_[rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1] if n > 1 else [], np.uint64)])
         assert (lm.unsqueezed(lm.squeezed(keys)) == keys).all()
         assert n < 5000 or len(lm.squeezed(keys)) < 6.9 * n
+
+
+def test_no_table_stays_in_the_catalogue(spark, data):
+    from strandlake.llm import queries
+
+    before = {t.name for t in spark.catalog.listTables()}
+    df = queries.queries()["op10_lm"](spark, data)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert df.count() == spark.read.parquet(f"{data}/documents.parquet").count()

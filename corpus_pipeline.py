@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import decontam, packing, pii, rules, simhash
-from strandlake.llm.common import shared_dir, table
+from strandlake.llm.common import delete_at_end, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    delete_at_end(spark, base)
     for name, stage in STAGES:
         path = f"{base}/{name}"
         out = stage(spark, docs, sf_dir)

@@ -136,7 +136,9 @@ def reply_order(parents: DataFrame) -> DataFrame:
     p = checkpointed(parents.select("conv_id", "turn", "parent"))
     sibling = latest_before(p, ["conv_id", "parent"], F.col("turn"), "sibling")
     replies = p.select("conv_id", F.col("turn").alias("parent"), F.lit(True).alias("replies"))
-    down = sibling.join(replies, ["conv_id", "parent"], "left").select(
+    # only first children ask whether their parent is a reply itself: one row a parent
+    first = sibling.filter("sibling is null").join(replies, ["conv_id", "parent"], "left")
+    down = first.unionByName(sibling.filter("sibling is not null").withColumn("replies", F.lit(None).cast("boolean"))).select(
         "conv_id", "turn", F.lit(0).alias("side"),
         F.when(F.col("sibling").isNotNull(), F.col("sibling")).when(F.col("replies"), F.col("parent")).alias("to"), F.col("sibling").isNotNull().cast("int").alias("to_side"),
         F.lit(1).cast("long").alias("n"), F.when(F.col("sibling").isNull() & F.col("replies").isNull(), F.col("parent")).alias("top"),
@@ -149,8 +151,9 @@ def reply_order(parents: DataFrame) -> DataFrame:
     state = checkpointed(down.unionByName(up))
     while not state.filter("to is not null").isEmpty():
         far = state.select("conv_id", F.col("turn").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("_to"), F.col("to_side").alias("_side"), F.col("n").alias("_n"), F.col("top").alias("_top"))
-        step = state.join(far, ["conv_id", "to", "to_side"], "left")
-        state = checkpointed(step.select("conv_id", "turn", "side", F.col("_to").alias("to"), F.col("_side").alias("to_side"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("top", "_top").alias("top")))
+        # items that have arrived stay out of the join, where all of a conversation would share one key
+        step = state.filter("to is not null").join(far, ["conv_id", "to", "to_side"])
+        state = checkpointed(state.filter("to is null").unionByName(step.select("conv_id", "turn", "side", F.col("_to").alias("to"), F.col("_side").alias("to_side"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("top", "_top").alias("top"))))
     return state.filter("side = 0").select("conv_id", "turn", F.col("top").alias("thread_turn"), F.col("n").alias("reply_pos"))
 
 

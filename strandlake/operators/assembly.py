@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from . import sampling
+from .keys import placed
 from .tracks import dense  # noqa: F401 (windows of tracks are part of examples)
 
 
@@ -64,6 +65,21 @@ def random_positions(sizes: DataFrame, n: int, width: int, seed: int = 1) -> Dat
     return at.join(F.broadcast(ends), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("id", "chrom", (F.col("_at") - F.col("_from")).alias("start"), (F.col("_at") - F.col("_from") + width).alias("end"))
 
 
+def sequential_positions(sizes: DataFrame, width: int, stride: int) -> DataFrame:
+    """chrom, start, end: windows of a width at each stride that lie wholly on their chromosome."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size") - width).cast("long"), F.lit(stride).cast("long"))).alias("start")
+    return sizes.filter(F.col("size") >= width).select("chrom", at).withColumn("end", F.col("start") + width)
+
+
+ORDERS = {"end": ("chrom", "end", "start"), "signal": ("-signal", "chrom", "start")}
+
+
+def numbered(loci: DataFrame, how: str = "end") -> DataFrame:
+    """ordered() by 'end' or 'signal' as a column: place, from 0; id decides where the order doesn't."""
+    columns = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c).asc() for c in (*ORDERS[how], "id")]
+    return placed(loci, columns, "place")
+
+
 def ordered(loci: DataFrame, how: str = "end", order: DataFrame | None = None) -> DataFrame:
     """Loci sorted by (chrom, end), by falling signal, by an outer order of chromosomes (chrom, place), or by their coordinates as text."""
     if how == "end":

@@ -72,3 +72,16 @@ def running_counts(df: DataFrame, column: str, keys: list[str], ranges: int = 64
     inside = r.withColumn("_inside", F.sum("_n").over(W.partitionBy(*keys, "_r").orderBy(column).rowsBetween(W.unboundedPreceding, -1)))
     below = F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))
     return joined(inside, shift, [*keys, "_r"]).select(*keys, column, "_n", below.alias("_below"))
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place, from 0, in an order of all rows, which should tell them apart.
+
+    Rows are dealt out by ranges of the order and sorted within, in a table stored when this is
+    called; places are those within a range, shifted by the rows of the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    each = stored(sorted_ranges.select("*", F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id() % (1 << 33)).alias("_k")))
+    before = each.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return each.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_k") + F.col("_before")).alias(name))

@@ -9,6 +9,7 @@ from ..operators import assembly as asm
 from ..operators import genome as gn
 from ..operators import intervals as iv
 from ..operators import sampling, tracks
+from ..sources import stores
 from . import views as v
 from .registry import DRAW, C, lohi, query, windows
 
@@ -165,3 +166,34 @@ a as (select id, (('0x' || left(md5(id::varchar || '/1'), 8))::bigint * 1048576
 select id, chrom, (place - (upto - room))::bigint as lo, (place - (upto - room) + 50)::bigint as hi from a join z on place >= upto - room and place < upto""", "sizes")
 def random_positions(s, d):
     return lohi(_positions(s, d))
+
+
+@query("select id, row_number() over (order by chrom, hi, lo, id) - 1 as place from windows", "windows")
+def loci_by_end(s, d):
+    return asm.numbered(windows(s, d), "end").select("id", "place")
+
+
+@query("select id, row_number() over (order by signal desc, chrom, lo, id) - 1 as place from windows", "windows")
+def loci_by_signal(s, d):
+    return asm.numbered(windows(s, d), "signal").select("id", "place")
+
+
+@query("select chrom, lo, lo + 50 as hi from (select chrom, unnest(generate_series(0, size - 50, 30)) as lo from sizes where size >= 50)", "sizes")
+def sequential_positions(s, d):
+    return lohi(asm.sequential_positions(v.sizes(s, d), 50, 30))
+
+
+@query("""with t as (select id, pos, case when id % 2 = 0 then floor(n * 100.0::double / sum(n) over w) else ceil(n * 100.0::double / sum(n) over w) end / 100 as p from profiles window w as (partition by id)),
+r as (select *, sum(p) over (partition by id) - 1 as d, row_number() over (partition by id order by p desc, pos) as most, row_number() over (partition by id order by p, pos) as least from t)
+select id, pos, round(case when d > 0 and most = 1 or d <= 0 and least = 1 then p - d else p end, 6) as p from r""", "profiles")
+def fixed_sums(s, d):
+    """Shares in whole hundredths, which add up to less than 1, or more, until they are fixed."""
+    x = v.arrays(s, d).withColumn("s", pf.total(C("a")))
+    shares = F.transform("a", lambda y: F.when(C("id") % 2 == 0, F.floor(y * 100.0 / C("s"))).otherwise(F.ceil(y * 100.0 / C("s"))) / 100)
+    return x.select("id", F.posexplode(pf.sum_fixed(shares)).alias("pos", "p")).select("id", C("pos").cast("long").alias("pos"), F.round("p", 6).alias("p"))
+
+
+@query("select event_id as id, strftime(ts, '%Y-%m-%d_%H_%M_%S') as utc, strftime(ts - interval 5 hours, '%Y-%m-%d_%H_%M_%S') as west from events")
+def time_tags(s, d):
+    e = v.table(s, d, "events").select(C("event_id").alias("id"), C("ts").cast("timestamp").alias("ts"))
+    return e.select("id", stores.time_tag(C("ts"), "UTC").alias("utc"), stores.time_tag(C("ts"), "Etc/GMT+5").alias("west"))

@@ -66,3 +66,12 @@ def test_nothing_stays_cached(spark, data, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_query_is_empty(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1
+
+
+def test_places_in_an_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[int(x > 0.3)], int(y)) for i, (x, y) in enumerate(zip(rng.random(500), rng.integers(0, 5, 500), strict=True))]
+    df = spark.createDataFrame(rows, "id long, c string, v long")
+    got = {r.id: r.place for r in keys.placed(df, [F.col("v").desc(), F.col("c").asc(), F.col("id").asc()], "place").collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1], r[0])))}
+    assert keys.placed(df.limit(0), [F.col("id")], "place").count() == 0

@@ -27,7 +27,7 @@ null ids only has component_id null and its rows stay. Rows of equal vec_id are
 vectors: each has its links. An empty table gives no rows. Only vec_id and embedding are read.
 
 Scale. Broadcast are the tiled cells, fewer than 2 * MOST by their bounds, and the rotation.
-The driver gets two counts and the mean. Compared are, for each vector, about CELL members of
+The driver gets three counts and the mean. Compared are, for each vector, about CELL members of
 each cell asked: some ten cells for 1e5 vectors of even directions, a hundred for 1e10.
 """
 
@@ -240,9 +240,11 @@ def links(reps: DataFrame, codes: Codes, n: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m if side == 0 else m * 0), pa.array(m if side else m * 0)], names=["cell", "own", "asks"])
 
     cells = reps.select("embedding").mapInArrow(counted, "cell long, own long, asks long").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("asks").alias("asks"))
-    block, most_asks = max(BLOCK, n // MOST), max(ASKERS, n * 256 // MOST)
+    cells = checkpointed(cells)
+    # so fewer than MOST cells hold more members than a block, and fewer than MOST more askers
+    block, most_asks = max(BLOCK, n // MOST), max(ASKERS, cells.agg(F.sum("asks")).first()[0] // MOST)
     wide = cells.select("cell", F.ceil(F.col("own") / block).cast("int").alias("_i"), F.ceil(F.col("asks") / most_asks).cast("int").alias("_j")).filter("_i > 1 or _j > 1")
-    hot = checkpointed(wide)
+    hot = checkpointed(wide)  # fewer than 2 * MOST rows
 
     fields = "cell long, kind int, h long, n long, embedding array<%s>, code binary, s0 double, s1 double, error double, mean double" % kind.elementType.simpleString()
 

@@ -267,18 +267,18 @@ def similarity(queries: DataFrame, targets: DataFrame, least: int = 5) -> DataFr
     strand (of the target) where it is greatest; ties go to the least offset, then '+'.
     Positions count from each motif's first. Pairs that nowhere overlap so far are left out.
 
-    The targets, whose size is checked, go to every task, queries stay where they are: a motif
-    is one row with its cells as an array, and meets all targets offset by offset as arrays.
+    The targets, stored once and checked for size when this is called, go to every task; queries
+    stay where they are: a motif is one row with its cells as an array, and meets all targets offset by offset as arrays.
     """
     cell = F.array(*(F.col(b).cast("double") for b in "acgt"))
 
     def whole(df: DataFrame) -> DataFrame:
         return df.groupBy("motif").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", cell.alias("v")))), lambda r: r["v"])).alias("v"), F.min("pos").alias("first"))
 
-    size = targets.select("motif").agg(F.count("*")).first()[0]
-    if size * 4 * 8 * 2 > MOST_CATALOGUE:
+    catalogue = stored(whole(targets))
+    if (catalogue.agg(F.sum(F.size("v"))).first()[0] or 0) * 8 * 2 > MOST_CATALOGUE:
         raise ValueError("too many targets for every task to hold")
-    rows = whole(targets).orderBy("motif").collect()  # the catalogue, of checked size
+    rows = catalogue.orderBy("motif").collect()  # of checked size
     names = [r["motif"] for r in rows]
     known: dict[tuple[int, int], list] = {}
     for i, r in enumerate(rows):

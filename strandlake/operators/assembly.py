@@ -21,7 +21,7 @@ def fetched(loci: DataFrame, chunks: DataFrame, size: int, beyond: str = "pad")
     piece = F.expr(f"substring(seq, cast(greatest(_a - start, 0) as int) + 1, cast(least(_b - start, {size}) - greatest(_a - start, 0) as int))")
     parts = touched.join(chunks.select("chrom", "chunk_id", "start", "seq"), ["chrom", "chunk_id"]).select("id", F.struct("start", piece.alias("s")).alias("p"))
     whole = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("_s"))
-    out = loci.join(whole, "id", "left")
+    out = loci.join(whole.hint("merge"), "id", "left")  # windows are no table to broadcast, whatever the planner takes them for
     n = (F.col("end") - F.col("start")).cast("int")
     found = F.upper(F.coalesce("_s", F.lit("")))
     if beyond == "error":

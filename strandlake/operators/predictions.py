@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from ..functions import profile as pf
 from . import stats
 
 
-def metrics(examples: DataFrame, sigma: float = 7.0, width: int = 81, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def metrics(examples: DataFrame, sigma: float = 7.0, width: int = 81, keys: tuple[str, ...] = ("id",), constant: float = 0.0) -> DataFrame:
     """examples (keys, truth, predicted: arrays) with jsd, cross_entropy, mse, pearson and spearman.
 
     The truth is smoothed for the distance and the cross-entropy. Where either sums to 0 all
-    metrics stay 0; correlations with a constant array are 0.
+    metrics stay 0; correlations with a constant array are 0, or what constant says.
     """
     both = (pf.total(F.col("truth")) != 0) & (pf.total(F.col("predicted")) != 0)
     x = examples.withColumn("_smooth", pf.smoothed(sigma, width)(F.col("truth")))
@@ -22,12 +24,14 @@ def metrics(examples: DataFrame, sigma: float = 7.0, width: int = 81, keys: tupl
         "cross_entropy": pf.cross_entropy(F.col("_smooth"), pf.shares(F.col("predicted"))),
         "mse": pf.mean_square(F.col("truth"), F.col("predicted")),
     }
-    gated = x.select(*keys, both.alias("_both"), *(F.when(both, c).otherwise(0.0).alias(n) for n, c in out.items()))
+    flat = reduce(lambda a, b: a | b, (F.array_min(c) == F.array_max(c) for c in ("truth", "predicted")))
+    gated = x.select(*keys, both.alias("_both"), flat.alias("_flat"), *(F.when(both, c).otherwise(0.0).alias(n) for n, c in out.items()))
     long = examples.filter(both).select(*keys, F.explode(F.arrays_zip("truth", "predicted")).alias("z")).select(*keys, F.col("z.truth").alias("t"), F.col("z.predicted").alias("p"))
     pearson = long.groupBy(*keys).agg(stats.correlation("t", "p").alias("pearson"))
     spearman = stats.spearman(long, "t", "p", list(keys))
     joined = gated.join(pearson, list(keys), "left").join(spearman, list(keys), "left")
-    return joined.select(*keys, *out, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pearson", "spearman")))
+    flat = F.col("_both") & F.col("_flat")
+    return joined.select(*keys, *out, *(F.when(flat, F.lit(constant)).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("pearson", "spearman")))
 
 
 def correlations(examples: DataFrame, track: str, truth: str, predicted: str) -> DataFrame:

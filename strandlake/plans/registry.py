@@ -489,7 +489,7 @@ def score_mixture(s, d):
 @query(SQL["dense_extraction"])
 def dense_extraction_whole(s, d):
     """By slices of chunks."""
-    x = tracks.dense(windows(s, d).select("id", "chrom", "start", "end"), v.track(s, d)).join(windows(s, d).select("id", "start"), "id")
+    x = tracks.dense(windows(s, d).select("id", "chrom", "start", "end"), v.track(s, d), keep=("start",))
     return x.select("id", "start", F.posexplode("values").alias("k", "value")).select("id", (C("start") + C("k")).alias("pos"), C("value").cast("long").alias("value"))
 
 

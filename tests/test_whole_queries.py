@@ -37,3 +37,14 @@ def test_every_letter_is_counted(spark, data):
     assert got == pytest.approx({k: ic(c) for k, c in by.items()}, abs=2e-6)
     rows = registry.QUERIES["trimmed_motifs_whole"](spark, data).collect()
     assert rows and all(r.ic == pytest.approx(ic(keyed[r.key, r.pos]), abs=2e-6) for r in rows) and max(r.pos for r in rows) >= 30
+
+
+def test_cells_are_made_behind_the_join(spark, data):
+    plan = registry.QUERIES["dense_extraction"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate posexplode") < plan.find("Join ")
+
+
+def test_windows_keep_their_columns(spark, data):
+    """Starts come with the windows, not by another join: one for loci within a chunk, one for those across, one each for bounds."""
+    plan = registry.QUERIES["dense_extraction_whole"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4

@@ -73,6 +73,21 @@ def contained(inner: DataFrame, outer: DataFrame, size: int) -> DataFrame:
     return overlap_join(inner, outer, size, (F.col("start") >= F.col("b_start")) & (F.col("end") <= F.col("b_end")))
 
 
+def lists_of_contained(inner: DataFrame, outer: DataFrame, size: int) -> DataFrame:
+    """outer (chrom, b_start, b_end, ...) with found: the sorted ids of the rows of inner (id, chrom, start, end) that lie wholly in it, none where none do.
+
+    Rows of equal bounds are one on either side, so what is joined and shuffled grows with
+    different bounds and the ids between them, not with pairs of rows.
+    """
+    alike = inner.groupBy("chrom", "start", "end").agg(F.collect_list("id").alias("_ids"))
+    bounds = outer.select("chrom", "b_start", "b_end").distinct()
+    lists = contained(alike, bounds, size).groupBy("chrom", "b_start", "b_end").agg(F.array_sort(F.flatten(F.collect_list("_ids"))).alias("found"))
+    other = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in ("chrom", "b_start", "b_end")]
+    met = outer.join(lists.withColumnsRenamed({k: f"_of_{k}" for k in ("chrom", "b_start", "b_end")}).hint("merge"), other, "left")
+    none = F.array().cast(inner.select(F.array("id")).schema[0].dataType)
+    return met.select(*outer.columns, F.coalesce("found", none).alias("found"))
+
+
 def coverage_sums(loci: DataFrame, track: DataFrame, size: int, keys: list[str]) -> DataFrame:
     """Sum of value times overlap for each locus; 0 without coverage."""
     t = track.select("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "value")
@@ -92,19 +107,25 @@ def hit_importance(hits: DataFrame, track: DataFrame, size: int) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, size: int) -> DataFrame:
     """points (id, chrom, pos) with the signed distance to the nearest target (chrom, pos), the smaller position on a tie.
 
-    Windows run over one bin at a time; what lies in other bins comes from a table of each bin's first and last target.
+    Distances are those of places, which points share: each place is looked up once, so a
+    place or bin of many points is no longer work than another. Sorted passes, one up and one
+    down, run over the places of one bin at a time; what lies in other bins comes from a table
+    of each bin's first and last target.
     """
     t = targets.select("chrom", "pos").distinct().withColumn("bin", F.floor(F.col("pos") / size))
-    p = points.withColumn("bin", F.floor(F.col("pos") / size))
-    both = p.select("id", "chrom", "pos", "bin", F.lit(None).cast("long").alias("t")).union(t.select(F.lit(None).cast(p.schema["id"].dataType), "chrom", "pos", "bin", F.col("pos").alias("t")))
-    w = W.partitionBy("chrom", "bin").orderBy("pos")
-    inside = both.withColumn("below", F.max("t").over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("above", F.min("t").over(w.rangeBetween(0, W.unboundedFollowing))).filter("id is not null").drop("t")
+    p = points.select("chrom", "pos").distinct().withColumn("bin", F.floor(F.col("pos") / size))
+    both = p.select("chrom", "pos", "bin", F.lit(None).cast("long").alias("t")).union(t.select("chrom", "pos", "bin", F.col("pos").alias("t")))
+    w = W.partitionBy("chrom", "bin")
+    # frames that end behind the row are summed anew for each row, so both begin at the border
+    up, down = (w.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.col("pos").asc(), F.col("pos").desc()))
+    inside = both.withColumn("below", F.max("t").over(up)).withColumn("above", F.min("t").over(down)).filter("t is null").drop("t")
     ends = p.select("chrom", "bin").distinct().join(t.groupBy("chrom", "bin").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")), ["chrom", "bin"], "full")
-    v = W.partitionBy("chrom").orderBy("bin")
-    carry = ends.select("chrom", "bin", F.max("hi").over(v.rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.min("lo").over(v.rowsBetween(1, W.unboundedFollowing)).alias("lo"))
+    v = W.partitionBy("chrom")
+    carry = ends.select("chrom", "bin", F.max("hi").over(v.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.min("lo").over(v.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("lo"))
     out = inside.join(carry, ["chrom", "bin"]).withColumns({"below": F.coalesce("below", "hi"), "above": F.coalesce("above", "lo")})
     near = F.when(F.col("above").isNull() | (F.col("pos") - F.col("below") <= F.col("above") - F.col("pos")), F.col("below")).otherwise(F.col("above"))
-    return out.select("id", "chrom", "pos", (near - F.col("pos")).alias("distance"))
+    found = out.select("chrom", "pos", (near - F.col("pos")).alias("distance"))
+    return points.select("id", "chrom", "pos").join(found, ["chrom", "pos"]).select("id", "chrom", "pos", "distance")
 
 
 #: Sorted passes along a chromosome go by bins of so many places.

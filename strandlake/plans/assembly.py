@@ -146,8 +146,7 @@ def ordered_loci(s, d):
 @query("select region, count(l.id) as hits, coalesce(string_agg(l.id::varchar, ',' order by l.id), '') as ids from regions b left join loci l on l.chrom = b.chrom and st >= b_start and e <= b_end group by b.chrom, region", "regions", "loci")
 def hits_of_each_region(s, d):
     hits = v.loci(s, d).select("id", "chrom", C("st").alias("start"), C("e").alias("end"))
-    pairs = iv.contained(hits, v.regions(s, d), v.BIN).groupBy("chrom", "region").agg(F.array_sort(F.collect_list("id")).alias("found"))
-    out = v.regions(s, d).join(pairs, ["chrom", "region"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<long>")))
+    out = iv.lists_of_contained(hits, v.regions(s, d), v.BIN)
     return out.select("region", F.size("found").cast("long").alias("hits"), F.array_join(F.transform("found", lambda x: x.cast("string")), ",").alias("ids"))
 
 

@@ -68,27 +68,64 @@ def position_counts(sequences: DataFrame, keys: list[str]) -> DataFrame:
     """keys (whole numbers), pos, base, n: how often each base stands at each position of sequences (keys, seq), per value of the keys.
 
     Letters are counted within Arrow batches, so what is shuffled is a row for each key,
-    position and base of a batch, not for each letter.
+    position and base of a batch, not for each letter. Some LETTERS are counted at a time, and
+    counts are given out whenever there are as many, so no task holds more, however long texts are.
     """
 
+    def counted(found: list, counts: list) -> tuple:
+        """Columns of cells (keys, position, letter) and their numbers, each cell once."""
+        cells, n = np.concatenate(found, axis=1), np.concatenate(counts)
+        order = np.lexsort(cells[::-1])
+        cells, n = cells[:, order], n[order]
+        new = np.flatnonzero(np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0)))[: cells.shape[1]]
+        return cells[:, new], np.add.reduceat(n, new) if len(new) else n
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def given(cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            bases = pa.array([chr(b) for b in cells[-1].tolist()], pa.string())
+            return pa.RecordBatch.from_arrays([*(pa.array(f) for f in cells[:-1]), bases, pa.array(n)], names=[*keys, "pos", "base", "n"])
+
         for batch in batches:
-            seqs = [(s or "").encode("latin-1", "replace") for s in batch.column(len(keys)).to_pylist()]
-            size = np.fromiter(map(len, seqs), np.int64, len(seqs))
-            letters = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
-            pos = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
-            values = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys))]
-            found, n = np.unique(np.stack([*(np.repeat(v, size) for v in values), pos, letters]), axis=1, return_counts=True)
-            bases = pa.array([chr(b) for b in found[-1].tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(pa.array(f) for f in found[:-1]), bases, pa.array(n)], names=[*keys, "pos", "base", "n"])
+            values = np.array([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys))], np.int64).reshape(len(keys), batch.num_rows)
+            cells, n = np.zeros((len(keys) + 2, 0), np.int64), np.zeros(0, np.int64)
+            for text, at, rows in _parts(batch.column(len(keys)), LETTERS):
+                own = np.concatenate([values[:, rows], at[None], text[None]])
+                cells, n = counted([cells, own], [n, np.ones(len(text), np.int64)])
+                if len(n) >= LETTERS:
+                    yield given(cells, n)
+                    cells, n = cells[:, :0], n[:0]
+            yield given(cells, n)
 
     schema = "".join(f"`{k}` long, " for k in keys) + "pos long, base string, n long"
     rows = sequences.select(*(F.col(k).cast("long").alias(k) for k in keys), "seq").mapInArrow(run, schema)
     return rows.groupBy(*keys, "pos", "base").agg(F.sum("n").alias("n"))
 
 
+#: Letters that are counted at a time.
+LETTERS = 1 << 18
+
+
+def _parts(seqs, most: int) -> Iterator[tuple]:
+    """An Arrow column of texts as arrays of up to most letters, their positions and their rows; long texts are cut."""
+    letters, at, rows, size = [], [], [], 0
+    for row in range(len(seqs)):
+        text = np.frombuffer((seqs[row].as_py() or "").encode("latin-1", "replace"), np.uint8)
+        k = 0
+        while k < len(text):
+            part = text[k : k + most - size]
+            letters.append(part)
+            at.append(np.arange(k, k + len(part)))
+            rows.append(np.full(len(part), row))
+            k, size = k + len(part), size + len(part)
+            if size == most:
+                yield np.concatenate(letters).astype(np.int64), np.concatenate(at), np.concatenate(rows)
+                letters, at, rows, size = [], [], [], 0
+    if size:
+        yield np.concatenate(letters).astype(np.int64), np.concatenate(at), np.concatenate(rows)
+
+
 def base_shares(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos and the share of each base A, C, G, T of position_counts()."""
     share = [(F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)) / F.sum("n")).alias(b) for b in "ACGT"]

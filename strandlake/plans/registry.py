@@ -14,6 +14,7 @@ from ..functions import profile as pf
 from ..functions import sequence as sq
 from ..operators import intervals as iv
 from ..operators import genome, motifs, sampling, scoring, stats, tracks
+from ..operators.tables import stored
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +246,7 @@ def epoch_batches(s, d):
 def gc_matched(s, d):
     x = v.sequences(s, d).select("id", sq.gc_percent(C("seq")).alias("gc")).filter("gc is not null")
     pages = v.table(s, d, "pages").select(C("page_id").alias("id"), sq.gc_percent(F.upper(F.regexp_replace("html", "[^ACGTacgt]", ""))).alias("gc")).filter("gc is not null")
+    x, pages = stored(x), stored(pages)  # texts are read once; counts and ranks go by numbers
     one = F.lit("all").alias("chrom")
     return sampling.matched_nearby(pages.select("id", one, "gc"), x.select("id", one, "gc"), "chrom", "gc")
 

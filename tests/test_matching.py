@@ -25,3 +25,10 @@ def test_matching_walks_on_until_candidates_run_out(spark, reach, ratio):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     if (reach, ratio) == (None, 1):
         assert len(rows) == len([x for x in p if x[1] == "a"]) + min(len([x for x in p if x[1] == "b"]), len([x for x in c if x[1] == "b"]))
+
+
+def test_texts_are_read_once_for_matching(spark, data):
+    from strandlake.plans import registry
+
+    df = registry.QUERIES["gc_matched"](spark, data)
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()

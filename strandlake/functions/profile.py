@@ -38,6 +38,20 @@ def mean_square(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, of two arrays; 0 where either is constant."""
+    def centred(x: Column) -> Column:
+        return let(F.struct(x.alias("a"), (total(x) / F.nullif(F.size(x), F.lit(0))).alias("m")), lambda r: F.transform(r["a"], lambda v: v - r["m"]))
+
+    def spread(x: Column) -> Column:
+        return F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+
+    def found(r: Column) -> Column:
+        return total(F.zip_with(r["a"], r["b"], lambda x, y: x * y)) / F.nullif(spread(r["a"]) * spread(r["b"]), F.lit(0.0))
+
+    return F.coalesce(let(F.struct(centred(a).alias("a"), centred(b).alias("b")), found), F.lit(0.0))
+
+
 def jensen_shannon(a: Column, b: Column) -> Column:
     """Distance, natural logarithm, of the arrays as distributions."""
     def part(p: Column, q: Column) -> Column:
@@ -87,6 +101,18 @@ def smoothed(sigma: float = 7.0, width: int = 81):
     return run
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def ranks(a: pd.Series) -> pd.Series:
+    """Average ranks of an array's values."""
+    def one(x: np.ndarray | None) -> np.ndarray | None:
+        if x is None:
+            return None
+        _, place, n = np.unique(np.asarray(x, float), return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[place]
+
+    return a.map(one)
+
+
 def _nll(k: np.ndarray | None, p: np.ndarray | None) -> float | None:
     if k is None or p is None or not len(k):
         return None

@@ -15,23 +15,21 @@ def metrics(examples: DataFrame, sigma: float = 7.0, width: int = 81, keys: tupl
     """examples (keys, truth, predicted: arrays) with jsd, cross_entropy, mse, pearson and spearman.
 
     The truth is smoothed for the distance and the cross-entropy. Where either sums to 0 all
-    metrics stay 0; correlations with a constant array are 0, or what constant says.
+    metrics stay 0; correlations with a constant array are 0, or what constant says. Each row
+    has its own metrics: nothing is shuffled, and columns that aren't used aren't computed.
     """
     both = (pf.total(F.col("truth")) != 0) & (pf.total(F.col("predicted")) != 0)
-    x = examples.withColumn("_smooth", pf.smoothed(sigma, width)(F.col("truth")))
+    x = examples.select(*keys, *(F.col(c) for c in ("truth", "predicted") if c not in keys), both.alias("_both"))
+    x = x.withColumns({"_smooth": pf.smoothed(sigma, width)(F.col("truth")), "_rt": pf.ranks(F.col("truth")), "_rp": pf.ranks(F.col("predicted"))})
     out = {
         "jsd": pf.jensen_shannon(F.col("_smooth"), F.col("predicted")),
         "cross_entropy": pf.cross_entropy(F.col("_smooth"), pf.shares(F.col("predicted"))),
         "mse": pf.mean_square(F.col("truth"), F.col("predicted")),
     }
     flat = reduce(lambda a, b: a | b, (F.array_min(c) == F.array_max(c) for c in ("truth", "predicted")))
-    gated = x.select(*keys, both.alias("_both"), flat.alias("_flat"), *(F.when(both, c).otherwise(0.0).alias(n) for n, c in out.items()))
-    long = examples.filter(both).select(*keys, F.explode(F.arrays_zip("truth", "predicted")).alias("z")).select(*keys, F.col("z.truth").alias("t"), F.col("z.predicted").alias("p"))
-    pearson = long.groupBy(*keys).agg(stats.correlation("t", "p").alias("pearson"))
-    spearman = stats.spearman(long, "t", "p", list(keys))
-    joined = gated.join(pearson, list(keys), "left").join(spearman, list(keys), "left")
-    flat = F.col("_both") & F.col("_flat")
-    return joined.select(*keys, *out, *(F.when(flat, F.lit(constant)).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("pearson", "spearman")))
+    alike = {"pearson": pf.correlation(F.col("truth"), F.col("predicted")), "spearman": pf.correlation(F.col("_rt"), F.col("_rp"))}
+    out |= {n: F.when(flat, F.lit(constant)).otherwise(c) for n, c in alike.items()}
+    return x.select(*keys, *(F.when(F.col("_both"), c).otherwise(0.0).alias(n) for n, c in out.items()))
 
 
 def correlations(examples: DataFrame, track: str, truth: str, predicted: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import profile as pf
 from . import predictions, tracks
 from .assembly import fetched
 
@@ -46,8 +47,8 @@ def profiles(logits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return p, np.log(p.sum(axis=1)) if counts.shape[1] == 1 else counts
 
 
-def predicted(examples: DataFrame, scorer: Scorer, length: int, average: bool = True, window: int | None = None, rows: int = 256, column: str = "seq") -> DataFrame:
-    """examples (id, seq) as id, strand, predicted, predicted_log_count: the scorer is called with rows sequences at a time; window: how much of the middle of the profiles stays.
+def predicted(examples: DataFrame, scorer: Scorer, length: int, average: bool = True, window: int | None = None, rows: int = 256, column: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """examples (id, seq) as id, strand, predicted, predicted_log_count: the scorer is called with rows sequences at a time; window: how much of the middle of the profiles stays; keep: columns that come along.
 
     Null sequences are all N; an empty table gives no rows.
     """
@@ -65,18 +66,19 @@ def predicted(examples: DataFrame, scorer: Scorer, length: int, average: bool =
                 low = 0 if window is None else out // 2 - window // 2
                 p = p[:, low : None if window is None else low + window].transpose(0, 2, 1)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(n * strands + 1, dtype=np.int32) * p.shape[2]), pa.array(np.ascontiguousarray(p).ravel()))
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(n), strands)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(strands, dtype=np.int32), n)), values, pa.array(np.ascontiguousarray(logs).ravel())], names=["id", "strand", "predicted", "predicted_log_count"])
+                each = pa.array(np.repeat(np.arange(n), strands))
+                rest = [part.column(i).take(each) for i in range(2, 2 + len(keep))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(each), pa.array(np.tile(np.arange(strands, dtype=np.int32), n)), values, pa.array(np.ascontiguousarray(logs).ravel()), *rest], names=["id", "strand", "predicted", "predicted_log_count", *keep])
 
-    kind = examples.schema["id"].dataType.simpleString()
-    return examples.select("id", column).mapInArrow(run, f"id {kind}, strand int, predicted array<double>, predicted_log_count double")
+    kind = {c: examples.schema[c].dataType.simpleString() for c in ("id", *keep)}
+    more = "".join(f", {c} {kind[c]}" for c in keep)
+    return examples.select("id", column, *keep).mapInArrow(run, f"id {kind['id']}, strand int, predicted array<double>, predicted_log_count double{more}")
 
 
 def truths(loci: DataFrame, strands: list[DataFrame], size: int = tracks.CHUNK) -> DataFrame:
     """id, strand, truth, true_log_count (of the sum plus one) of each locus (id, chrom, start, end) from a track for each strand."""
     x = tracks.stacked(loci, strands, size).select("id", F.posexplode("profiles").alias("strand", "truth"))
-    total = F.aggregate("truth", F.lit(0.0), lambda a, v: a + v)
-    return x.withColumn("true_log_count", F.log1p(total))
+    return x.withColumn("true_log_count", F.log1p(pf.total(F.col("truth"))))
 
 
 def evaluated(loci: DataFrame, chunks: DataFrame, size: int, strands: list[DataFrame], scorer: Scorer, flank: int = 0, average: bool = True, window: int | None = None, width: int = 1, **metrics) -> DataFrame:
@@ -84,17 +86,21 @@ def evaluated(loci: DataFrame, chunks: DataFrame, size: int, strands: list[DataF
 
     Of loci with equal chrom and start the first id counts. The scorer sees width letters,
     flank of them before the locus; profiles and truth are cut to the window in the middle.
+    Strands are tracks of runs, or of chunks of tracks.CHUNK places as stacked() takes them. The
+    truth meets the sequence, a row a locus, and goes through the scorer beside it: each locus is
+    scored once, and what follows needs no shuffle.
     """
     rest = F.min_by(F.struct("id", "end"), "id").alias("r")
     once = loci.groupBy("chrom", "start").agg(rest).select("r.id", "chrom", "start", "r.end")
     wide = once.select("id", "chrom", (F.col("start") - flank).alias("start"), (F.col("start") - flank + width).alias("end"))
-    p = predicted(fetched(wide, chunks, size), scorer, width, average, window)
-    t = truths(once, strands)
+    examples = fetched(wide, chunks, size).select("id", "seq").join(tracks.stacked(once, strands).hint("merge"), "id")
+    p = predicted(examples, scorer, width, average, window, keep=("profiles",))
+    t = p.withColumn("truth", F.get("profiles", "strand")).filter("truth is not null").drop("profiles")
+    t = t.withColumn("true_log_count", F.log1p(pf.total(F.col("truth"))))
     if window is not None:
         t = t.withColumn("truth", F.slice("truth", F.floor(F.size("truth") / 2).cast("int") - window // 2 + 1, window))
-    both = p.join(t, ["id", "strand"])
-    found = predictions.metrics(both.select("id", "strand", "truth", "predicted"), keys=("id", "strand"), **metrics)
-    return both.join(found, ["id", "strand"])
+    keys = ("id", "strand", "truth", "true_log_count", "predicted", "predicted_log_count")
+    return predictions.metrics(t, keys=keys, **metrics)
 
 
 def through_tensors(examples: DataFrame, column: str = "seq") -> DataFrame:

@@ -16,11 +16,15 @@ from .registry import DRAW, C, lohi, query, windows
 CHUNK = 100
 
 
+def contig_chunks(s, d, size):
+    """chrom, chunk_id, seq: sequences as contigs in chunks, cut in one pass over each; an empty or null one is a chunk."""
+    cut = F.when(F.length("seq") > 0, F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0))).otherwise(F.array("seq"))
+    return v.sequences(s, d).select(C("id").alias("chrom"), F.posexplode(cut).alias("chunk_id", "seq")).withColumn("chunk_id", C("chunk_id").cast("long"))
+
+
 def genome(s, d):
     """Sequences as contigs in chunks."""
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("seq") - 1) / CHUNK), F.lit(0)))).alias("chunk_id")
-    x = v.sequences(s, d).select(C("id").alias("chrom"), "seq", cut)
-    return x.select("chrom", "chunk_id", (C("chunk_id") * CHUNK).alias("start"), F.expr(f"substring(seq, cast(chunk_id * {CHUNK} + 1 as int), {CHUNK})").alias("seq"))
+    return contig_chunks(s, d, CHUNK).select("chrom", "chunk_id", (C("chunk_id") * CHUNK).alias("start"), "seq")
 
 
 @query("""with z as (select id, seq, length(seq) as size from sequences where length(seq) > 0), b as (select id, seq, unnest(generate_series(0, size - 1, 20)) as lo from z),

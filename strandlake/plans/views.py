@@ -50,7 +50,7 @@ def sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def sequences(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:
